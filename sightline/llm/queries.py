@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, substrings
+from . import langid, simhash, substrings
 from .common import read_table
 
 
@@ -38,8 +38,12 @@ SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(ks, ' '), '')
 """
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
