@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, langid, simhash, substrings
+from . import embeddings, langid, simhash, substrings, tokenfiles
 from .common import read_table
 
 
@@ -46,6 +47,11 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.embedding_groups(read_table(spark, sf_dir, "embeddings"))
 
 
+def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenfiles.to_token_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return tokenfiles.with_crc32(tokenfiles.read_token_files(spark, path))
+
+
 OP9_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
@@ -62,7 +68,7 @@ FROM (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOI
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_language_id, op9_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_language_id, op5_token_id_files, op9_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
