@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, langid, simhash, substrings, tokenfiles
+from . import embeddings, langid, mixing, simhash, substrings, tokenfiles
 from .common import read_table
 
 
@@ -52,6 +52,11 @@ def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.with_crc32(tokenfiles.read_token_files(spark, path))
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 OP9_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
@@ -68,7 +73,7 @@ FROM (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOI
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_language_id, op5_token_id_files, op9_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_language_id, op5_token_id_files, op7_mix_sources, op9_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
