@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, langid, mixing, simhash, substrings, tokenfiles
+from . import embeddings, langid, mixing, quality, simhash, substrings, tokenfiles
 from .common import read_table
 
 
@@ -57,6 +57,38 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judged(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP6_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS k FROM w, unnest(range(1, len(ws) - 6)) AS t(i)
+), counted AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM windows
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n FROM counted, unnest(range(0, 8)) AS t(j) WHERE counted.n > 1 GROUP BY doc_id
+), base AS (
+  SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+    coalesce(n, 0) AS n_repeat_words, len(ls) AS n_lines, len(regexp_extract_all(t, '[A-Z]')) AS capitals,
+    len(list_filter(ws, lambda x: NOT regexp_matches(x, '\p{L}'))) AS bare
+  FROM w LEFT JOIN covered USING (doc_id)
+), judged AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (5 * n_symbols > n_words OR 2 * capitals > word_chars OR 10 * n_dup_lines > 3 * n_lines
+    OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 10 * bare > 4 * n_words) AS kept
+FROM judged
+"""
+
+
 OP9_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
@@ -73,8 +105,8 @@ FROM (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOI
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_language_id, op5_token_id_files, op7_mix_sources, op9_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_language_id, op5_token_id_files, op6_quality_rules, op7_mix_sources, op9_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op9_embedding_near_dedup": OP9_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op6_quality_rules": OP6_SQL, "op9_embedding_near_dedup": OP9_SQL}
