@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, langid, mixing, quality, simhash, substrings, tokenfiles
+from . import bpe, embeddings, langid, mixing, quality, simhash, substrings, tokenfiles
 from .common import read_table
 
 
@@ -104,8 +104,13 @@ FROM (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOI
 """
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codec = bpe.Codec(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    return bpe.round_trip(read_table(spark, sf_dir, "documents"), codec)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_language_id, op5_token_id_files, op6_quality_rules, op7_mix_sources, op9_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_language_id, op5_token_id_files, op6_quality_rules, op7_mix_sources, op9_embedding_near_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
