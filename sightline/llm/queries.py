@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, langid, mixing, quality, simhash, substrings, tokenfiles
+from . import bpe, embeddings, htmltext, langid, mixing, quality, simhash, substrings, tokencounts, tokenfiles
 from .common import read_table
 
 
@@ -47,6 +47,12 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.embedding_groups(read_table(spark, sf_dir, "embeddings"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = tokenfiles.library_words(public_tokenizers.path("word_bpe_49k.json"))
+    ids = tokenfiles.tokenize(read_table(spark, sf_dir, "documents"), words, end_id=49407)
+    return tokencounts.count_tokens(ids, end_id=49407)
+
+
 def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenfiles.to_token_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return tokenfiles.with_crc32(tokenfiles.read_token_files(spark, path))
@@ -104,13 +110,29 @@ FROM (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOI
 """
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = bpe.Codec(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), codec)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_language_id, op5_token_id_files, op6_quality_rules, op7_mix_sources, op9_embedding_near_dedup, op10_byte_bpe)}
+    found = (
+        op1_simhash_near_dedup,
+        op2_substring_dedup,
+        op3_language_id,
+        op4_token_counts,
+        op5_token_id_files,
+        op6_quality_rules,
+        op7_mix_sources,
+        op8_html_text,
+        op9_embedding_near_dedup,
+        op10_byte_bpe,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
