@@ -31,7 +31,9 @@ from .common import binary_rows, materialize, only, per_batch, stream_groups
 
 LENGTH = 20
 #: Words of an anchor's gram.
-GRAM = 6
+GRAM = 4
+#: Most documents that are set aside by a broadcast join; beyond, texts are shuffled for it.
+ASIDES = 500_000
 #: Rows of a group that one tree holds.
 GROUP = 4096
 #: Bytes of text that are hashed at once.
@@ -119,6 +121,24 @@ def _anchor_rows(length: int, gram: int):
     return run
 
 
+#: Roles of a row: one of a compared text, of a copy of an earlier document's text, of another text under a doc_id.
+COMPARED, COPY, OTHER = 0, 1, 2
+PACKED = pa.schema([("doc_id", pa.int64()), ("role", pa.int32()), ("packed", pa.binary())])
+
+
+def _pack(batch: pa.RecordBatch) -> dict:
+    """Texts shrunk for the shuffle, each with its length in front."""
+    codec = pa.Codec("zstd", compression_level=1)
+    packed = [None if t is None else len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in binary_rows(batch["text"])]
+    return {"doc_id": batch["doc_id"], "role": batch["role"], "packed": packed}
+
+
+def _unpacked(column: pa.Array) -> Iterator[bytes | None]:
+    codec = pa.Codec("zstd")
+    for p in column.to_pylist():
+        yield None if p is None else codec.decompress(p[8:], int.from_bytes(p[:8], "little"), asbytes=True)
+
+
 STRETCH = pa.schema([("key", pa.int64()), ("salt", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("words", pa.binary()), ("shared", pa.bool_())])
 STRETCH_SQL = "key long, salt long, doc_id long, start long, windows int, words binary, shared boolean"
 
@@ -128,7 +148,9 @@ def _stretch_rows(length: int, group: int):
 
     def run(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {k: [] for k in STRETCH.names}
-        for text, doc, found in zip(binary_rows(batch["text"]), batch["doc_id"].to_pylist(), batch["found"]):
+        for text, role, doc, found in zip(_unpacked(batch["packed"]), batch["role"].to_pylist(), batch["doc_id"].to_pylist(), batch["found"]):
+            if role != COMPARED or text is None:
+                continue
             words, seen = text.split(), set()
             for gram, at, n in zip(*(found.values.field(k).to_pylist() for k in ("gram", "at", "n"))):
                 if at in seen:  # a repeated row of the input
@@ -233,12 +255,12 @@ JUDGED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed
 def _judge(length: int, texts: bool):
     def run(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {k: [] for k in JUDGED.names[1:]}
-        for text, copy, spans in zip(binary_rows(batch["text"]), batch["copy"].to_pylist(), batch["spans"].to_pylist()):
+        for text, role, spans in zip(_unpacked(batch["packed"]), batch["role"].to_pylist(), batch["spans"].to_pylist()):
             words = (text or b"").split()
             kept, whole = words, b" ".join(words)
-            if copy and len(words) >= length:
+            if role == COPY and len(words) >= length:
                 kept = []
-            elif spans:
+            elif role == COMPARED and spans:
                 mask = keep_mask(len(words), [(s["start"], s["windows"]) for s in spans], length)
                 kept = [w for w, k in zip(words, mask.tolist()) if k]
             joined = whole if kept is words else b" ".join(kept)
@@ -274,22 +296,25 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     if not 0 < gram <= length <= 255:
         raise ValueError("gram <= length <= 255")
     d = only(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), "text")
-    named = d.join(_text_roles(d), "doc_id", "left")
+    asides = _text_roles(d)
+    asides = F.broadcast(asides) if asides.count() <= ASIDES else asides
     own = F.filter("aside", lambda a: (a["h"] == F.xxhash64("text")) & (a["h2"] == F.xxhash64(F.lit(1), "text")))
-    named = named.select("doc_id", "text", F.coalesce(F.element_at(F.transform(own, lambda a: a["copy"].cast("int")), 1), F.lit(-1)).alias("role"))
-
-    compared = named.where("role = -1 and text is not null").select("doc_id", "text")
-    anchors = compared.mapInArrow(_anchor_rows(length, gram), "gram long, doc_id long, at long")
-    often = anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    found = anchors.join(often, "gram").groupBy("doc_id").agg(F.collect_list(F.struct("gram", "at", "n")).alias("found"))
-    stretches = compared.join(found, "doc_id").mapInArrow(_stretch_rows(length, group), STRETCH_SQL)
+    role = F.coalesce(F.get(F.transform(own, lambda a: F.when(a["copy"], COPY).otherwise(OTHER)), F.lit(0)), F.lit(COMPARED))
+    named = d.join(asides, "doc_id", "left").select("doc_id", role.cast("int").alias("role"), "text")
+
+    def anchors() -> DataFrame:
+        compared = named.where((F.col("role") == COMPARED) & F.col("text").isNotNull()).select("doc_id", "text")
+        return compared.mapInArrow(_anchor_rows(length, gram), "gram long, doc_id long, at long")
+
+    # a table of its own, so that the join with it can split the share of a gram that very many documents have
+    often = materialize(anchors().groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "repeated-grams")
+    found = anchors().join(often, "gram").groupBy("doc_id").agg(F.collect_list(F.struct("gram", "at", "n")).alias("found"))
+    # texts are shuffled once: both joins read the same exchange
+    packed = named.mapInArrow(per_batch(_pack, PACKED), "doc_id long, role int, packed binary").where("doc_id is not null").repartition("doc_id")
+    stretches = packed.join(found, "doc_id").mapInArrow(_stretch_rows(length, group), STRETCH_SQL)
     shares = stretches.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_tree_rows(length, False), SPANS_SQL)
     spans = shares.repartition("key").sortWithinPartitions("key").mapInArrow(_tree_rows(length, True), SPANS_SQL)
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
 
-    judged = (
-        named.join(by_doc, "doc_id", "left")
-        .select("doc_id", "text", (F.col("role") == 1).alias("copy"), F.when(F.col("role") == -1, F.col("spans")).alias("spans"))
-        .mapInArrow(_judge(length, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    )
+    judged = packed.join(by_doc, "doc_id", "left").mapInArrow(_judge(length, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return judged.withColumn("doc_id", F.nullif("doc_id", F.lit(-(2**63))))
