@@ -6,7 +6,7 @@ one grouped function; segments are independent. A segment's boxes fit in memory
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,14 +36,31 @@ def suppress(boxes: np.ndarray, scores: np.ndarray, most: float) -> np.ndarray:
 
 
 def nms(detections: DataFrame, keys: list[str], most: float = 0.45, cap: int = 300) -> DataFrame:
-    """Suppression per key and class; at most ``cap`` boxes of a key's class stay, the best ones."""
-    columns = detections.columns
+    """Suppression per key and class; at most ``cap`` boxes of a key's class stay, the best ones.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(columns, ignore_index=True)
-        return pdf.iloc[suppress(pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["score"].to_numpy(float), most)[:cap]]
+    Frames are many and small, so a task works through its sorted frames batch by batch, holding back the
+    last frame of a batch until it is whole.
+    """
+    groups, rest = [*keys, "cls"], [c for c in detections.columns if c not in (*keys, "cls")]
 
-    return detections.groupBy(*keys, "cls").applyInPandas(run, detections.schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            mark = (pdf[groups] != pdf[groups].shift()).any(axis=1).to_numpy().nonzero()[0]
+            held = pdf.iloc[mark[-1] :]
+            yield keep(pdf.iloc[: mark[-1]], mark)
+        if held is not None:
+            yield keep(held, np.zeros(1, np.int64))
+
+    def keep(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        boxes, scores, rows = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["score"].to_numpy(float), []
+        for a, b in zip(starts, np.r_[starts[1:], len(pdf)]):
+            if a < b:
+                rows.append(a + suppress(boxes[a:b], scores[a:b], most)[:cap])
+        return pdf.iloc[np.concatenate(rows)] if rows else pdf.iloc[:0]
+
+    return detections.repartition(*groups).sortWithinPartitions(*groups, *rest).mapInPandas(run, detections.schema)
 
 
 def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
