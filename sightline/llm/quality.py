@@ -55,7 +55,7 @@ def measured(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.withColumn("words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
     windows = F.when(
-        F.size("words") >= REPEAT, F.transform(F.sequence(F.lit(1), F.size("words") - (REPEAT - 1)), lambda i: F.xxhash64(F.slice(F.col("words"), i, F.lit(REPEAT))))
+        F.size("words") >= REPEAT, F.transform(F.sequence(F.lit(0), F.size("words") - REPEAT), lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(REPEAT)]))
     ).otherwise(F.array().cast("array<long>"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     d = d.withColumns({"_h": windows, "_lines": lines})
@@ -117,6 +117,7 @@ def judged(docs: DataFrame, rules: Sequence[Rule] | None = None, sample_rows: in
     rules = standard_rules() if rules is None else list(rules)
     docs = docs.drop("base_failed", "kept")
     sample = docs.sample(min(1.0, sample_rows / max(1, docs.count())), seed)
-    sample = materialize(measured(sample).where(~base_failed()), "sample")
+    # filtered once it is a table: a filter on computed columns would be moved below them and compute them anew
+    sample = materialize(measured(sample), "sample").where(~base_failed())
     d = measured(docs).withColumn("base_failed", base_failed())
     return d.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(ordered(sample, rules))))
