@@ -48,9 +48,10 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = tokenfiles.library_words(public_tokenizers.path("word_bpe_49k.json"))
-    ids = tokenfiles.tokenize(read_table(spark, sf_dir, "documents"), words, end_id=49407)
-    return tokencounts.count_tokens(ids, end_id=49407)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    width = tokenfiles.width_of(path)
+    ids = tokenfiles.tokenize(read_table(spark, sf_dir, "documents"), path, end_id=49407, width=width)
+    return tokencounts.count_tokens(ids, end_id=49407, width=width)
 
 
 def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:

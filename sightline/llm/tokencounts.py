@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir
+from .tokenfiles import KINDS
 
 #: Bytes of a block.
 BLOCK = 1 << 20
@@ -24,14 +25,13 @@ BLOCKS_SQL = "file string, block long, payload binary, names array<long>"
 
 
 def write_flat(ids: DataFrame, path: str, width: int = 2, block: int = BLOCK) -> None:
-    """Write ``(doc_id, ids)`` (little-endian 32-bit, the end id included) as flat token files of ``width`` bytes an id.
+    """Write ``(doc_id, ids)`` (little-endian, of ``width`` bytes, the end id included) as flat token files.
 
     Each task writes a file, in blocks of ``block`` bytes that cut documents anywhere. Beside a block stand,
     unread by the scan, the doc_ids of the documents that end in it.
     """
     if block % width:
         raise ValueError("a block has whole ids")
-    kind = {2: "<u2", 4: "<u4"}[width]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -43,7 +43,7 @@ def write_flat(ids: DataFrame, path: str, width: int = 2, block: int = BLOCK) ->
 
         for batch in batches:
             for doc, x in zip(batch["doc_id"].to_pylist(), batch["ids"].to_pylist()):
-                held += np.frombuffer(x, "<u4").astype(kind).tobytes()
+                held += x
                 while len(held) > block:
                     yield row(bytes(held[:block]), names)
                     del held[:block]
@@ -52,7 +52,7 @@ def write_flat(ids: DataFrame, path: str, width: int = 2, block: int = BLOCK) ->
         if held:
             yield row(bytes(held), names)
 
-    ids.mapInArrow(run, BLOCKS_SQL).write.parquet(path)
+    ids.mapInArrow(run, BLOCKS_SQL).write.option("compression", "zstd").parquet(path)
 
 
 def read_flat(spark: SparkSession, path: str) -> DataFrame:
@@ -77,7 +77,7 @@ FOUND = pa.schema([("file", pa.string()), ("block", pa.int64()), ("n", pa.int64(
 
 def find_ends(blocks: DataFrame, end_id: int, width: int = 2) -> DataFrame:
     """``file, block, n, ends``: ids in a block and where the end ids are."""
-    kind = {2: "<u2", 4: "<u4"}[width]
+    kind = KINDS[width]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -11,8 +11,7 @@ ids each has, and the ids' control and data bytes. The ranks are a Parquet table
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +22,10 @@ from .common import binary_rows, materialize, only, shared_dir
 
 #: Ids in a block, unless a single document has more.
 BLOCK = 1 << 16
-#: Distinct words whose ids a task remembers before it starts anew.
-REMEMBERED = 400_000
-_SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
+#: Distinct words whose ids a worker remembers before it starts anew.
+REMEMBERED = 1_600_000
+#: Types of ids by bytes.
+KINDS = {2: "<u2", 4: "<u4"}
 
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 _STARTS = np.cumsum(_LENGTHS, axis=1) - _LENGTHS
@@ -55,69 +55,99 @@ def decode_numbers(control: bytes, data: bytes, count: int) -> np.ndarray:
     return words & _MASKS[size]
 
 
+#: A private-use character, put between words that are encoded at once; words that have it are encoded alone.
+_BETWEEN = "\ue000"
+#: What a worker has encoded so far, by tokenizer; later tasks of the worker go on with it.
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
 class WordEncoder:
-    """Ids of texts from a tokenizer that treats the words between ASCII white space one by one.
+    """Ids of texts from a file of the ``tokenizers`` library that treats words between ASCII white space one by one.
 
-    A word is encoded by the library once and remembered; ids are kept as little-endian 32-bit bytes.
+    The library encodes a word once; its ids are remembered, as bytes. Strings of special tokens are ordinary text.
+    With ``lower`` the library is known to lower-case texts, and texts of ASCII alone are lower-cased before the look-up.
     """
 
-    def __init__(self, encode_words: Callable[[list[str]], list[list[int]]]) -> None:
-        self.encode_words, self.known = encode_words, {}
+    def __init__(self, content: str, width: int) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.kind, self.known = Tokenizer.from_str(content), KINDS[width], {}
+        self.tokenizer.encode_special_tokens = True
+        self.lower = '"Lowercase"' in content
+        self.between = np.array(self._ids(_BETWEEN), np.uint32)
+
+    @classmethod
+    def of_worker(cls, content: str, width: int) -> WordEncoder:
+        key = f"{width}{hash(content)}"
+        if key not in _ENCODERS:
+            _ENCODERS[key] = cls(content, width)
+        return _ENCODERS[key]
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode new words, many in one text: the mark between them shows where each one's ids end."""
+        plain = [w for w in words if _BETWEEN.encode() not in w]
+        for w in set(words).difference(plain):
+            self.known[w] = np.array(self._ids(w.decode("utf-8", "replace")), self.kind).tobytes()
+        for i in range(0, len(plain), 2000):
+            part = plain[i : i + 2000]
+            ids = np.array(self._ids(f" {_BETWEEN} ".join(w.decode("utf-8", "replace") for w in part)), np.uint32)
+            k = len(self.between)
+            marks = np.flatnonzero((np.lib.stride_tricks.sliding_window_view(ids, k) == self.between).all(axis=1)) if len(ids) >= k else np.empty(0, np.int64)
+            if len(marks) != len(part) - 1:
+                raise ValueError("words are not encoded one by one")
+            flat, size = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
+            for w, a, b in zip(part, np.r_[0, marks + k].tolist(), np.r_[marks, len(ids)].tolist()):
+                self.known[w] = flat[a * size : b * size]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        split = [t.split() for t in texts]
-        new = list({w for words in split for w in words if w not in known})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, ids in zip(part, self.encode_words([w.decode("utf-8", "replace") for w in part])):
-                known[w] = np.array(ids, "<u4").tobytes()
+        split = [(t.lower() if self.lower and t.isascii() else t).split() for t in texts]
+        new = {w for words in split for w in words}.difference(known)
+        if new:
+            self._learn(list(new))
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
-def library_words(path: str) -> Callable[[], Callable[[list[str]], list[list[int]]]]:
-    """A maker, for tasks, of an encoder of words by the ``tokenizers`` file at ``path``; special tokens' strings are ordinary text."""
+def width_of(path: str) -> int:
+    """Bytes that hold any id of the tokenizer at ``path``."""
+    from tokenizers import Tokenizer
 
-    def make() -> Callable[[list[str]], list[list[int]]]:
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_str(content)
-        t.encode_special_tokens = True
-        return lambda words: [e.ids for e in t.encode_batch(words, add_special_tokens=False)]
-
-    with open(path, encoding="utf-8") as f:
-        content = f.read()
-    return make
+    return 2 if Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
 
 IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
 
-def tokenize(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[list[int]]]], end_id: int) -> DataFrame:
-    """``(doc_id, ids)``: every row's ids with the end id, little-endian 32-bit; a null text has the end id alone."""
-    end = np.array([end_id], "<u4").tobytes()
+def tokenize(docs: DataFrame, path: str, end_id: int, width: int = 4) -> DataFrame:
+    """``(doc_id, ids)``: every row's ids with the end id, little-endian, of ``width`` bytes; a null text has the end id alone."""
+    end = np.array([end_id], KINDS[width]).tobytes()
+    with open(path, encoding="utf-8") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(make())
+        encode = WordEncoder.of_worker(shared.value, width)
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for i in range(0, batch.num_rows, 2000):
+                part = batch.slice(i, 2000)
                 ids = [x + end for x in encode([t or b"" for t in binary_rows(part["text"])])]
                 yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"], "ids": ids}, schema=IDS)
 
     return only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, ids binary")
 
 
-def frequency_ranks(ids: DataFrame) -> np.ndarray:
+def frequency_ranks(ids: DataFrame, width: int = 4) -> np.ndarray:
     """Ids by falling frequency over all documents, equal ones by id. As long as the vocabulary that occurs, which bounds what comes to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
-                found = np.bincount(np.frombuffer(b"".join(batch["ids"].slice(i, 1000).to_pylist()), "<u4"))
+                found = np.bincount(np.frombuffer(b"".join(batch["ids"].slice(i, 1000).to_pylist()), KINDS[width]))
                 if len(found) > len(total):
                     found[: len(total)] += total
                     total = found
@@ -134,10 +164,10 @@ BLOCKS = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("doc_ids", pa.
 BLOCKS_SQL = "file long, block long, doc_ids array<long>, counts array<long>, control binary, data binary"
 
 
-def write_token_files(ids: DataFrame, path: str) -> None:
+def write_token_files(ids: DataFrame, path: str, width: int = 4) -> None:
     """Write ``(doc_id, ids)`` at ``path`` in ascending order of doc_id (null first): part n of ``blocks`` goes before part n+1."""
     spark = ids.sparkSession
-    by_rank = frequency_ranks(ids)
+    by_rank = frequency_ranks(ids, width)
     ranks = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 0, np.uint32)
     ranks[by_rank] = np.arange(len(by_rank))
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(by_rank.tolist())], "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
@@ -149,23 +179,23 @@ def write_token_files(ids: DataFrame, path: str) -> None:
         file, block, docs, held, n = TaskContext.get().partitionId(), 0, [], [], 0
 
         def ended() -> pa.RecordBatch:
-            control, data = encode_numbers(shared.value[np.frombuffer(b"".join(held), "<u4")])
-            return pa.RecordBatch.from_pydict({"file": [file], "block": [block], "doc_ids": [docs], "counts": [[len(x) // 4 for x in held]], "control": [control], "data": [data]}, schema=BLOCKS)
+            control, data = encode_numbers(shared.value[np.frombuffer(b"".join(held), KINDS[width])])
+            return pa.RecordBatch.from_pydict({"file": [file], "block": [block], "doc_ids": [docs], "counts": [[len(x) // width for x in held]], "control": [control], "data": [data]}, schema=BLOCKS)
 
         for batch in batches:
             for doc, x in zip(batch["doc_id"].to_pylist(), batch["ids"].to_pylist()):
-                if held and n + len(x) // 4 > BLOCK:
+                if held and n + len(x) // width > BLOCK:
                     yield ended()
                     block, docs, held, n = block + 1, [], [], 0
                 docs.append(doc)
                 held.append(x)
-                n += len(x) // 4
+                n += len(x) // width
         if held:
             yield ended()
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = ids.repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"))
-    ordered.mapInArrow(run, BLOCKS_SQL).write.parquet(f"{path}/blocks")
+    ordered.mapInArrow(run, BLOCKS_SQL).write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -203,7 +233,8 @@ def to_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str | Non
     import uuid
 
     path = path or f"{shared_dir(docs.sparkSession)}/sightline/tokens-{uuid.uuid4().hex}"
-    write_token_files(materialize(tokenize(docs, library_words(tokenizer), end_id), "ids"), path)
+    width = width_of(tokenizer)
+    write_token_files(materialize(tokenize(docs, tokenizer, end_id, width), "ids"), path, width)
     return path
 
 
