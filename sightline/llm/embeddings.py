@@ -109,6 +109,7 @@ def _place(turns: dict[int, Rotation], grid: int):
                 y, turn = _rotate(_unit(v), turns[dim].axes), turns[dim]
                 for b, ((first, last), share) in enumerate(zip(turn.cuts, turn.shares)):
                     cells = np.floor(y[:, first : min(last, first + grid)] / np.sqrt(share)).astype(np.int64)
+                    cells = np.pad(cells, ((0, 0), (0, grid - cells.shape[1])))  # a narrow block has fewer axes
                     n = part.num_rows
                     yield pa.RecordBatch.from_pydict({
                         "label": part["label"], "dim": part["dim"], "block": np.full(n, b, np.int32),

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import binary_rows, only
@@ -151,7 +151,7 @@ class Predictor:
         return [self.m.labels[b] if t else UNKNOWN for b, t in zip(best, texts)], np.where([bool(t) for t in texts], score, 0.0)
 
 
-def held_out(doc_id: str = "doc_id") -> F.Column:
+def held_out(doc_id: str = "doc_id") -> Column:
     """True where crc32 of the id as text leaves 2 modulo 4: those documents are never learned from. False for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
