@@ -16,14 +16,18 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that are folded once and looked up.
 FREQUENT = 1 << 17
+#: What white space is to Unicode; Java's own class has ASCII's alone.
+SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: Bytes of a word beyond which a text is encoded by ``merge_bytes``: the fold copies a word at each merge.
 LONG = 4096
 
@@ -85,7 +89,7 @@ def _bytes(word: Column) -> Column:
 
 
 def _none() -> Column:
-    return F.array().cast("array<int>")
+    return F.array().cast("array<bigint>")
 
 
 def fold(word: Column, rank: Callable[[Column], Column]) -> Column:
@@ -121,23 +125,32 @@ def fold(word: Column, rank: Callable[[Column], Column]) -> Column:
     return _let(F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, i, F.lit(1))), whole)
 
 
-class Codec:
-    """A byte-level BPE with its splitting pattern and ranks; every single byte has to be a token.
+def java_pattern(pattern: str) -> str:
+    """``pattern`` with white space written out, in and outside of bracketed classes."""
+    out, inside, i = "", False, 0
+    while i < len(pattern):
+        c = pattern[i : i + 2] if pattern[i] == "\\" else pattern[i]
+        i += len(c)
+        inside = c == "[" or inside and c != "]"
+        out += {"\\s": SPACE if inside else f"[{SPACE}]", "\\S": f"[^{SPACE}]"}.get(c, c)
+    return out
 
-    Java's regular expressions take the pattern with Unicode classes on, so that white space is Unicode's.
-    """
+
+class Codec:
+    """A byte-level BPE with its splitting pattern and ranks; every single byte has to be a token."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, frequent: int = FREQUENT) -> None:
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("a byte has no rank")
         self.ranks, self.pattern, self.frequent = ranks, pattern, frequent
-        self.of_token = Literal({t.decode("latin-1"): r for t, r in ranks.items()}, "int")
+        self.of_token = Literal({t.decode("latin-1"): r for t, r in ranks.items()}, "bigint")
+        self.split = java_pattern(pattern)
 
     def words(self, text: Column) -> Column:
-        return F.regexp_extract_all(text, F.lit("(?U)" + self.pattern), F.lit(0))
+        return F.regexp_extract_all(text, F.lit(self.split), F.lit(0))
 
     def _long(self, text: Column) -> Column:
-        return F.coalesce(text.rlike(rf"(?U)(\S{{{LONG}}}|\s{{{LONG}}})"), F.lit(False))
+        return F.coalesce(text.rlike(rf"[^{SPACE}]{{{LONG}}}|[{SPACE}]{{{LONG}}}"), F.lit(False))
 
     def frequent_words(self, docs: DataFrame, text: str = "text") -> dict[str, list[int]]:
         """Ids of the most frequent words of ``docs``, at most ``frequent`` of them, each folded once."""
@@ -147,9 +160,9 @@ class Codec:
         return {row["w"]: row["ids"] for row in top.repartition(64).select("w", ids.alias("ids")).collect()}
 
     def encode(self, docs: DataFrame, text: str = "text", ids: str = "ids") -> DataFrame:
-        """``docs`` with ``ids``, array<int>. A null or empty text has none; a column of that name is replaced."""
+        """``docs`` with ``ids``, array<bigint>. A null or empty text has none; a column of that name is replaced."""
         docs = docs.drop(ids)
-        known = Literal(self.frequent_words(docs, text), "array<int>")
+        known = Literal(self.frequent_words(docs, text), "array<bigint>")
         told = F.coalesce(F.col(text), F.lit(""))
 
         def encoded(of_token: Column, of_word: Column) -> Column:
@@ -162,7 +175,7 @@ class Codec:
     def _encode_long(self, docs: DataFrame, text: str, ids: str) -> DataFrame:
         ranks, pattern = self.ranks, self.pattern
 
-        @F.udf(returnType="array<int>", useArrow=True)
+        @F.udf(returnType="array<bigint>", useArrow=True)
         def merged(t: str) -> list[int]:
             import regex
 
@@ -170,20 +183,26 @@ class Codec:
 
         return docs.withColumn(ids, merged(text))
 
-    def _by_id(self, values: Callable[[int, bytes], bytes]) -> Column:
+    def decode(self, ids: Column) -> Column:
+        """The bytes of an array of ids, binary; ids that no token has give none."""
         token = {r: t for t, r in self.ranks.items()}
-        return F.from_json(F.lit(json.dumps([values(i, token.get(i, b"")).decode("latin-1") for i in range(max(token) + 1)])), "array<string>")
+        pieces = [token.get(i, b"") for i in range(max(token) + 1)]
 
-    def _joined(self, ids: Column, values: Callable[[int, bytes], bytes]) -> Column:
-        return _let(self._by_id(values), lambda v: F.encode(F.array_join(F.transform(ids, lambda i: F.get(v, i)), ""), "ISO-8859-1"))
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for ids in batches:
+                yield pd.Series([None if x is None else b"".join([pieces[i] for i in x.tolist() if 0 <= i < len(pieces)]) for x in ids], dtype=object)
+
+        return F.pandas_udf(run, "binary")(ids)
+
+
+def _little_endian(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for ids in batches:
+        yield pd.Series([None if x is None else np.asarray(x, "<u4").tobytes() for x in ids], dtype=object)
 
-    def decode(self, ids: Column) -> Column:
-        """The bytes of an array of ids, binary; ids that no token has give none."""
-        return self._joined(ids, lambda i, token: token)
 
-    def packed(self, ids: Column) -> Column:
-        """An array of ids as little-endian unsigned 32-bit integers, binary."""
-        return self._joined(ids, lambda i, token: i.to_bytes(4, "little"))
+def packed(ids: Column) -> Column:
+    """An array of ids as little-endian unsigned 32-bit integers, binary."""
+    return F.pandas_udf(_little_endian, "binary")(ids)
 
 
 def round_trip(docs: DataFrame, codec: Codec) -> DataFrame:
@@ -192,5 +211,5 @@ def round_trip(docs: DataFrame, codec: Codec) -> DataFrame:
     A null or empty text has no ids. Repeated rows give repeated results. Other columns are ignored.
     """
     encoded = codec.encode(docs.select("doc_id", "text"))
-    out = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), codec.packed(F.col("ids")).alias("packed"), codec.decode(F.col("ids")).alias("decoded"))
+    out = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), packed(F.col("ids")).alias("packed"), codec.decode(F.col("ids")).alias("decoded"))
     return out.select("doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
