@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sightline.llm import bpe, embeddings, htmltext, langid, mixing, quality, queries, simhash, substrings, tokencounts, tokenfiles
+from sightline.llm import bpe, embeddings, htmltext, jaccard, langid, mixing, quality, queries, simhash, substrings, tokencounts, tokenfiles
 from sightline.llm.common import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, key long"
@@ -112,6 +112,55 @@ def test_near_dedup_keeps_one_of_each_group(docs, empty):
     assert simhash.simhash_groups(empty).count() == 0
 
 
+def planted_rows():
+    """Originals, copies changed to similarities about 0.8 to 0.95, one large group, and texts that only share a passage."""
+    rng, words = random.Random(5), [f"w{i}" for i in range(3000)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    rows, passage = [], text(60)
+    for i in range(40):
+        base = text(rng.randint(30, 300))
+        rows.append((i, " ".join(base)))
+        for k, gone in enumerate((0.005, 0.012, 0.02, 0.024, 0.03)):
+            other = list(base)
+            for at in rng.sample(range(len(base)), max(1, round(gone * len(base)))):
+                other[at] = rng.choice(words)
+            rows.append((1000 + 10 * i + k, " ".join(other)))
+    base = text(150)
+    for i in range(60):
+        other = list(base)
+        for at in rng.sample(range(150), 2):
+            other[at] = rng.choice(words)
+        rows.append((5000 - i, " ".join(other)))
+    rows += [(7000 + i, " ".join(passage + text(40))) for i in range(30)]
+    twin = " ".join(text(20))
+    rows += [(None, " ".join(text(50))), (None, " ".join(text(50))), (3, " ".join(text(50))), (8000, twin), (8000, twin), (8001, twin.upper()), (8002, ""), (8003, None), (8004, "one Word"), (8005, "one  word")]
+    rng.shuffle(rows)
+    return rows
+
+
+def brute_kept(rows, least=0.8):
+    sets = []
+    for d, t in rows:
+        w = words_of((t or "").lower())
+        sets.append((d is None, d or 0, t or "", frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()))
+    kept = []
+    for r in sorted(sets, key=lambda r: r[:3]):
+        if not any(r[3] == k[3] or len(r[3] & k[3]) >= least * len(r[3] | k[3]) for k in kept):
+            kept.append(r)
+    return sorted((r[0], r[1], r[2]) for r in kept)
+
+
+@pytest.mark.parametrize("top", [8, 1])
+def test_similar_documents_are_brute_forces(spark, top):
+    import corpus_pipeline
+
+    rows = planted_rows()
+    d = spark.createDataFrame([(*r, "aa", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = jaccard.drop_similar(d, top=top) if top == 1 else corpus_pipeline.near_dedup(spark, d, "")
+    assert sorted((r[0] is None, r[0] or 0, r[1] or "") for r in out.select("doc_id", "text").collect()) == brute_kept(rows)
+    assert jaccard.drop_similar(d.limit(0)).count() == 0
+
+
 def brute_removed(rows, length):
     first, out = {}, {}
     order = sorted({(r[0] is not None, r[0] or 0, r[1]) for r in rows}, key=lambda x: x[:2])
