@@ -264,3 +264,30 @@ def test_streams_end_runs_like_the_batch(spark, tmp_path):
     q = live.hysteresis(s, "v", "t", "score", RULES).writeStream.format("memory").queryName("runs").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(120)
     assert sorted((r["start"], r["end"]) for r in spark.table("runs").collect()) == [(0.5, 1.0), (2.0, 2.0)]
+
+
+def test_box_queries_take_all_lines(spark):
+    from sightline import queries
+
+    d = "/root/testdata/sf0.001"
+    boxes = queries._boxes(spark, d).toPandas()
+    assert len(boxes) == spark.read.parquet(f"{d}/lineitem.parquet").count()
+    kept = []
+    for key, g in boxes.groupby(["video_id", "t", "cls"]):
+        rows = sorted(g.itertuples(index=False), key=lambda r: (-r.score, r.x1, r.y1))
+        left = []
+        for r in rows:
+            inner = [max(0.0, min(r.x2, k.x2) - max(r.x1, k.x1)) * max(0.0, min(r.y2, k.y2) - max(r.y1, k.y1)) for k in left]
+            sizes = [(r.x2 - r.x1) * (r.y2 - r.y1) + (k.x2 - k.x1) * (k.y2 - k.y1) for k in left]
+            if all(i <= 0.45 * (s - i) for i, s in zip(inner, sizes)):
+                left.append(r)
+        kept += [tuple(r) for r in left]
+    assert sorted(map(tuple, queries.nms_boxes(spark, d).collect())) == sorted(kept)
+    n = 0
+    for _, g in boxes.groupby("video_id"):
+        for _, c in g.groupby("cls"):
+            c = c.sort_values(["t", "score", "x1", "y1"], ascending=[True, False, True, True], ignore_index=True)
+            box, at = c[["x1", "y1", "x2", "y2"]].to_numpy(), c["t"].to_numpy()
+            frames = [(rows := np.flatnonzero(at == t), box[rows], c["score"].to_numpy()[rows]) for t in sorted(g["t"].unique())]
+            n += sum(map(len, tracking.follow(frames)))
+    assert queries.track_objects(spark, d).count() == n > 0
