@@ -517,6 +517,6 @@ def _asked(spark, d, question):
     people = e.select(F.col("user_id").alias("id"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("name")).distinct()
     cameras = spark.createDataFrame([(0, "gate")], "id long, name string")
     none = spark.createDataFrame([], "id long, zone_id long, tracklet_id long, segment_id long, camera_id long, name string, kind string, label string, ts double, duration double")
-    known = ask.vocabulary(people, none, cameras, t)
+    known = ask.vocabulary(question, people, none, cameras, t)
     plan = ask.parse(question, known, dt.date(2024, 1, 20))
     return plan, (none.drop("name"), none.select(F.col("id"), "name"), t, people, cameras)

@@ -291,3 +291,16 @@ def test_box_queries_take_all_lines(spark):
             frames = [(rows := np.flatnonzero(at == t), box[rows], c["score"].to_numpy()[rows]) for t in sorted(g["t"].unique())]
             n += sum(map(len, tracking.follow(frames)))
     assert queries.track_objects(spark, d).count() == n > 0
+
+
+def test_vocabulary_has_every_name_that_the_question_means(spark):
+    people = spark.range(150_000).select("id", F.concat(F.lit("user "), F.col("id").cast("string")).alias("name"))
+    zones = spark.createDataFrame([(1, "Front  Door", "line"), (2, "yard", "region"), (3, None, "line")], "id long, name string, kind string")
+    cameras = spark.createDataFrame([(1, "gate")], "id long, name string")
+    labels = spark.createDataFrame([("dog",), ("error",), (None,)], "label string")
+    q = "how many errors did USER 149999 have at the Front Today Door on monday"
+    known = ask.vocabulary(q, people, zones, cameras, labels)
+    assert "user 149999" in known.identities and len(known.identities) < 100 and known.zones == (("Front  Door", "line"),) and (known.cameras, known.labels, known.enrolled) == ((), ("error",), True)
+    every = ask.Vocabulary(tuple(r["name"] for r in people.collect()), (("Front  Door", "line"), ("yard", "region")), ("gate",), ("dog", "error"))
+    for q in (q, "when did user 99999 leave the yard", "when did Bob leave"):
+        assert ask.parse(q, ask.vocabulary(q, people, zones, cameras, labels), TODAY) == ask.parse(q, every, TODAY)
