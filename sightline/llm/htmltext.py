@@ -7,7 +7,7 @@ score. Paths whose score reaches a part of the page's spread are content, and wi
 sectioning ancestor holds, so that short paragraphs stay with long ones.
 
 Whole elements never hold content: scripts, styles, navigation, headers, footers, asides, forms, and those
-whose class, id or role names an advert, a menu, a notice or readers' comments.
+of which a whole class, id or role names an advert, a menu, a notice or readers' comments.
 """
 
 from __future__ import annotations
@@ -31,24 +31,38 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that hold no content.
 NEVER = RAW | frozenset("head nav header footer aside form button select option fieldset svg math canvas object audio video template dialog menu".split())
-#: Words of a class, id or role that mark an element as no content.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|advertisement|banner|sponsor\w*|promo\w*|menu|nav|navbar|navigation|breadcrumbs?|header|footer|masthead|sidebar|aside|widget|related|share|social|cookies?|consent|notice|popup|modal|newsletter|subscribe|comments?|commentlist|disqus|replies|respond|toolbar|pagination|pager|complementary|contentinfo|search)(?:$|[\s_-])",
-    re.I,
-)
+_MARK = r"(?:ad|ads|advert\w*|advertisement|banner|sponsor\w*|promo\w*|menu|nav|navbar|navigation|breadcrumbs?|header|footer|masthead|sidebar|aside|widget|related|share|social|cookies?|consent|notice|popup|modal|newsletter|subscribe|comments?|commentlist|disqus|replies|respond|toolbar|pagination|pager|complementary|contentinfo|search)"
+#: A class, id or role that marks an element as no content: of such words alone, so that has-sidebar or with-comments doesn't.
+MARKS = re.compile(rf"(?<!\S){_MARK}(?:[_-]+{_MARK})*(?!\S)", re.I)
+#: Elements that marks don't strike, since they hold the page or its content.
+HOLDERS = frozenset("html body main article".split())
+#: Elements of a head; any other one, or text, ends it (fixed values of the HTML standard).
+IN_HEAD = frozenset("base basefont bgsound link meta title script style noscript noframes template head html".split())
 #: Elements that an opening tag of the second kind ends, if they're open (fixed values of the HTML standard).
 P_ENDERS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ENDS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 SECTIONS = frozenset("article main section body html div td blockquote".split())
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_MARKED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\shidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 _BLANK = re.compile(r"\s+")
 _PUNCTUATION = regex.compile(r"\p{P}")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in RAW}
 
 
+def attributes(rest: str) -> tuple[str, bool]:
+    """The classes, id and role of a tag, by what follows its name, and whether it's hidden."""
+    marks, hidden = [], False
+    for name, a, b, c in _ATTRIBUTE.findall(rest):
+        name, value = name.lower(), a or b or c
+        if name in ("class", "id", "role"):
+            marks.append(value)
+        elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _UNSEEN.search(value):
+            hidden = True
+    return " ".join(marks), hidden
+
+
 class Node:
     """A run of text within one block, with the path of its block's element."""
 
@@ -85,6 +99,8 @@ def nodes(page: str) -> list[Node]:
     while at < len(page):
         found = _TOKEN.search(page, at)
         stop = found.start() if found else len(page)
+        if stop > at and stack[-1][0] == "head" and not page[at:stop].isspace():
+            close(len(stack) - 1)
         if stop > at and not stack[-1][2]:
             text.append(html.unescape(page[at:stop]))
         if not found:
@@ -103,6 +119,8 @@ def nodes(page: str) -> list[Node]:
                     break
         elif start:
             name = start.lower()
+            if stack[-1][0] == "head" and name not in IN_HEAD:
+                close(len(stack) - 1)
             if name == "br":
                 if not stack[-1][2]:
                     text.append(" ")
@@ -121,8 +139,8 @@ def nodes(page: str) -> list[Node]:
                     flush()
             if name in VOID:
                 continue
-            marks = " ".join(a or b or c for a, b, c in _MARKED.findall(rest)) if rest else ""
-            never = stack[-1][2] or name in NEVER or bool(rest and (MARKS.search(marks) or _HIDDEN.search(rest)))
+            marks, hidden = attributes(rest) if rest else ("", False)
+            never = stack[-1][2] or name in NEVER or hidden or bool(marks and name not in HOLDERS and MARKS.search(marks))
             if name in RAW:
                 close_tag = _RAW_END[name].search(page, at)
                 at = close_tag.end() if close_tag else len(page)

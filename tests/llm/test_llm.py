@@ -310,6 +310,25 @@ def test_html(spark):
     assert [(r["page_id"], r["n_chars"]) for r in got[1:3]] == [(2, 0), (3, 0)] and got[3]["text"] == "Only, this." and got[0]["text"] == got[4]["text"] and all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+def test_html_keeps_the_content_of_whole_pages():
+    p = "<p>Long, plain text, that is content.</p>"
+    want = "Long, plain text, that is content."
+    for page in (
+        f"<html><head><title>T</title><meta charset=u><body>{p}</body></html>",
+        f"<html><head><link rel=x><div>{p}</div>",
+        f"<head><title>T</title>{want}",
+        f"<html class='no-ads has-menu'><body class='has-sidebar'>{p}</body></html>",
+        f"<body class='sidebar'><main id=comments>{p}</main></body>",
+        f"<article class='post with-comments'>{p}</article>",
+        f"<div class='col no-sidebar' data-id='ad'>{p}</div>",
+        f"<div title='a hidden path' data-x=\"display: none\">{p}</div><img alt='the hidden one'>",
+    ):
+        assert htmltext.main_text(page) == want, page
+    for struck in ("class='x ad'", "class=cookie-notice", "ID='nav_menu'", "role = navigation", "hidden", "HIDDEN=''", "aria-hidden='true'", "style='color:red; display : none'"):
+        assert htmltext.main_text(f"<body>{p}<div {struck}>Bought, sold, and so on.</div></body>") == want, struck
+    assert htmltext.main_text(f"<html><head><title>T</title><template><div>X, y.</div></template></head><body>{p}") == want
+
+
 def brute_links(rows, least=0.98):
     out = {}
     uniq = list({(i, lab, None if v is None else tuple(v)) for i, lab, v in rows})
