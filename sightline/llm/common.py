@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but the six ASCII white-space characters (fixed value of the contracts).
@@ -40,6 +40,19 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(n) for n in names])
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row, nulls told from other columns' nulls."""
+    return F.xxhash64(*[F.col(c) for c in df.columns], *[F.col(c).isNull() for c in df.columns])
+
+
+def rows_of(df: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``df`` with a hash in ``kept`` (``_row``, and ``n``, how many rows have it), one of each."""
+    found = df.withColumn("_row", row_hash(df))
+    single = found.join(kept.where("n = 1"), "_row", "left_semi")
+    repeated = found.join(kept.where("n > 1"), "_row", "left_semi").dropDuplicates(["_row"])
+    return single.union(repeated).drop("_row")
+
+
 def binary_rows(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     """A string column as UTF-8 bytes, without decoding."""
     return column.cast(pa.binary()).to_pylist()

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_rows, connected_components, materialize, only, per_batch
+from .common import binary_rows, connected_components, materialize, only, per_batch, row_hash, rows_of
 
 #: Generator of the [23, 12, 7] Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 (fixed value).
 GOLAY = 0b110001110101
@@ -53,15 +53,16 @@ def fingerprint(text: bytes | None, size: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
-    """``(doc_id, fp)`` of every row; fp is the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, fp)`` of every row, and its longs ``carry``; fp is the fingerprint's 64 bits as a signed long."""
 
     def run(batch: pa.RecordBatch) -> dict:
         found = [fingerprint(t, size, seed) for t in binary_rows(batch["text"])]
-        return {"doc_id": batch["doc_id"], "fp": np.array(found, np.uint64).view(np.int64)}
+        return {"doc_id": batch["doc_id"], "fp": np.array(found, np.uint64).view(np.int64)} | {c: batch[c] for c in carry}
 
-    d = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return d.mapInArrow(per_batch(run, pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])), "doc_id long, fp long")
+    names = ("doc_id", "fp", *carry)
+    d = only(docs, "doc_id", "text", *carry).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return d.mapInArrow(per_batch(run, pa.schema([(n, pa.int64()) for n in names])), ", ".join(f"{n} long" for n in names))
 
 
 @functools.cache
@@ -148,6 +149,15 @@ def links(fps: DataFrame, bits: int = ERRORS, bucket: int = 256) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
+def _labels(marked: DataFrame, bits: int, bucket: int) -> DataFrame:
+    """``(fp, root, component_id)`` of each fingerprint of ``(doc_id, fp)``: its group, and the group's smallest doc_id."""
+    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    roots = materialize(connected_components(links(distinct, bits, bucket)), "roots")
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return materialize(rooted.join(named, "root").select("fp", "root", "component_id"), "labels")
+
+
 def simhash_groups(docs: DataFrame, size: int = 3, seed: int = 42, bits: int = ERRORS, bucket: int = 256) -> DataFrame:
     """``(doc_id, fp, component_id)``: one row per row of ``docs``, with the smallest doc_id it is linked to.
 
@@ -156,20 +166,16 @@ def simhash_groups(docs: DataFrame, size: int = 3, seed: int = 42, bits: int = E
     Other columns of ``docs`` are ignored. Empty input gives no rows.
     """
     marked = materialize(fingerprints(docs, size, seed), "fingerprints")
-    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = materialize(connected_components(links(distinct, bits, bucket)), "roots")
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = materialize(rooted.join(named, "root").select("fp", "component_id"), "labels")
-    return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(_labels(marked, bits, bucket), "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, **options: int) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their group; of rows that repeat a doc_id, one stays.
+def drop_near_duplicates(docs: DataFrame, size: int = 3, seed: int = 42, bits: int = ERRORS, bucket: int = 256) -> DataFrame:
+    """One row of ``docs`` of each group: that of the smallest doc_id, null ones last, then of the smallest hash of the row.
 
-    Rows without a doc_id stay only where their group has none with one (one of them).
+    The group goes by a row's own text, so rows of other groups stay, whatever ids are null or repeated.
     """
-    groups = simhash_groups(docs, **options)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    joined = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept"]), "left_semi")
-    return joined.dropDuplicates(["doc_id"])
+    found = docs.withColumn("_row", row_hash(docs))
+    marked = materialize(fingerprints(found, size, seed, ("_row",)), "fingerprints")
+    rows = marked.join(_labels(marked, bits, bucket), "fp").groupBy("root", "doc_id", "_row").agg(F.count("*").alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row", "n")).alias("f"))
+    return rows_of(docs, materialize(first.select("f._row", "f.n"), "kept-rows"))

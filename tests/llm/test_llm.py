@@ -112,6 +112,20 @@ def test_near_dedup_keeps_one_of_each_group(docs, empty):
     assert simhash.simhash_groups(empty).count() == 0
 
 
+def test_near_dedup_keeps_one_row_of_each_group_whatever_the_ids(spark):
+    rng = random.Random(12)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(None, a, 1), (None, b, 2), (None, b, 2), (None, c, 3), (1, c, 4), (1, d, 5), (1, e, 6), (2, e, 7), (1, e, 8)]
+    want = [(None, a, 1), (None, b, 2), (1, c, 4), (1, d, 5)]
+    runs = []
+    for parts in (1, 5):
+        got = [tuple(r) for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, key long").repartition(parts)).collect()]
+        assert sorted((r for r in got if r[1] != e), key=str) == sorted(want, key=str)
+        runs.append([r for r in got if r[1] == e])
+    assert runs[0] == runs[1] and len(runs[0]) == 1 and runs[0][0][0] == 1
+
+
 def planted_rows():
     """Originals, copies changed to similarities about 0.8 to 0.95, one large group, and texts that only share a passage."""
     rng, words = random.Random(5), [f"w{i}" for i in range(3000)]
