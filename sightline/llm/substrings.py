@@ -103,11 +103,14 @@ class Anchors:
         return of[p], grams[p].view(np.int64), p - first[of[p]], p - s, n
 
 
+ANCHORS = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("at", pa.int64())])
+
+
 def _anchor_rows(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Anchors(length, gram)
         for batch in batches:
-            texts, ids = binary_rows(batch["text"]), batch["doc_id"]
+            texts, ids, hashes = binary_rows(batch["text"]), batch["doc_id"], batch["h"]
             i = 0
             while i < len(texts):
                 j, held = i, 0
@@ -115,22 +118,23 @@ def _anchor_rows(length: int, gram: int):
                     held += len(texts[j])
                     j += 1
                 of, g, p, before, n = find(texts[i:j])
-                yield pa.RecordBatch.from_pydict({"gram": g, "doc_id": ids.take(pa.array(of + i)), "at": p << 16 | before << 8 | n}, schema=pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64())]))
+                rows = pa.array(of + i)
+                yield pa.RecordBatch.from_pydict({"gram": g, "doc_id": ids.take(rows), "h": hashes.take(rows), "at": p << 16 | before << 8 | n}, schema=ANCHORS)
                 i = j
 
     return run
 
 
-#: Roles of a row: one of a compared text, of a copy of an earlier document's text, of another text under a doc_id.
-COMPARED, COPY, OTHER = 0, 1, 2
-PACKED = pa.schema([("doc_id", pa.int64()), ("role", pa.int32()), ("packed", pa.binary())])
+#: Roles of a row: one of a compared text, of a copy of an earlier document's text.
+COMPARED, COPY = 0, 1
+PACKED = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("role", pa.int32()), ("packed", pa.binary())])
 
 
 def _pack(batch: pa.RecordBatch) -> dict:
     """Texts shrunk for the shuffle, each with its length in front."""
     codec = pa.Codec("zstd", compression_level=1)
     packed = [None if t is None else len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in binary_rows(batch["text"])]
-    return {"doc_id": batch["doc_id"], "role": batch["role"], "packed": packed}
+    return {"doc_id": batch["doc_id"], "h": batch["h"], "role": batch["role"], "packed": packed}
 
 
 def _unpacked(column: pa.Array) -> Iterator[bytes | None]:
@@ -139,8 +143,8 @@ def _unpacked(column: pa.Array) -> Iterator[bytes | None]:
         yield None if p is None else codec.decompress(p[8:], int.from_bytes(p[:8], "little"), asbytes=True)
 
 
-STRETCH = pa.schema([("key", pa.int64()), ("salt", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("words", pa.binary()), ("shared", pa.bool_())])
-STRETCH_SQL = "key long, salt long, doc_id long, start long, windows int, words binary, shared boolean"
+STRETCH = pa.schema([("key", pa.int64()), ("salt", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("words", pa.binary()), ("shared", pa.bool_())])
+STRETCH_SQL = "key long, salt long, doc_id long, h long, start long, windows int, words binary, shared boolean"
 
 
 def _stretch_rows(length: int, group: int):
@@ -148,7 +152,7 @@ def _stretch_rows(length: int, group: int):
 
     def run(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {k: [] for k in STRETCH.names}
-        for text, role, doc, found in zip(_unpacked(batch["packed"]), batch["role"].to_pylist(), batch["doc_id"].to_pylist(), batch["found"]):
+        for text, role, doc, h, found in zip(_unpacked(batch["packed"]), *(batch[k].to_pylist() for k in ("role", "doc_id", "h")), batch["found"]):
             if role != COMPARED or text is None:
                 continue
             words, seen = text.split(), set()
@@ -160,32 +164,32 @@ def _stretch_rows(length: int, group: int):
                 if n <= group:
                     parts = [(gram, 0, start, windows, b" ".join(words[start : start + windows + length - 1]), False)]
                 else:
-                    salt = xxhash.xxh64_intdigest(doc.to_bytes(8, "little", signed=True)) % -(-n // group)
+                    salt = xxhash.xxh64_intdigest(doc.to_bytes(8, "little", signed=True), h % 2**64) % -(-n // group)
                     parts = []
                     for s in range(start, start + windows):
                         w = b" ".join(words[s : s + length])
                         parts.append((xxhash.xxh64_intdigest(w) - 2**63, salt, s, 1, w, True))
                 for key, salt, s, n_windows, w, shared in parts:
-                    for k, v in zip(STRETCH.names, (key, salt, doc, s, n_windows, w, shared)):
+                    for k, v in zip(STRETCH.names, (key, salt, doc, h, s, n_windows, w, shared)):
                         out[k].append(v)
         return out
 
     return per_batch(run, STRETCH)
 
 
-SPANS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("words", pa.binary())])
-SPANS_SQL = "key long, doc_id long, start long, windows int, words binary"
+SPANS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("words", pa.binary())])
+SPANS_SQL = "key long, doc_id long, h long, start long, windows int, words binary"
 
 
-def subtree(rows: list[tuple[int, int, int, bytes]], length: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, bytes]]]:
-    """Of stretches ``(doc_id, start, windows, words)`` with one prefix: the windows that start earlier elsewhere
-    among them, as ``(doc_id, start, windows)``, and the stretches that were the first with their words.
+def subtree(rows: list[tuple[tuple[int, int], int, int, bytes]], length: int) -> tuple[list[tuple], list[tuple]]:
+    """Of stretches ``(document, start, windows, words)``, a document being a doc_id and a hash of a text, with one prefix: the windows that start earlier elsewhere
+    among them, as ``(document, start, windows)``, and the stretches that were the first with their words.
 
     The suffixes of the stretches are sorted, which puts the leaves of each node of their tree side by side;
     where neighbours agree in ``length`` words, they're below the same deep node.
     """
-    repeated: list[tuple[int, int, int]] = []
-    first: dict[bytes, tuple[int, int, int, bytes]] = {}
+    repeated: list[tuple] = []
+    first: dict[bytes, tuple] = {}
     for row in sorted(rows):
         kept = first.setdefault(row[3], row)
         if kept[:2] != row[:2]:
@@ -213,7 +217,7 @@ def _tree_rows(length: int, last: bool):
         for table in stream_groups(batches, keys, rows=20_000):
             out: dict[str, list] = {k: [] for k in SPANS.names}
             columns = table.to_pydict()
-            rows = list(zip(columns["doc_id"], columns["start"], columns["windows"], columns["words"]))
+            rows = list(zip(zip(columns["doc_id"], columns["h"]), columns["start"], columns["windows"], columns["words"]))
             marks = list(zip(*(columns[k] for k in keys)))
             i = 0
             while i < len(rows):
@@ -230,10 +234,10 @@ def _tree_rows(length: int, last: bool):
                     if last or not columns["shared"][k]:
                         passed = []
                 for doc, start, windows in found:
-                    for name, v in zip(SPANS.names, (doc, doc, start, windows, None)):
+                    for name, v in zip(SPANS.names, (doc[0], *doc, start, windows, None)):
                         out[name].append(v)
                 for doc, start, windows, words in passed:
-                    for name, v in zip(SPANS.names, (marks[k][0], doc, start, windows, words)):
+                    for name, v in zip(SPANS.names, (marks[k][0], *doc, start, windows, words)):
                         out[name].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=SPANS)
 
@@ -249,12 +253,12 @@ def keep_mask(n_words: int, spans: list[tuple[int, int]], length: int) -> np.nda
     return np.cumsum(edge)[:n_words] == 0
 
 
-JUDGED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
+JUDGED = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
 
 def _judge(length: int, texts: bool):
     def run(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {k: [] for k in JUDGED.names[1:]}
+        out: dict[str, list] = {k: [] for k in JUDGED.names[2:]}
         for text, role, spans in zip(_unpacked(batch["packed"]), batch["role"].to_pylist(), batch["spans"].to_pylist()):
             words = (text or b"").split()
             kept, whole = words, b" ".join(words)
@@ -267,54 +271,53 @@ def _judge(length: int, texts: bool):
             removed = len(words) - len(kept)
             for k, v in zip(out, (len(words), removed, hashlib.sha256(joined).hexdigest(), (joined if removed else text) if texts else None)):
                 out[k].append(v)
-        return out | {"doc_id": batch["doc_id"], "kept_text": pa.array(out["kept_text"], pa.binary()).cast(pa.string())}
+        return out | {"doc_id": batch["doc_id"], "h": batch["h"], "kept_text": pa.array(out["kept_text"], pa.binary()).cast(pa.string())}
 
     return per_batch(run, JUDGED)
 
 
 def _text_roles(docs: DataFrame) -> DataFrame:
-    """Texts that aren't compared, by doc_id: ``aside`` has a struct of hashes and whether it is a copy of an earlier document."""
+    """``(doc_id, h, h2)`` of the texts that aren't compared, being copies of an earlier document's."""
     hashed = docs.select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("h2")).where("text is not null")
     each = materialize(hashed.distinct(), "texts")
     first = each.groupBy("h", "h2").agg(F.min("doc_id").alias("first"))
-    chosen = first.groupBy("first").agg(F.min(F.struct("h", "h2")).alias("c")).select("first", "c.h", "c.h2", F.lit(True).alias("compared"))
-    source = first.join(chosen, ["first", "h", "h2"], "left")
-    placed = each.join(materialize(source, "first-texts"), ["h", "h2"])
-    aside = placed.where((F.col("doc_id") > F.col("first")) | F.col("compared").isNull())
-    return materialize(aside.groupBy("doc_id").agg(F.collect_list(F.struct("h", "h2", (F.col("doc_id") > F.col("first")).alias("copy"))).alias("aside")), "asides")
+    copies = each.join(materialize(first, "first-texts"), ["h", "h2"]).where(F.col("doc_id") > F.col("first"))
+    return materialize(copies.select("doc_id", "h", "h2"), "asides")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, texts: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, texts: bool = True, hashes: bool = False) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, n_removed, kept_sha256, kept_text``.
 
     A word goes if a window of ``length`` words that covers it also starts earlier: in a smaller doc_id, or
     earlier in the same document. Null texts have no words. A null doc_id counts as smaller than all others.
-    Rows that repeat a doc_id and text are one document and get the same result each; of different texts
-    under one doc_id only one is compared, the others come back whole. ``kept_text`` (with ``texts``) is the
-    text itself where nothing goes, else the kept words joined by a space. Other columns are ignored.
+    Rows that repeat a doc_id and text are one document and get the same result each; different texts under
+    one doc_id, or without one, are documents of their own, in the order of ``xxhash64`` of the text.
+    ``kept_text`` (with ``texts``) is the text itself where nothing goes, else the kept words joined by a
+    space; with ``hashes``, ``text_hash`` has that hash. Other columns are ignored.
     """
     if not 0 < gram <= length <= 255:
         raise ValueError("gram <= length <= 255")
-    d = only(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), "text")
+    d = only(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     asides = _text_roles(d)
     asides = F.broadcast(asides) if asides.count() <= ASIDES else asides
-    own = F.filter("aside", lambda a: (a["h"] == F.xxhash64("text")) & (a["h2"] == F.xxhash64(F.lit(1), "text")))
-    role = F.coalesce(F.get(F.transform(own, lambda a: F.when(a["copy"], COPY).otherwise(OTHER)), F.lit(0)), F.lit(COMPARED))
-    named = d.join(asides, "doc_id", "left").select("doc_id", role.cast("int").alias("role"), "text")
+    role = F.when(F.col("copy"), COPY).otherwise(COMPARED)
+    second = d.withColumn("h2", F.xxhash64(F.lit(1), "text"))
+    named = second.join(asides.withColumn("copy", F.lit(True)), ["doc_id", "h", "h2"], "left").select("doc_id", "h", role.cast("int").alias("role"), "text")
 
     def anchors() -> DataFrame:
-        compared = named.where((F.col("role") == COMPARED) & F.col("text").isNotNull()).select("doc_id", "text")
-        return compared.mapInArrow(_anchor_rows(length, gram), "gram long, doc_id long, at long")
+        compared = named.where((F.col("role") == COMPARED) & F.col("text").isNotNull()).select("doc_id", "h", "text")
+        return compared.mapInArrow(_anchor_rows(length, gram), "gram long, doc_id long, h long, at long")
 
     # a table of its own, so that the join with it can split the share of a gram that very many documents have
     often = materialize(anchors().groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "repeated-grams")
-    found = anchors().join(often, "gram").groupBy("doc_id").agg(F.collect_list(F.struct("gram", "at", "n")).alias("found"))
+    found = anchors().join(often, "gram").groupBy("doc_id", "h").agg(F.collect_list(F.struct("gram", "at", "n")).alias("found"))
     # texts are shuffled once: both joins read the same exchange
-    packed = named.mapInArrow(per_batch(_pack, PACKED), "doc_id long, role int, packed binary").where("doc_id is not null").repartition("doc_id")
-    stretches = packed.join(found, "doc_id").mapInArrow(_stretch_rows(length, group), STRETCH_SQL)
+    packed = named.mapInArrow(per_batch(_pack, PACKED), "doc_id long, h long, role int, packed binary").where("doc_id is not null and h is not null").repartition("doc_id", "h")
+    stretches = packed.join(found, ["doc_id", "h"]).mapInArrow(_stretch_rows(length, group), STRETCH_SQL)
     shares = stretches.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_tree_rows(length, False), SPANS_SQL)
     spans = shares.repartition("key").sortWithinPartitions("key").mapInArrow(_tree_rows(length, True), SPANS_SQL)
-    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+    by_doc = spans.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
 
-    judged = packed.join(by_doc, "doc_id", "left").mapInArrow(_judge(length, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return judged.withColumn("doc_id", F.nullif("doc_id", F.lit(-(2**63))))
+    judged = packed.join(by_doc, ["doc_id", "h"], "left").mapInArrow(_judge(length, texts), "doc_id long, h long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    named = judged.withColumn("doc_id", F.nullif("doc_id", F.lit(-(2**63)))).withColumnRenamed("h", "text_hash")
+    return named if hashes else named.drop("text_hash")

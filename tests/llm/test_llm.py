@@ -201,6 +201,41 @@ def test_substrings_are_brute_forces(docs, length, gram, group):
             assert r["kept_text"] in [x[1] for x in hard_rows()]
 
 
+def rows_of_repeated_ids():
+    rng, words = random.Random(9), vocabulary(n=2000)
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    shared = [text(25) for _ in range(4)]
+    ids = [None, None, None, None, 1, 1, 1, 2, 3, 3]
+    rows = [(d, f"{text(6 + i)} {shared[i % 4]} {text(9)} {shared[(i + 1) % 3]}") for i, d in enumerate(ids)]
+    return [*rows, rows[0], rows[4], (4, rows[5][1]), (1, None), (None, None), (1, "")]
+
+
+@pytest.mark.parametrize("group", [4096, 2])
+def test_substrings_compare_every_text_of_an_id(spark, group):
+    import corpus_pipeline
+
+    rows, length = rows_of_repeated_ids(), 20
+    place = lambda r: (r[0] is not None, r[0] or 0, np.uint64(xxhash.xxh64_intdigest((r[1] or "").encode(), 42)).astype(np.int64).item())
+    first, want = {}, {}
+    order = sorted({r for r in rows if r[1]}, key=place)
+    for r in order:
+        w = words_of(r[1])
+        for i in range(len(w) - length + 1):
+            first.setdefault(tuple(w[i : i + length]), (r, i))
+    for r in set(rows):
+        w = words_of(r[1])
+        gone = {i + j for i in range(len(w) - length + 1) if first[tuple(w[i : i + length])] != (r, i) for j in range(length)}
+        want[r] = " ".join(x for i, x in enumerate(w) if i not in gone) if gone else r[1]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substrings.remove_repeats(d, group=group).select("doc_id", "kept_text").collect()
+    texts = sorted([(r[0], want[r]) for r in rows], key=str)
+    assert sorted([tuple(r) for r in got], key=str) == texts
+    if group == 2:
+        whole = spark.createDataFrame([(*r, "aa", str(i), 1) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+        out = corpus_pipeline.substring_dedup(spark, whole, "").collect()
+        assert sorted([(r["doc_id"], r["text"], r["source"]) for r in out], key=str) == sorted([(r[0], want[r], str(i)) for i, r in enumerate(rows)], key=str)
+
+
 def test_substrings_edges(empty, spark):
     assert substrings.remove_repeats(empty).count() == 0
     two = spark.createDataFrame([(1, "a b c d"), (1, "e f g h")], "doc_id long, text string")
