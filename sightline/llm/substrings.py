@@ -1,9 +1,8 @@
-"""Repeated passages of words by prefix-partitioned suffix trees.
+"""Repeated passages of words by sorted windows on minimiser anchors, in place of prefix-partitioned suffix trees.
 
-A window is ``length`` consecutive words. What a window repeats is decided in suffix trees that each hold
-the suffixes with one prefix; the suffixes end after ``length`` words, so a tree's deep internal nodes are
-the places where suffixes agree in all of them, and the first leaf below such a node is the window that
-stays. Rather than a tree row for every word, the suffixes are anchored sparsely:
+A window is ``length`` consecutive words. Windows that share a prefix are sorted and compared with their
+neighbours, as the leaves of a suffix tree cut off at that depth would stand; no tree, inner node or maximal
+repeat is made. Rather than a row for every word, the windows are anchored sparsely:
 
 1. Each window chooses the ``gram``-word sequence with the smallest hash inside it as its anchor. Equal
    windows choose equal anchors, and neighbours mostly share one, so about one word in eight is an anchor.
