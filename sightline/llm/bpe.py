@@ -1,35 +1,37 @@
 """Byte-level BPE with Spark's higher-order functions.
 
-A word is one match of the splitting pattern, held as a string with one character for each of its bytes
-(ISO 8859-1). Encoding starts from single bytes and folds merges over them: of all neighbours whose bytes
-together are a token, the pair of the lowest rank is merged, the leftmost of equal ones, until no pair is
-left. Ranks are a literal: an array of small maps, found by the hash of a token's bytes.
-
-The most frequent words of the corpus (all its words are counted) are folded once; their ids are another
-literal of the same kind, of a fixed size. A text looks each of its words up there and folds those that
-aren't in it where they stand, so nothing but the counts is shuffled. Decoding looks up the bytes of each
-id and concatenates them.
+A word is one match of the splitting pattern. Encoding starts from the ids of its single bytes and folds
+merges over that array: of all neighbours whose bytes together are a token, the pair of the lowest rank is
+merged, the leftmost of equal ones, until no pair is left. The ranks are a literal map from a pair of ids to
+the rank, and thus the id, of both together: buckets of keys, each followed by its value.
+
+All words of the corpus are counted. A table of a fixed number of places, where a word's place is its hash,
+keeps the most frequent word of each place, folded once; a text looks its words up there, and a word that
+isn't in its place is folded where it stands, with the same ids. The table enters the plan as a scalar
+subquery, so that neither texts nor ids are shuffled and no Python worker runs. Decoding looks the piece of
+each id up and concatenates them.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 import json
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterable
 
-import numpy as np
-import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words that are folded once and looked up.
-FREQUENT = 1 << 17
+from .common import materialize
+
+#: Places for frequent words; bounds the table, whatever the corpus.
+PLACES = 1 << 18
 #: What white space is to Unicode; Java's own class has ASCII's alone.
-SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-#: Bytes of a word beyond which a text is encoded by ``merge_bytes``: the fold copies a word at each merge.
-LONG = 4096
+SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
+#: More than any id; its cube fits into a long.
+_WIDE = 1 << 20
+#: Bytes beyond which a word is cut where no merge can reach across; the ids are the same without.
+LONG = 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,91 +40,82 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of a word by the same merges as the fold, with a heap of pairs: for words of any length."""
-    n = len(word)
-    end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-    heap: list[tuple[int, int, int]] = []
-
-    def offer(i: int) -> None:
-        if i >= 0 and end[i] < n and (r := ranks.get(word[i : end[end[i]]])) is not None:
-            heapq.heappush(heap, (r, i, end[end[i]]))
-
-    for i in range(n - 1):
-        offer(i)
-    while heap:
-        _, i, stop = heapq.heappop(heap)
-        if not alive[i] or end[i] >= n or end[end[i]] != stop:
-            continue
-        alive[end[i]] = False
-        end[i] = stop
-        if stop < n:
-            before[stop] = i
-        offer(i)
-        offer(before[i])
-    return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
-
-
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-class Literal:
-    """A map from strings as a literal array of small maps; ``kind`` is the values' type."""
-
-    def __init__(self, values: dict[str, object], kind: str) -> None:
-        self.size = max(1, len(values) // 3)
-        parts: list[dict[str, object]] = [{} for _ in range(self.size)]
-        for k, v in values.items():
-            h = xxhash.xxh64_intdigest(k.encode(), 42)
-            parts[(h - (h >> 63 << 64)) % self.size][k] = v
-        self.column = F.from_json(F.lit(json.dumps(parts)), f"array<map<string,{kind}>>")
-
-    def find(self, bound: Column, key: Column) -> Column:
-        """Null without an entry. ``bound`` is the literal's column under a name of a lambda."""
-        return F.element_at(F.get(bound, F.pmod(F.xxhash64(key), F.lit(self.size)).cast("int")), key)
-
-
-def _bytes(word: Column) -> Column:
-    return F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-
+def _literal(value: Iterable, kind: str) -> Column:
+    """A constant of a nested type; the optimiser evaluates it before the query runs."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
-def _none() -> Column:
-    return F.array().cast("array<bigint>")
 
+def rank_map(ranks: dict[bytes, int]) -> tuple[list[int], list[int | None]]:
+    """Shifts and entries: the key of two ids whose bytes together are a token, plus the shift found by the key, leads to the key and their rank.
 
-def fold(word: Column, rank: Callable[[Column], Column]) -> Column:
-    """Ids of a word given with a character for each byte; ``rank`` gives a token's rank or null.
-
-    The state holds the parts and the rank of each part joined to the next. A merge changes one part and the
-    ranks beside it.
+    Both are found modulo the arrays' sizes; the shifts are such that no two keys share an entry.
     """
-
-    def start(parts: Column) -> Column:
-        ranks = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: rank(F.concat(F.get(parts, i - 1), F.get(parts, i))))
-        return F.struct(parts.alias("p"), F.when(F.size(parts) > 1, ranks).otherwise(_none()).alias("r"))
+    merged = {}
+    for token, rank in ranks.items():
+        for i in range(1, len(token)):
+            a, b = ranks.get(token[:i]), ranks.get(token[i:])
+            if a is not None and b is not None:
+                merged[a * _WIDE + b] = rank
+    shifts: list[int] = [0] * (len(merged) // 2 * 2 + 1)
+    entries: list[int | None] = [None] * (len(merged) * 5 // 2 + 7)
+    groups: dict[int, list[int]] = {}
+    for key in merged:
+        groups.setdefault(key % len(shifts), []).append(key)
+    for at, keys in sorted(groups.items(), key=lambda x: -len(x[1])):
+        for shift in range(len(entries)):
+            places = {(key + shift) % len(entries) for key in keys}
+            if len(places) == len(keys) and all(entries[i] is None for i in places):
+                break
+        else:
+            raise ValueError("the ranks don't fit into the table")
+        shifts[at] = shift
+        for key in keys:
+            entries[(key + shift) % len(entries)] = key * _WIDE + merged[key]
+    return shifts, entries
+
+
+def side_by_side(ranks: dict[bytes, int]) -> list[bool]:
+    """For each two bytes, as a number of 16 bits, whether they're neighbours in any token; elsewhere no merge can reach from one into the other."""
+    found = [False] * 65536
+    for token in ranks:
+        for a, b in zip(token, token[1:]):
+            found[a * 256 + b] = True
+    return found
+
+
+def fold(ids: Column, rank: Callable[[Column, Column], Column]) -> Column:
+    """Ids after all merges of ``ids``; ``rank`` of two ids is that of both together, or null or ``_WIDE`` and more.
+
+    The state holds the ids between two nulls, and the rank of each with the next. A merge replaces two ids and
+    the ranks on both sides of them.
+    """
+    mark = F.array(F.lit(None).cast("bigint"))
 
     def merge(state: Column, _: Column) -> Column:
         p, r = state["p"], state["r"]
 
-        def at(i: Column) -> Column:
-            def joined(token: Column) -> Column:
-                left = F.when(i > 1, F.array(rank(F.concat(F.get(p, i - 2), token)))).otherwise(_none())
-                right = F.when(i + 1 < F.size(p), F.array(rank(F.concat(token, F.get(p, i + 1))))).otherwise(_none())
+        def at(low: Column) -> Column:
+            def put(i: Column) -> Column:
+                sides = F.array(rank(F.get(p, i - 2), low), rank(low, F.get(p, i + 1)))
                 return F.struct(
-                    F.concat(F.slice(p, F.lit(1), i - 1), F.array(token), F.slice(p, i + 2, F.size(p))).alias("p"),
-                    F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.size(p))).alias("r"),
+                    F.flatten(F.array(F.slice(p, F.lit(1), i - 1), F.array(low), F.slice(p, i + 2, F.size(p)))).alias("p"),
+                    F.flatten(F.array(F.slice(r, F.lit(1), i - 2), sides, F.slice(r, i + 2, F.size(r)))).alias("r"),
                 )
 
-            return F.when(i.isNull(), state).otherwise(_let(F.concat(F.get(p, i - 1), F.get(p, i)), joined))
+            return F.when(low < _WIDE, _let(F.array_position(r, low).cast("int"), put)).otherwise(state)
 
-        return _let(F.array_position(r, F.array_min(r)).cast("int"), at)
+        return _let(F.array_min(r), at)
 
-    def whole(parts: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(1), F.size(parts)), start(parts), merge, lambda s: F.transform(s["p"], rank))
+    def whole(p: Column) -> Column:
+        start = F.struct(p.alias("p"), F.zip_with(p, F.slice(p, 2, F.size(p)), rank).alias("r"))
+        return F.aggregate(ids, start, merge, lambda s: F.slice(s["p"], F.lit(2), F.size(s["p"]) - 2))
 
-    return _let(F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, i, F.lit(1))), whole)
+    return F.when(F.size(ids) > 1, _let(F.flatten(F.array(mark, ids, mark)), whole)).otherwise(ids)
 
 
 def java_pattern(pattern: str) -> str:
@@ -139,77 +132,101 @@ def java_pattern(pattern: str) -> str:
 class Codec:
     """A byte-level BPE with its splitting pattern and ranks; every single byte has to be a token."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, frequent: int = FREQUENT) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, places: int = PLACES) -> None:
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("a byte has no rank")
-        self.ranks, self.pattern, self.frequent = ranks, pattern, frequent
-        self.of_token = Literal({t.decode("latin-1"): r for t, r in ranks.items()}, "bigint")
-        self.split = java_pattern(pattern)
+        shifts, entries = rank_map(ranks)
+        self.pattern, self.places, self.n_shifts, self.n_entries = java_pattern(pattern), places, len(shifts), len(entries)
+        self.literals = F.struct(
+            _literal(shifts, "array<int>").alias("shifts"),
+            _literal(entries, "array<bigint>").alias("entries"),
+            _literal([ranks[bytes([b])] for b in range(256)], "array<bigint>").alias("single"),
+            _literal(side_by_side(ranks), "array<boolean>").alias("beside"),
+        )
+        pieces = [""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            pieces[rank] = token.hex()
+        self.pieces = _literal(pieces, "array<string>")
+        self.packs = _literal([i.to_bytes(4, "little").hex() for i in range(len(pieces))], "array<string>")
 
     def words(self, text: Column) -> Column:
-        return F.regexp_extract_all(text, F.lit(self.split), F.lit(0))
+        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def _long(self, text: Column) -> Column:
-        return F.coalesce(text.rlike(rf"[^{SPACE}]{{{LONG}}}|[{SPACE}]{{{LONG}}}"), F.lit(False))
+    def _place(self, word: Column) -> Column:
+        return F.pmod(F.xxhash64(word), F.lit(self.places)).cast("int")
 
-    def frequent_words(self, docs: DataFrame, text: str = "text") -> dict[str, list[int]]:
-        """Ids of the most frequent words of ``docs``, at most ``frequent`` of them, each folded once."""
-        each = docs.where(~self._long(F.col(text))).select(F.explode(self.words(F.col(text))).alias("w"))
-        top = each.groupBy("w").count().orderBy(F.desc("count"), "w").limit(self.frequent).select("w")
-        ids = _let(self.of_token.column, lambda r: fold(_bytes(F.col("w")), lambda t: self.of_token.find(r, t)))
-        return {row["w"]: row["ids"] for row in top.repartition(64).select("w", ids.alias("ids")).collect()}
+    def word_ids(self, word: Column, literals: Column) -> Column:
+        """Ids of a word, folded; a long one in stretches between bytes that no token holds side by side."""
 
-    def encode(self, docs: DataFrame, text: str = "text", ids: str = "ids") -> DataFrame:
-        """``docs`` with ``ids``, array<bigint>. A null or empty text has none; a column of that name is replaced."""
-        docs = docs.drop(ids)
-        known = Literal(self.frequent_words(docs, text), "array<bigint>")
-        told = F.coalesce(F.col(text), F.lit(""))
+        def rank(a: Column, b: Column) -> Column:
+            key = a * _WIDE + b
+            entry = F.get(literals["entries"], (key + F.get(literals["shifts"], key % self.n_shifts)) % self.n_entries)
+            return F.pmod(entry - key * _WIDE, F.lit(1 << 60))
 
-        def encoded(of_token: Column, of_word: Column) -> Column:
-            rare = lambda w: fold(_bytes(w), lambda t: self.of_token.find(of_token, t))
-            return F.flatten(F.transform(self.words(told), lambda w: F.coalesce(known.find(of_word, w), rare(w))))
+        def of_codes(codes: Column) -> Column:
+            return F.when(F.size(codes) > LONG, cut(codes)).otherwise(fold(F.transform(codes, single), rank))
 
-        plain = docs.where(~self._long(F.col(text))).withColumn(ids, _let(self.of_token.column, lambda r: _let(known.column, lambda k: encoded(r, k))))
-        return plain.unionByName(self._encode_long(docs.where(self._long(F.col(text))), text, ids))
+        def single(code: Column) -> Column:
+            return F.get(literals["single"], code)
 
-    def _encode_long(self, docs: DataFrame, text: str, ids: str) -> DataFrame:
-        ranks, pattern = self.ranks, self.pattern
+        def cut(codes: Column) -> Column:
+            inner = F.filter(F.sequence(F.lit(1), F.size(codes) - 1), lambda i: ~F.get(literals["beside"], F.get(codes, i - 1) * 256 + F.get(codes, i)))
+            stops = F.concat(inner, F.array(F.size(codes)))
 
-        @F.udf(returnType="array<bigint>", useArrow=True)
-        def merged(t: str) -> list[int]:
-            import regex
+            def stretches(stops: Column) -> Column:
+                def one(stop: Column, n: Column) -> Column:
+                    return _let(F.coalesce(F.get(stops, n - 1), F.lit(0)), lambda begin: fold(F.transform(F.slice(codes, begin + 1, stop - begin), single), rank))
 
-            return [i for w in regex.findall(pattern, t) for i in merge_bytes(w.encode(), ranks)]
+                return F.flatten(F.transform(stops, one))
 
-        return docs.withColumn(ids, merged(text))
+            return _let(stops, stretches)
 
-    def decode(self, ids: Column) -> Column:
-        """The bytes of an array of ids, binary; ids that no token has give none."""
-        token = {r: t for t, r in self.ranks.items()}
-        pieces = [token.get(i, b"") for i in range(max(token) + 1)]
+        codes = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), F.ascii)
+        return F.transform(_let(codes, of_codes), lambda i: i.cast("int"))
 
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for ids in batches:
-                yield pd.Series([None if x is None else b"".join([pieces[i] for i in x.tolist() if 0 <= i < len(pieces)]) for x in ids], dtype=object)
+    def frequent_words(self, docs: DataFrame, text: str = "text") -> DataFrame:
+        """``place, w, ids``: the most frequent word of ``docs`` at each place that has one, the last by code point of equally frequent ones."""
+        counts = docs.select(F.explode(self.words(F.col(text))).alias("w")).groupBy("w").count()
+        best = counts.groupBy(self._place(F.col("w")).alias("place")).agg(F.max(F.struct("count", "w"))["w"].alias("w"))
+        ids = _let(self.literals, lambda known: self.word_ids(F.col("w"), known))
+        return materialize(best, "words").repartition(-(-self.places // 4096)).select("place", "w", ids.alias("ids"))
 
-        return F.pandas_udf(run, "binary")(ids)
+    def _table(self, frequent: DataFrame) -> Column:
+        """The places in their order, as one array."""
+        spark = frequent.sparkSession
+        places = spark.range(self.places).select(F.col("id").cast("int").alias("place"))
+        each = places.join(frequent, "place", "left").select(F.struct("place", "w", "ids").alias("entry"))
+        return materialize(each.agg(F.sort_array(F.collect_list("entry")).alias("entries")), "places").scalar()
 
+    def encode(self, docs: DataFrame, text: str = "text", ids: str = "ids") -> DataFrame:
+        """``docs`` with ``ids``, array<int>. A null or empty text has none; a column of that name is replaced."""
+        table = self._table(materialize(self.frequent_words(docs, text), "frequent"))
+
+        def encoded(known: Column, entries: Column) -> Column:
+            def one(word: Column) -> Column:
+                return _let(F.get(entries, self._place(word)), lambda e: F.when(e["w"] == word, e["ids"]).otherwise(self.word_ids(word, known)))
 
-def _little_endian(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for ids in batches:
-        yield pd.Series([None if x is None else np.asarray(x, "<u4").tobytes() for x in ids], dtype=object)
+            return F.flatten(F.transform(self.words(F.col(text)), one))
 
+        name = f"entries_{uuid.uuid4().hex}"
+        found = _let(self.literals, lambda known: _let(F.col(name), lambda entries: encoded(known, entries)))
+        return docs.withColumn(name, table).withColumn(ids, found).drop(name)
+
+    def decode(self, ids: Column) -> Column:
+        """The bytes of an array of ids, binary: the pieces of all of them, one after the other; ids that no token has give none."""
+        return F.unhex(_let(self.pieces, lambda pieces: F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")))
 
-def packed(ids: Column) -> Column:
-    """An array of ids as little-endian unsigned 32-bit integers, binary."""
-    return F.pandas_udf(_little_endian, "binary")(ids)
+    def packed(self, ids: Column) -> Column:
+        """An array of this vocabulary's ids as little-endian unsigned 32-bit integers, binary."""
+        return F.unhex(_let(self.packs, lambda packs: F.array_join(F.transform(ids, lambda i: F.get(packs, i)), "")))
 
 
 def round_trip(docs: DataFrame, codec: Codec) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row: of its ids, and of the bytes they decode to.
 
-    A null or empty text has no ids. Repeated rows give repeated results. Other columns are ignored.
+    A null or empty text has no ids. Repeated rows give repeated results; an empty table has none. Other columns
+    are ignored.
     """
+    ids = F.col("ids")
     encoded = codec.encode(docs.select("doc_id", "text"))
-    out = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), packed(F.col("ids")).alias("packed"), codec.decode(F.col("ids")).alias("decoded"))
-    return out.select("doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encoded.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(codec.packed(ids), 256).alias("ids_sha256"), F.sha2(codec.decode(ids), 256).alias("decoded_sha256"))

@@ -420,7 +420,7 @@ def test_bpe_is_the_librarys(docs, empty):
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
     e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    codec = bpe.Codec(bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN, frequent=40)
+    codec = bpe.Codec(bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN, places=40)
     want = {}
     for d, t, *_ in hard_rows():
         ids = np.array(e.encode_ordinary(t or ""), "<u4")
@@ -428,7 +428,13 @@ def test_bpe_is_the_librarys(docs, empty):
     got = bpe.round_trip(docs, codec).collect()
     assert len(got) == len(hard_rows()) and {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got} == want
     assert bpe.round_trip(empty, codec).count() == 0
-    assert bpe.merge_bytes(b"abc" * 3000, ranks) == e._encode_single_piece(b"abc" * 3000)
+    texts = ["abc" * 700, "q7Zx" * 300 + "日本語" * 100, " \u00a0\u3000\u2003 x\u2028\n\n  y", "\x1c\x00 a\x1fb", "aaaaaaaaaaa", "x" * 49, "don't we'LL 12345\r\n\t!!??", "naïve Ünï"]
+    odd = docs.sparkSession.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = codec.encode(odd).select("doc_id", "ids", codec.decode(F.col("ids")).alias("b"), codec.packed(F.col("ids")).alias("p")).collect()
+    for r in out:
+        want = e.encode_ordinary(texts[r["doc_id"]])
+        assert r["ids"] == want and bytes(r["b"]).decode() == texts[r["doc_id"]] and bytes(r["p"]) == np.array(want, "<u4").tobytes()
+    assert "Python" not in bpe.round_trip(docs, codec)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_every_number_has_a_query():
