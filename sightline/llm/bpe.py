@@ -6,7 +6,7 @@ merged, the leftmost of equal ones, until no pair is left. The ranks are a liter
 the rank, and thus the id, of both together: buckets of keys, each followed by its value.
 
 All words of the corpus are counted. A table of a fixed number of places, where a word's place is its hash,
-keeps the most frequent word of each place, folded once; a text looks its words up there, and a word that
+keeps the most frequent words of each place, folded once; a text looks its words up there, and a word that
 isn't in its place is folded where it stands, with the same ids. The table enters the plan as a scalar
 subquery, so that neither texts nor ids are shuffled and no Python worker runs. Decoding looks the piece of
 each id up and concatenates them.
@@ -19,13 +19,13 @@ import json
 import uuid
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Places for frequent words; bounds the table, whatever the corpus.
-PLACES = 1 << 18
+#: Places for frequent words, and how many words a place has at most; both bound the table, whatever the corpus.
+PLACES, WAYS = 1 << 17, 4
 #: What white space is to Unicode; Java's own class has ASCII's alone.
 SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
 #: More than any id; its cube fits into a long.
@@ -185,18 +185,20 @@ class Codec:
         return F.transform(_let(codes, of_codes), lambda i: i.cast("int"))
 
     def frequent_words(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """``place, w, ids``: the most frequent word of ``docs`` at each place that has one, the last by code point of equally frequent ones."""
-        counts = docs.select(F.explode(self.words(F.col(text))).alias("w")).groupBy("w").count()
-        best = counts.groupBy(self._place(F.col("w")).alias("place")).agg(F.max(F.struct("count", "w"))["w"].alias("w"))
+        """``place, way, w, ids``: at each place its ``WAYS`` most frequent words of ``docs``, equally frequent ones by code point."""
+        counts = docs.select(F.explode(self.words(F.col(text))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+        way = F.row_number().over(Window.partitionBy("place").orderBy(F.desc("n"), "w"))
+        best = counts.withColumn("place", self._place(F.col("w"))).withColumn("way", way).where(F.col("way") <= WAYS).select("place", "way", "w")
         ids = _let(self.literals, lambda known: self.word_ids(F.col("w"), known))
-        return materialize(best, "words").repartition(-(-self.places // 4096)).select("place", "w", ids.alias("ids"))
+        return materialize(best, "words").repartition(-(-self.places * WAYS // 8192)).select("place", "way", "w", ids.alias("ids"))
 
     def _table(self, frequent: DataFrame) -> Column:
-        """The places in their order, as one array."""
-        spark = frequent.sparkSession
-        places = spark.range(self.places).select(F.col("id").cast("int").alias("place"))
-        each = places.join(frequent, "place", "left").select(F.struct("place", "w", "ids").alias("entry"))
-        return materialize(each.agg(F.sort_array(F.collect_list("entry")).alias("entries")), "places").scalar()
+        """The words of all places in the order of places, as one array."""
+        places = frequent.sparkSession.range(self.places).select(F.col("id").cast("int").alias("place"))
+        words = frequent.groupBy("place").agg(F.sort_array(F.collect_list(F.struct("way", "w", "ids"))).alias("words"))
+        each = places.join(words, "place", "left").select(F.struct("place", "words").alias("entry"))
+        ordered = F.transform(F.sort_array(F.collect_list("entry")), lambda e: F.transform(e["words"], lambda x: F.struct(x["w"].alias("w"), x["ids"].alias("ids"))))
+        return materialize(each.agg(ordered.alias("entries")), "places").scalar()
 
     def encode(self, docs: DataFrame, text: str = "text", ids: str = "ids") -> DataFrame:
         """``docs`` with ``ids``, array<int>. A null or empty text has none; a column of that name is replaced."""
@@ -204,7 +206,11 @@ class Codec:
 
         def encoded(known: Column, entries: Column) -> Column:
             def one(word: Column) -> Column:
-                return _let(F.get(entries, self._place(word)), lambda e: F.when(e["w"] == word, e["ids"]).otherwise(self.word_ids(word, known)))
+                def found(words: Column) -> Column:
+                    told = [F.when(F.get(words, k)["w"] == word, F.get(words, k)["ids"]) for k in range(WAYS)]
+                    return F.coalesce(*told, self.word_ids(word, known))
+
+                return _let(F.get(entries, self._place(word)), found)
 
             return F.flatten(F.transform(self.words(F.col(text)), one))
 
