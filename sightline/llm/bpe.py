@@ -91,29 +91,23 @@ def side_by_side(ranks: dict[bytes, int]) -> list[bool]:
 def fold(ids: Column, rank: Callable[[Column, Column], Column]) -> Column:
     """Ids after all merges of ``ids``; ``rank`` of two ids is that of both together, or null or ``_WIDE`` and more.
 
-    The state holds the ids between two nulls, and the rank of each with the next. A merge replaces two ids and
-    the ranks on both sides of them.
+    The state holds the ids between two nulls (p), the rank of each with the next (r), the lowest rank and where
+    it first is. A merge replaces two ids and the ranks on both sides of them.
     """
     mark = F.array(F.lit(None).cast("bigint"))
 
-    def merge(state: Column, _: Column) -> Column:
-        p, r = state["p"], state["r"]
+    def state(p: Column, ranks: Column) -> Column:
+        return _let(ranks, lambda r: F.struct(p.alias("p"), r.alias("r"), F.array_min(r).alias("low"), F.array_position(r, F.array_min(r)).cast("int").alias("at")))
 
-        def at(low: Column) -> Column:
-            def put(i: Column) -> Column:
-                sides = F.array(rank(F.get(p, i - 2), low), rank(low, F.get(p, i + 1)))
-                return F.struct(
-                    F.flatten(F.array(F.slice(p, F.lit(1), i - 1), F.array(low), F.slice(p, i + 2, F.size(p)))).alias("p"),
-                    F.flatten(F.array(F.slice(r, F.lit(1), i - 2), sides, F.slice(r, i + 2, F.size(r)))).alias("r"),
-                )
-
-            return F.when(low < _WIDE, _let(F.array_position(r, low).cast("int"), put)).otherwise(state)
-
-        return _let(F.array_min(r), at)
+    def merge(s: Column, _: Column) -> Column:
+        p, r, low, at = s["p"], s["r"], s["low"], s["at"]
+        sides = F.array(rank(F.get(p, at - 2), low), rank(low, F.get(p, at + 1)))
+        ranks = F.flatten(F.array(F.slice(r, F.lit(1), at - 2), sides, F.slice(r, at + 2, F.size(r))))
+        parts = F.flatten(F.array(F.slice(p, F.lit(1), at - 1), F.array(low), F.slice(p, at + 2, F.size(p))))
+        return F.when(low < _WIDE, state(parts, ranks)).otherwise(s)
 
     def whole(p: Column) -> Column:
-        start = F.struct(p.alias("p"), F.zip_with(p, F.slice(p, 2, F.size(p)), rank).alias("r"))
-        return F.aggregate(ids, start, merge, lambda s: F.slice(s["p"], F.lit(2), F.size(s["p"]) - 2))
+        return F.aggregate(ids, state(p, F.zip_with(p, F.slice(p, 2, F.size(p)), rank)), merge, lambda s: F.slice(s["p"], F.lit(2), F.size(s["p"]) - 2))
 
     return F.when(F.size(ids) > 1, _let(F.flatten(F.array(mark, ids, mark)), whole)).otherwise(ids)
 
@@ -185,10 +179,10 @@ class Codec:
         return F.transform(_let(codes, of_codes), lambda i: i.cast("int"))
 
     def frequent_words(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """``place, way, w, ids``: at each place its ``WAYS`` most frequent words of ``docs``, equally frequent ones by code point."""
+        """``place, way, w, ids``: at each place its ``WAYS`` most frequent words of ``docs``, equally frequent ones by code point. What occurs once needn't be kept."""
         counts = docs.select(F.explode(self.words(F.col(text))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
         way = F.row_number().over(Window.partitionBy("place").orderBy(F.desc("n"), "w"))
-        best = counts.withColumn("place", self._place(F.col("w"))).withColumn("way", way).where(F.col("way") <= WAYS).select("place", "way", "w")
+        best = counts.withColumn("place", self._place(F.col("w"))).withColumn("way", way).where((F.col("way") <= WAYS) & (F.col("n") > 1)).select("place", "way", "w")
         ids = _let(self.literals, lambda known: self.word_ids(F.col("w"), known))
         return materialize(best, "words").repartition(-(-self.places * WAYS // 8192)).select("place", "way", "w", ids.alias("ids"))
 
