@@ -22,8 +22,10 @@ from .common import binary_rows, materialize, only, shared_dir
 
 #: Ids in a block, unless a single document has more.
 BLOCK = 1 << 16
-#: Distinct words whose ids a worker remembers before it starts anew.
-REMEMBERED = 1_600_000
+#: Bytes of words and ids that a worker remembers in a generation; with the generation before, at most twice that.
+REMEMBERED = 48 << 20
+#: What a remembered word takes besides its own bytes and those of its ids.
+_ENTRY = 200
 #: Types of ids by bytes.
 KINDS = {2: "<u2", 4: "<u4"}
 
@@ -64,33 +66,40 @@ _ENCODERS: dict[str, WordEncoder] = {}
 class WordEncoder:
     """Ids of texts from a file of the ``tokenizers`` library that treats words between ASCII white space one by one.
 
-    The library encodes a word once; its ids are remembered, as bytes. Strings of special tokens are ordinary text.
-    With ``lower`` the library is known to lower-case texts, and texts of ASCII alone are lower-cased before the look-up.
+    The library encodes a word once; its ids are remembered, as bytes, while the word keeps occurring. Strings
+    of special tokens are ordinary text, or with ``special`` those tokens, as in the library's plain call. If the
+    library is known to lower-case texts, texts of ASCII alone are lower-cased before the look-up.
     """
 
-    def __init__(self, content: str, width: int) -> None:
+    def __init__(self, content: str, width: int, special: bool = False) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.known = Tokenizer.from_str(content), KINDS[width], {}
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer, self.kind, self.known, self.older, self.held = Tokenizer.from_str(content), KINDS[width], {}, {}, 0
+        self.tokenizer.encode_special_tokens = not special
         self.lower = '"Lowercase"' in content
+        self.cased = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.between = np.array(self._ids(_BETWEEN), np.uint32)
 
     @classmethod
-    def of_worker(cls, content: str, width: int) -> WordEncoder:
-        key = f"{width}{hash(content)}"
+    def of_worker(cls, content: str, width: int, special: bool = False) -> WordEncoder:
+        key = f"{width}{special}{hash(content)}"
         if key not in _ENCODERS:
-            _ENCODERS[key] = cls(content, width)
+            _ENCODERS.clear()
+            _ENCODERS[key] = cls(content, width, special)
         return _ENCODERS[key]
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def _keep(self, word: bytes, ids: bytes) -> None:
+        self.known[word] = ids
+        self.held += len(word) + len(ids) + _ENTRY
+
     def _learn(self, words: list[bytes]) -> None:
         """Encode new words, many in one text: the mark between them shows where each one's ids end."""
         plain = [w for w in words if _BETWEEN.encode() not in w]
         for w in set(words).difference(plain):
-            self.known[w] = np.array(self._ids(w.decode("utf-8", "replace")), self.kind).tobytes()
+            self._keep(w, np.array(self._ids(w.decode("utf-8", "replace")), self.kind).tobytes())
         for i in range(0, len(plain), 2000):
             part = plain[i : i + 2000]
             ids = np.array(self._ids(f" {_BETWEEN} ".join(w.decode("utf-8", "replace") for w in part)), np.uint32)
@@ -100,17 +109,37 @@ class WordEncoder:
                 raise ValueError("words are not encoded one by one")
             flat, size = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
             for w, a, b in zip(part, np.r_[0, marks + k].tolist(), np.r_[marks, len(ids)].tolist()):
-                self.known[w] = flat[a * size : b * size]
+                self._keep(w, flat[a * size : b * size])
+
+    def _words(self, text: bytes) -> list[bytes]:
+        if self.lower and text.isascii():
+            low = text.lower()
+            if not any(s in low for s in self.cased):
+                return low.split()
+        return text.split()
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        split = [(t.lower() if self.lower and t.isascii() else t).split() for t in texts]
-        new = {w for words in split for w in words}.difference(known)
+        if self.held > REMEMBERED:
+            self.known, self.older, self.held = {}, self.known, 0
+        split = [self._words(t) for t in texts]
+        new = {w for words in split for w in words}.difference(self.known)
+        for w in new.intersection(self.older):
+            self._keep(w, self.older[w])
+        new.difference_update(self.known)
         if new:
             self._learn(list(new))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+
+
+def _parts(texts: list[bytes]) -> Iterator[slice]:
+    """Slices of texts that hold some megabytes together, and one text at least."""
+    begin, held = 0, 0
+    for i, t in enumerate(texts):
+        if held > 4 << 20:
+            yield slice(begin, i)
+            begin, held = i, 0
+        held += len(t)
+    yield slice(begin, len(texts))
 
 
 def width_of(path: str) -> int:
@@ -123,19 +152,22 @@ def width_of(path: str) -> int:
 IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int, width: int = 4) -> DataFrame:
-    """``(doc_id, ids)``: every row's ids with the end id, little-endian, of ``width`` bytes; a null text has the end id alone."""
+def tokenize(docs: DataFrame, path: str, end_id: int, width: int = 4, special: bool = False) -> DataFrame:
+    """``(doc_id, ids)``: every row's ids with the end id, little-endian, of ``width`` bytes; a null text has the end id alone.
+
+    Strings of special tokens in a text are ordinary text, or those tokens with ``special``.
+    """
     end = np.array([end_id], KINDS[width]).tobytes()
     with open(path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder.of_worker(shared.value, width)
+        encode = WordEncoder.of_worker(shared.value, width, special)
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
-                ids = [x + end for x in encode([t or b"" for t in binary_rows(part["text"])])]
-                yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"], "ids": ids}, schema=IDS)
+            texts = [t or b"" for t in binary_rows(batch["text"])]
+            for part in _parts(texts):
+                ids = [x + end for x in encode(texts[part])]
+                yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"][part], "ids": ids}, schema=IDS)
 
     return only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, ids binary")
 
@@ -227,14 +259,15 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 def to_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None) -> str:
     """Tokenize ``docs`` with the ``tokenizers`` file ``tokenizer`` and write token files; returns where (the shared folder by default).
 
-    Every row is a document, repeated ones too; null and empty texts hold the end id alone. An empty table
-    gives files without documents. Other columns are ignored.
+    The library is called plainly: the string of a special token in a text is that token. Every row is a
+    document, repeated ones too; null and empty texts hold the end id alone. An empty table gives files without
+    documents. Other columns are ignored.
     """
     import uuid
 
     path = path or f"{shared_dir(docs.sparkSession)}/sightline/tokens-{uuid.uuid4().hex}"
     width = width_of(tokenizer)
-    write_token_files(materialize(tokenize(docs, tokenizer, end_id, width), "ids"), path, width)
+    write_token_files(materialize(tokenize(docs, tokenizer, end_id, width, special=True), "ids"), path, width)
     return path
 
 

@@ -257,11 +257,11 @@ def test_language_edges(docs, empty, spark):
     assert [r["lang_pred"] for r in langid.predict(spark.createDataFrame([(1, "hello")], "doc_id long, text string"), None).collect()] == ["und"]
 
 
-def library():
+def library(special=False):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
+    t.encode_special_tokens = not special
     return t
 
 
@@ -272,6 +272,16 @@ def test_word_encoder_is_the_library():
     assert [np.frombuffer(x, "<u2").tolist() for x in e([t.encode() for t in texts])] == want
 
 
+def test_plain_encoder_knows_special_tokens(monkeypatch):
+    monkeypatch.setattr(tokenfiles, "REMEMBERED", 2000)
+    e = tokenfiles.WordEncoder(open(P.path("word_bpe_49k.json"), encoding="utf-8").read(), 2, special=True)
+    texts = ["a <|endoftext|> b <|startoftext|>c", "x<|endoftext|>y", "<|ENDOFTEXT|> Aa <|endoftext|>", "É<|endoftext|>\u0301", *(" ".join(vocabulary(i)) for i in range(20))]
+    for _ in range(2):
+        for t in texts:
+            assert np.frombuffer(e([t.encode()])[0], "<u2").tolist() == library(True).encode(t, add_special_tokens=False).ids
+    assert e.held < 20000
+
+
 def test_numbers_round_trip():
     rng = np.random.default_rng(4)
     for n in (0, 1, 3, 4, 5, 1000):
@@ -283,7 +293,7 @@ def test_numbers_round_trip():
 
 def test_token_files(docs, empty, spark):
     rows = sorted((r[:2] for r in hard_rows()), key=lambda r: (r[0] is not None, r[0] or 0))
-    ids = [np.array([*e.ids, 1], "<u4") for e in library().encode_batch([t or "" for _, t in rows], add_special_tokens=False)]
+    ids = [np.array([*e.ids, 1], "<u4") for e in library(True).encode_batch([t or "" for _, t in rows], add_special_tokens=False)]
     path = tokenfiles.to_token_files(docs, P.path("word_bpe_49k.json"), 1)
     got = sorted((r["start"], r["n_tokens"], r["ids_crc32"]) for r in tokenfiles.with_crc32(tokenfiles.read_token_files(spark, path)).collect())
     ends = np.cumsum([len(x) for x in ids])
