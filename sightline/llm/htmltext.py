@@ -3,11 +3,13 @@
 A page is read once, tag by tag, into text nodes, each with the path of the elements that it stands in. Nodes
 are pooled by path: text per node and punctuation per node are a path's two ratios. Each is smoothed over the
 page, in the order in which nodes stand, by a Gaussian; their product, again averaged by path, is a path's
-score. Paths whose score reaches a part of the page's spread are content, and with them what their nearest
-sectioning ancestor holds, so that short paragraphs stay with long ones.
+score. Paths whose score reaches a part of the page's best are content, and with them what their article, or
+else their nearest sectioning ancestor, holds, so that headings and short paragraphs stay with long ones.
 
-Whole elements never hold content: scripts, styles, navigation, headers, footers, asides, forms, and those
-of which a whole class, id or role names an advert, a menu, a notice or readers' comments.
+Menus, footers, adverts and comments take part in the ratios like any text. Names only help: the score of a
+path through an element whose tag, or a whole class, id or role of which, names such a thing is scaled down
+by a constant, and its text doesn't stay for its section's sake. A name on an element that holds an article
+says nothing.
 """
 
 from __future__ import annotations
@@ -29,13 +31,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 #: Elements that are part of a line; all others begin and end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-#: Elements that hold no content.
-NEVER = RAW | frozenset("head nav header footer aside form button select option fieldset svg math canvas object audio video template dialog menu".split())
-_MARK = r"(?:ad|ads|advert\w*|advertisement|banner|sponsor\w*|promo\w*|menu|nav|navbar|navigation|breadcrumbs?|header|footer|masthead|sidebar|aside|widget|related|share|social|cookies?|consent|notice|popup|modal|newsletter|subscribe|comments?|commentlist|disqus|replies|respond|toolbar|pagination|pager|complementary|contentinfo|search)"
+#: Elements whose text isn't shown as such.
+UNSEEN = RAW | frozenset("head svg math canvas object audio video template datalist".split())
+#: Elements that seldom hold content; a form may hold a whole page.
+DOUBTFUL = frozenset("nav header footer aside button select option optgroup fieldset dialog menu".split())
+_MARK = r"(?:ads?|advert\w*|advertisement|banner|sponsor\w*|promo\w*|menu|nav|navbar|navigation|breadcrumbs?|header|footer|masthead|sidebar|aside|widget|related|share|social|cookies?|consent|notice|popup|modal|newsletter|subscribe|comments?|commentlist|disqus|replies|reply|respond|toolbar|pagination|pager|complementary|contentinfo|search)"
+_BEFORE = r"(?:left|right|top|bottom|main|site|page|global|primary|secondary|user|reader)[_-]+"
+_AFTER = r"(?:[_-]+(?:list|box|block|bar|area|section|wrapper|container|item|body|inner|unit|slot|form|links?|thread|\d+))"
 #: A class, id or role that marks an element as no content: of such words alone, so that has-sidebar or with-comments doesn't.
-MARKS = re.compile(rf"(?<!\S){_MARK}(?:[_-]+{_MARK})*(?!\S)", re.I)
-#: Elements that marks don't strike, since they hold the page or its content.
-HOLDERS = frozenset("html body main article".split())
+MARKS = re.compile(rf"(?<!\S)(?:{_BEFORE})*{_MARK}(?:[_-]+{_MARK}|{_AFTER})*(?!\S)", re.I)
+#: Elements that marks don't concern, since they hold the page or its content; the last two hold an article.
+PAGE, HOLDERS = frozenset(["html", "body"]), frozenset(["article", "main"])
 #: Elements of a head; any other one, or text, ends it (fixed values of the HTML standard).
 IN_HEAD = frozenset("base basefont bgsound link meta title script style noscript noframes template head html".split())
 #: Elements that an opening tag of the second kind ends, if they're open (fixed values of the HTML standard).
@@ -43,7 +49,7 @@ P_ENDERS = frozenset("address article aside blockquote details div dl fieldset f
 ENDS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 SECTIONS = frozenset("article main section body html div td blockquote".split())
 
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 _BLANK = re.compile(r"\s+")
@@ -64,34 +70,50 @@ def attributes(rest: str) -> tuple[str, bool]:
 
 
 class Node:
-    """A run of text within one block, with the path of its block's element."""
+    """A run of text within one block, with the path of its block's element.
 
-    __slots__ = ("path", "section", "text")
+    ``section`` and ``holder`` are the nearest sectioning element and the nearest article (0: none); ``doubts``
+    are the elements on the path that a tag or a name makes doubtful. Elements are numbered in page order.
+    """
+
+    __slots__ = ("doubts", "holder", "path", "section", "text")
+
+    def __init__(self, path: str, section: int, holder: int, doubts: tuple[int, ...], text: str) -> None:
+        self.path, self.section, self.holder, self.doubts, self.text = path, section, holder, doubts, text
+
+
+class Open:
+    """An open element."""
 
-    def __init__(self, path: str, section: int, text: str) -> None:
-        self.path, self.section, self.text = path, section, text
+    __slots__ = ("doubts", "holder", "label", "name", "section", "unseen")
 
+    def __init__(self, name: str, label: str, unseen: bool, section: int, holder: int, doubts: tuple[int, ...]) -> None:
+        self.name, self.label, self.unseen, self.section, self.holder, self.doubts = name, label, unseen, section, holder, doubts
 
-def nodes(page: str) -> list[Node]:
-    """Blocks of a page outside elements that never hold content, in page order.
+
+def nodes(page: str) -> tuple[list[Node], dict[int, bool]]:
+    """Blocks of a page in page order, and its doubtful elements, each with whether its tag alone makes it so.
 
     A block's path has the names and classes of the open elements that aren't part of a line. Missing end
-    tags end with their parent; an end tag without a start is ignored.
+    tags end with their parent; an end tag without a start is ignored. Elements that are marked by a name but
+    hold an article aren't doubtful.
     """
     out: list[Node] = []
-    stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]  # name, label, whether it can hold content, section
+    stack = [Open("", "", False, 0, 0, ())]
     text: list[str] = []
-    sections = 0
+    doubtful: dict[int, bool] = {}
+    count = 0
 
     def flush() -> None:
         if text:
             whole = _BLANK.sub(" ", "".join(text)).strip()
             text.clear()
             if whole:
-                out.append(Node("/".join(x[1] for x in stack if x[1]), stack[-1][3], whole))
+                at = stack[-1]
+                out.append(Node("/".join(x.label for x in stack if x.label), at.section, at.holder, at.doubts, whole))
 
     def close(depth: int) -> None:
-        if any(x[0] not in INLINE for x in stack[depth:]):
+        if any(x.name not in INLINE for x in stack[depth:]):
             flush()
         del stack[depth:]
 
@@ -99,62 +121,62 @@ def nodes(page: str) -> list[Node]:
     while at < len(page):
         found = _TOKEN.search(page, at)
         stop = found.start() if found else len(page)
-        if stop > at and stack[-1][0] == "head" and not page[at:stop].isspace():
+        if stop > at and stack[-1].name == "head" and not page[at:stop].isspace():
             close(len(stack) - 1)
-        if stop > at and not stack[-1][2]:
+        if stop > at and not stack[-1].unseen:
             text.append(html.unescape(page[at:stop]))
         if not found:
             break
         at, (end, start, rest) = found.end(), found.groups()
-        if end:
-            name = end.lower()
-            if name == "br":
-                text.append(" ") if not stack[-1][2] else None
-                continue
+        name = (end or start or "").lower()
+        if name == "br":
+            if not stack[-1].unseen:
+                text.append(" ")
+        elif end:
             for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == name:
+                if stack[depth].name == name:
                     close(depth)
                     break
-                if name in INLINE and stack[depth][0] not in INLINE:
+                if name in INLINE and stack[depth].name not in INLINE:
                     break
         elif start:
-            name = start.lower()
-            if stack[-1][0] == "head" and name not in IN_HEAD:
+            if stack[-1].name == "head" and name not in IN_HEAD:
                 close(len(stack) - 1)
-            if name == "br":
-                if not stack[-1][2]:
-                    text.append(" ")
-                continue
             block = name not in INLINE
-            if block:
-                if name in P_ENDERS or name in ENDS:
-                    wanted = ENDS.get(name) or frozenset(["p"])
-                    for depth in range(len(stack) - 1, 0, -1):
-                        if stack[depth][0] in wanted:
-                            close(depth)
-                            break
-                        if stack[depth][0] not in INLINE and (name in ENDS and stack[depth][0] in ("ul", "ol", "dl", "table", "select") or name not in ENDS):
-                            break
-                if name in ("hr",) or name not in VOID:
-                    flush()
+            if block and (name in P_ENDERS or name in ENDS):
+                wanted = ENDS.get(name) or frozenset(["p"])
+                for depth in range(len(stack) - 1, 0, -1):
+                    if stack[depth].name in wanted:
+                        close(depth)
+                        break
+                    if stack[depth].name not in INLINE and (name not in ENDS or stack[depth].name in ("ul", "ol", "dl", "table", "select")):
+                        break
+            if block and (name == "hr" or name not in VOID):
+                flush()
             if name in VOID:
                 continue
-            marks, hidden = attributes(rest) if rest else ("", False)
-            never = stack[-1][2] or name in NEVER or hidden or bool(marks and name not in HOLDERS and MARKS.search(marks))
             if name in RAW:
                 close_tag = _RAW_END[name].search(page, at)
                 at = close_tag.end() if close_tag else len(page)
                 continue
             if rest.rstrip().endswith("/") and name in ("svg", "math"):
                 continue
-            section = stack[-1][3]
-            if name in SECTIONS:
-                sections += 1
-                section = sections
+            count += 1
+            above = stack[-1]
+            marks, hidden = attributes(rest) if rest else ("", False)
+            doubts, holder = above.doubts, above.holder
+            if name in HOLDERS:
+                holder = count
+                for x in doubts:
+                    if not doubtful.get(x, True):
+                        del doubtful[x]
+            elif name in DOUBTFUL or name == "form" or marks and name not in PAGE and MARKS.search(marks):
+                doubts += (count,)
+                doubtful[count] = name in DOUBTFUL
             label = "" if not block else name + ("." + ".".join(marks.split()) if marks else "")
-            stack.append((name, label, never, section))
+            stack.append(Open(name, label, above.unseen or name in UNSEEN or hidden, count if name in SECTIONS else above.section, holder, doubts))
     flush()
-    return out
+    return out, doubtful
 
 
 def _smooth(x: np.ndarray, width: float) -> np.ndarray:
@@ -163,28 +185,40 @@ def _smooth(x: np.ndarray, width: float) -> np.ndarray:
     return np.convolve(np.pad(x, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def content(found: list[Node], width: float = 1.0, part: float = 0.5) -> list[bool]:
-    """Which nodes are content, by the ratios of their paths."""
-    if not found:
-        return []
-    paths, index = np.unique([n.path for n in found], return_inverse=True)
+def path_scores(found: list[Node], width: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each node's path, and the score of each path."""
+    _, index = np.unique([n.path for n in found], return_inverse=True)
     size = np.array([len(n.text) for n in found], np.float64)
     marks = np.array([len(_PUNCTUATION.findall(n.text)) for n in found], np.float64)
     count = np.bincount(index)
     by_text, by_marks = np.bincount(index, size) / count, np.bincount(index, marks) / count
     fused = _smooth(by_text[index], width) * _smooth(by_marks[index] + 1, width)
-    score = np.bincount(index, fused) / count
-    weight = np.bincount(index, size)
-    best = score >= min(part * float(np.std(score[index])), float(score.max()))
-    best[weight.argmax()] = True
-    sections = {n.section for n, i in zip(found, index) if best[i]}
-    return [bool(best[i]) or n.section in sections for n, i in zip(found, index)]
+    return index, np.bincount(index, fused) / count
+
+
+def content(found: list[Node], doubtful: dict[int, bool], part: float = 0.1, doubt: float = 1e-4) -> list[bool]:
+    """Which nodes are content: those of paths that score ``part`` of the best, doubtful ones scaled by ``doubt``, and what belongs to them."""
+    if not found:
+        return []
+    index, score = path_scores(found)
+    doubts = [[x for x in n.doubts if x in doubtful] for n in found]
+    scaled = score[index] * np.where([bool(x) for x in doubts], doubt, 1.0)
+    best = int(scaled.argmax())
+    if any(doubtful[x] for x in doubts[best]):
+        return [False] * len(found)
+    passed = scaled >= part * scaled[best]
+    roots = {n.holder or n.section for n, p in zip(found, passed) if p}
+
+    def belongs(n: Node, doubted: list[int]) -> bool:
+        return any(root in roots and not any(x >= root for x in doubted) for root in (n.holder, n.section) if root)
+
+    return [bool(p) or belongs(n, x) for n, p, x in zip(found, passed, doubts)]
 
 
 def main_text(page: str | None) -> str:
     """The content blocks of a page in page order, joined by a space."""
-    found = nodes(page or "")
-    return " ".join(n.text for n, kept in zip(found, content(found)) if kept)
+    found, doubtful = nodes(page or "")
+    return " ".join(n.text for n, kept in zip(found, content(found, doubtful)) if kept)
 
 
 TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

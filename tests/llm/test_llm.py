@@ -369,6 +369,47 @@ def test_html(spark):
     assert [(r["page_id"], r["n_chars"]) for r in got[1:3]] == [(2, 0), (3, 0)] and got[3]["text"] == "Only, this." and got[0]["text"] == got[4]["text"] and all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+def test_html_names_on_holders_say_nothing():
+    article = "<article><h1>Title</h1><p>" + "This, surely, is a sentence of the article. " * 6 + "</p><p>Short.</p></article>"
+    rest = "<nav><ul><li>A<li>B</ul></nav>%s<footer>(c) 2020, some footer text, all rights reserved.</footer>" % article
+    want = htmltext.main_text(rest)
+    assert want.startswith("Title This") and want.endswith("article. Short.")
+    for wrap in (
+        '<html class="no-js cookie-consent"><body>%s</body></html>', '<body class="single right-sidebar">%s</body>', '<div data-id="ad 7">%s</div>', '<div title="the hidden gem">%s</div>',
+        '<div class="with-header">%s</div>', '<div class="search-results related">%s</div>', "<p title=don't>%s", '<div class="related">%s</div>', "<form id=f>%s</form>",
+    ):
+        assert htmltext.main_text(wrap % rest) == want, wrap
+    comments = "<div class='comments'>" + "<p>A long comment, indeed, a very long one. And more, more.</p>" * 9 + "</div>"
+    assert htmltext.main_text(rest + comments) == htmltext.main_text(rest.replace("</article>", comments + "</article>")) == want
+    assert htmltext.main_text(rest.replace("article>", "div>") + comments) == want
+    assert htmltext.main_text("<nav>A, b.</nav><footer>C, d.</footer>") == ""
+
+
+def test_html_ratios_decide():
+    prose = "<div><p>" + "Prose, with commas, and stops. " * 9 + "</p><p>More prose, which is shorter.</p></div>"
+    links = "<ul>" + "<li><a>Link</a></li>" * 12 + "</ul>"
+    page = f"<div><span>Breaking</span>{links}</div>{prose}<div>{links}</div>"
+    found, doubtful = htmltext.nodes(page)
+    assert not doubtful and htmltext.main_text(page).count("Link") == 0 and htmltext.main_text(page).endswith("which is shorter.")
+    index, score = htmltext.path_scores(found)
+    names = [n.path for n in found]
+    sizes = [[len(n.text) for n in found if n.path == x] for x in names]
+    stops = [[sum(c in ",.()" for c in n.text) for n in found if n.path == x] for x in names]
+    kernel = {d: np.exp(-d * d / 2) for d in range(-3, 4)}
+    smooth = lambda v: [sum(k * v[min(max(i + d, 0), len(v) - 1)] for d, k in kernel.items()) / sum(kernel.values()) for i in range(len(v))]
+    fused = [a * b for a, b in zip(smooth([sum(x) / len(x) for x in sizes]), smooth([sum(x) / len(x) + 1 for x in stops]))]
+    for i, x in enumerate(names):
+        same = [f for f, y in zip(fused, names) if x == y]
+        assert score[index[i]] == pytest.approx(sum(same) / len(same))
+
+
+def test_html_long_and_none(spark):
+    long = "<div class=a>" * 2000 + "<p>" + "word, " * 200_000
+    assert htmltext.main_text(long) == ("word, " * 200_000).strip()
+    assert htmltext.main_text("<" * 50_000) == "<" * 50_000 and htmltext.main_text('<p a="' * 20_000) == ""
+    assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string, text int")).count() == 0
+
+
 def test_html_keeps_the_content_of_whole_pages():
     p = "<p>Long, plain text, that is content.</p>"
     want = "Long, plain text, that is content."
