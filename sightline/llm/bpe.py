@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: Places for frequent words, and how many words a place has at most; both bound the table, whatever the corpus.
-PLACES, WAYS = 1 << 17, 4
+PLACES, WAYS = 1 << 17, 6
 #: What white space is to Unicode; Java's own class has ASCII's alone.
 SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
 #: More than any id; its cube fits into a long.
@@ -88,9 +88,11 @@ def side_by_side(ranks: dict[bytes, int]) -> list[bool]:
     return found
 
 
-def fold(ids: Column, rank: Callable[[Column, Column], Column]) -> Column:
+def fold(ids: Column, ranks: Column, rank: Callable[[Column, Column], Column]) -> Column:
     """Ids after all merges of ``ids``; ``rank`` of two ids is that of both together, or null or ``_WIDE`` and more.
 
+    ``ranks`` are those of each with the next to begin with, the last one null.
+
     The state holds the ids between two nulls (p), the rank of each with the next (r), the lowest rank and where
     it first is. A merge replaces two ids and the ranks on both sides of them.
     """
@@ -106,10 +108,8 @@ def fold(ids: Column, rank: Callable[[Column, Column], Column]) -> Column:
         parts = F.flatten(F.array(F.slice(p, F.lit(1), at - 1), F.array(low), F.slice(p, at + 2, F.size(p))))
         return F.when(low < _WIDE, state(parts, ranks)).otherwise(s)
 
-    def whole(p: Column) -> Column:
-        return F.aggregate(ids, state(p, F.zip_with(p, F.slice(p, 2, F.size(p)), rank)), merge, lambda s: F.slice(s["p"], F.lit(2), F.size(s["p"]) - 2))
-
-    return F.when(F.size(ids) > 1, _let(F.flatten(F.array(mark, ids, mark)), whole)).otherwise(ids)
+    start = state(F.flatten(F.array(mark, ids, mark)), F.flatten(F.array(mark, ranks)))
+    return F.aggregate(F.slice(ids, 2, F.size(ids)), start, merge, lambda s: F.slice(s["p"], F.lit(2), F.size(s["p"]) - 2))
 
 
 def java_pattern(pattern: str) -> str:
@@ -135,6 +135,7 @@ class Codec:
             _literal(shifts, "array<int>").alias("shifts"),
             _literal(entries, "array<bigint>").alias("entries"),
             _literal([ranks[bytes([b])] for b in range(256)], "array<bigint>").alias("single"),
+            _literal([ranks.get(bytes([a, b])) for a in range(256) for b in range(256)], "array<bigint>").alias("double"),
             _literal(side_by_side(ranks), "array<boolean>").alias("beside"),
         )
         pieces = [""] * (max(ranks.values()) + 1)
@@ -158,10 +159,12 @@ class Codec:
             return F.pmod(entry - key * _WIDE, F.lit(1 << 60))
 
         def of_codes(codes: Column) -> Column:
-            return F.when(F.size(codes) > LONG, cut(codes)).otherwise(fold(F.transform(codes, single), rank))
+            return F.when(F.size(codes) > LONG, cut(codes)).otherwise(folded(codes))
 
-        def single(code: Column) -> Column:
-            return F.get(literals["single"], code)
+        def folded(codes: Column) -> Column:
+            ids = F.transform(codes, lambda c: F.get(literals["single"], c))
+            double = F.zip_with(codes, F.slice(codes, 2, F.size(codes)), lambda a, b: F.get(literals["double"], a * 256 + b))
+            return fold(ids, double, rank)
 
         def cut(codes: Column) -> Column:
             inner = F.filter(F.sequence(F.lit(1), F.size(codes) - 1), lambda i: ~F.get(literals["beside"], F.get(codes, i - 1) * 256 + F.get(codes, i)))
@@ -169,7 +172,7 @@ class Codec:
 
             def stretches(stops: Column) -> Column:
                 def one(stop: Column, n: Column) -> Column:
-                    return _let(F.coalesce(F.get(stops, n - 1), F.lit(0)), lambda begin: fold(F.transform(F.slice(codes, begin + 1, stop - begin), single), rank))
+                    return _let(F.coalesce(F.get(stops, n - 1), F.lit(0)), lambda begin: _let(F.slice(codes, begin + 1, stop - begin), folded))
 
                 return F.flatten(F.transform(stops, one))
 
