@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sightline.config import Tracker
 
@@ -155,6 +156,8 @@ def follow(frames: list[tuple[np.ndarray, np.ndarray, np.ndarray]], p: Tracker =
         return {i for i, _ in hit}, {j for _, j in hit}
 
     for rows, boxes, scores in frames:
+        if not live and not len(rows):
+            continue
         for t in live:
             t.filter.predict()
         sure, unsure = scores >= p.high, (scores >= p.low) & (scores < p.high)
@@ -170,25 +173,34 @@ def follow(frames: list[tuple[np.ndarray, np.ndarray, np.ndarray]], p: Tracker =
     return [t.rows for t in sorted(done + live, key=lambda t: t.rows[0]) if len(t.rows) >= p.least_hits]
 
 
-def tracks(detections: DataFrame, keys: list[str], t: str = "t", p: Tracker = Tracker()) -> DataFrame:
-    """Boxes that belong to a track, with ``track_id``: from 1 within ``keys``, class after class, restarting with each key."""
+def tracks(detections: DataFrame, keys: list[str], t: str = "t", p: Tracker = Tracker(), frames: DataFrame | None = None) -> DataFrame:
+    """Boxes that belong to a track, with ``track_id``: from 1 within ``keys`` as tracks start, in order of time and class.
+
+    ``frames`` (``keys`` and ``t``) names all sampled instants, so that tracks also age while nothing is seen;
+    without it, only instants that have a box count. Instants without boxes give no rows.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([t, "score", "x1", "y1"], ascending=[True, False, True, True], ignore_index=True)
+        instants = np.unique(pdf[t].to_numpy())
+        pdf = pdf[pdf["_box"]].drop(columns="_box").reset_index(drop=True)
+        boxes, scores, times, classes = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["score"].to_numpy(float), pdf[t].to_numpy(), pdf["cls"].to_numpy()
+        started: list[tuple[float, int, list[int]]] = []
+        for c in np.unique(classes):
+            of = np.flatnonzero(classes == c)
+            bounds = np.searchsorted(times[of], instants)
+            rows = [of[a:b] for a, b in zip(bounds, [*bounds[1:], len(of)])]
+            started += [(times[x[0]], c, x) for x in follow([(r, boxes[r], scores[r]) for r in rows], p)]
         ids = np.zeros(len(pdf), np.int64)
-        n = 0
-        boxes, scores, times = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["score"].to_numpy(float), pdf[t].to_numpy()
-        instants = np.unique(times)
-        for c in sorted(pdf["cls"].unique()):
-            of = np.flatnonzero(pdf["cls"].to_numpy() == c)
-            frames = [(rows := of[times[of] == at], boxes[rows], scores[rows]) for at in instants]
-            for rows in follow(frames, p):
-                n += 1
-                ids[rows] = n
+        for n, (_, _, rows) in enumerate(sorted(started, key=lambda x: x[:2]), 1):
+            ids[rows] = n
         return pdf.assign(track_id=ids)[ids > 0]
 
+    all_rows = detections.withColumn("_box", F.lit(True))
+    if frames is not None:
+        all_rows = all_rows.unionByName(frames.select(*keys, t).withColumn("_box", F.lit(False)), allowMissingColumns=True)
     schema = detections.schema.simpleString()[7:-1] + ",track_id:bigint"
-    return detections.groupBy(*keys).applyInPandas(run, schema)
+    return all_rows.groupBy(*keys).applyInPandas(run, schema)
 
 
 def inferred(rows: DataFrame, model: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:

@@ -477,11 +477,11 @@ def stemmed_bm25(spark, d):
 def filename_times(spark, d):
     """Start times read back from made-up file names of the events."""
     e = table(spark, d, "events")
-    p = e.select("event_id", F.concat(F.lit("/nvr/ch "), F.pmod("event_id", F.lit(8)).cast("string"), F.lit("/rec_"), F.date_format("ts", "yyyyMMdd_HHmmss"), F.lit(".mp4")).alias("path"))
+    p = e.select("event_id", F.concat(F.lit("/nvr/ch "), F.pmod("event_id", F.lit(8)).cast("string"), F.lit("/rec_"), F.date_format("ts", "yyyyMMdd__HHmmss"), F.lit(".mp4")).alias("path"))
     return p.select("event_id", ingest.filename_time(F.col("path")).alias("ts"), ingest.camera_name(F.col("path")).alias("camera"))
 
 
-SQL["filename_times"] = "SELECT event_id, epoch(date_trunc('second', ts)) AS ts, 'ch' || (event_id % 8) AS camera FROM events"
+SQL["filename_times"] = "SELECT event_id, epoch(date_trunc('second', ts)) AS ts, 'ch ' || (event_id % 8) AS camera FROM events"
 
 
 @query(f"""
@@ -496,16 +496,16 @@ def even_windows(spark, d):
 
 @query("""
 SELECT event_id AS id, epoch(ts) AS ts, round(value, 6) AS duration, 'user ' || user_id AS identity, event_type AS label FROM events
-WHERE user_id = 7 AND event_type = 'error' AND hour(ts) >= 5 AND hour(ts) < 17
+WHERE user_id = 7 AND event_type = 'error' AND hour(ts) >= 12 AND hour(ts) < 18
 """)
 def ask_sightings(spark, d):
     """A typed question over events as sightings: name and label are grounded in the table's own vocabulary."""
-    plan, args = _asked(spark, d, "when did user 7 have an error in the daytime")
+    plan, args = _asked(spark, d, "when did user 7 have an error in the afternoon")
     rows = ask.answer_rows(plan, *args)
     return rows.select("id", "ts", r6(F.col("duration")).alias("duration"), "identity", "label")
 
 
-@query("SELECT count(*) AS n, count(*)::VARCHAR AS answer FROM events WHERE user_id = 7 AND event_type = 'error' AND hour(ts) >= 5 AND hour(ts) < 12")
+@query("SELECT count(*) AS n, CASE count(*) WHEN 0 THEN 'No record of user 7.' WHEN 1 THEN '1 time' ELSE count(*) || ' times' END AS answer FROM events WHERE user_id = 7 AND event_type = 'error' AND hour(ts) >= 6 AND hour(ts) < 12")
 def ask_how_many(spark, d):
     plan, args = _asked(spark, d, "how many times did user 7 have an error in the morning")
     return ask.headline(plan, ask.answer_rows(plan, *args))

@@ -173,7 +173,7 @@ def test_speech_gate_and_bands(spark):
     assert h.select(times.hms(F.lit(3725.0))).first()[0] == "1:02:05"
 
 
-@pytest.mark.parametrize("path,want,camera", [("/a/cam 03/2024-05-06_07-08-09.mp4", "2024-05-06 07:08:09", "cam03"), ("/Yard/x_20240506_070809.mkv", "2024-05-06 07:08:09", "yard"), ("/a/20241399_000000.avi", None, "a"), ("/a/ch1_19990101_000000.avi", None, "ch1"), ("v20240506070809.ts", "2024-05-06 07:08:09", "default")])
+@pytest.mark.parametrize("path,want,camera", [("/a/cam 03/2024-05-06_07-08-09.mp4", "2024-05-06 07:08:09", "cam 03"), ("/a/x/CAM_03 2024-01-15 - 08-30-00.mp4", "2024-01-15 08:30:00", "cam03"), ("/nvr/ch 3/rec_20240115__083000.mp4", "2024-01-15 08:30:00", "ch 3"), ("/Yard/x_20240506_070809.mkv", "2024-05-06 07:08:09", "yard"), ("/a/20241399_000000.avi", None, "a"), ("/a/ch1_19990101_000000.avi", None, "ch1"), ("v20240506070809.ts", "2024-05-06 07:08:09", "default")])
 def test_file_names(spark, path, want, camera):
     r = spark.createDataFrame([(path,)], "p string").select(ingest.filename_time(F.col("p")).alias("t"), ingest.camera_name(F.col("p")).alias("c")).first()
     assert r["c"] == camera
@@ -212,6 +212,15 @@ def test_tracks_survive_a_gap_and_low_scores_start_none(spark):
     assert sorted((r["y"], r["n"]) for r in got) == [(0.0, 17), (600.0, 12)]
 
 
+def test_tracks_age_in_empty_frames(spark):
+    late = [(1, r[1] + 110, *r[2:]) for r in walker(10, 0.0, 0.0)]
+    boxes, frames = spark.createDataFrame(walker(10, 0.0, 0.0) + late, SCHEMA), spark.range(120).select(F.lit(1).cast("long").alias("seg"), F.col("id").cast("double").alias("t"))
+    n = lambda df: sorted(r["n"] for r in df.groupBy("track_id").agg(F.count("*").alias("n")).collect())
+    assert n(tracking.tracks(boxes, ["seg"], frames=frames)) == [10, 10]
+    two = spark.createDataFrame([(1, r[1] + 1, 0, *r[3:]) for r in walker(10, 0.0, 0.0)] + walker(10, 500.0, 500.0, 0.8, 7), SCHEMA)
+    assert {r["cls"]: r["track_id"] for r in tracking.tracks(two, ["seg"]).collect()} == {7: 1, 0: 2}
+
+
 def test_assignment_is_cheapest():
     rng = np.random.default_rng(2)
     import itertools
@@ -238,8 +247,34 @@ def test_questions():
     assert ask.parse("how long did Mina stay in the kitchen on monday", KNOWN, TODAY).day == "2024-05-06"
     assert ask.parse("did a dog come in the kitchen last night", KNOWN, TODAY).event_kind == "enter"
     assert ask.parse("who was seen on wednesday", KNOWN, TODAY).day == "2024-05-01"
-    assert ask.parse("when did Bob leave", KNOWN, TODAY).unknown_names == ("Bob",) and not ask.parse("when did I leave", KNOWN, TODAY).unknown_names
-    assert ask.parse("person with a red bag", KNOWN, TODAY).semantic_text == "red bag"
+    assert ask.parse("when did Bob leave", KNOWN, TODAY).unknown_names == ("Bob",) and not ask.parse("Bob left", KNOWN, TODAY).unknown_names
+    assert ask.parse("person with a red bag", KNOWN, TODAY).semantic_text == "with red bag"
+    assert ask.parse("did Mina return in the evening", KNOWN, TODAY).event_kind == "cross_in" and ask.parse("did Mina go outside overnight", KNOWN, TODAY).band == (22, 6)
+    assert ask.parse("was Rafi in the kitchen this morning", KNOWN, TODAY).band is None and ask.parse("who was in the kitchen", KNOWN, TODAY).event_kind == "dwell"
+    assert ask.parse("how many times did Rafi ever go last 2024-02-30 or 2024-02-28", KNOWN, TODAY).semantic_text == "2024 02 30 or"
+    assert ask.parse("person", KNOWN, TODAY).intent == "find" and ask.parse("has a dog", KNOWN, TODAY).intent == "did" and not ask.parse("red bag", KNOWN, TODAY).grounded and ask.parse("who came today", KNOWN, TODAY).grounded
+
+
+def test_asking(spark):
+    people = spark.createDataFrame([(1, "Rafi"), (2, "Mina")], "id long, name string")
+    cameras = spark.createDataFrame([(1, "cam1")], "id long, name string")
+    zones = spark.createDataFrame([(1, "front door", "line"), (2, "kitchen", "region")], "id long, name string, kind string")
+    noon = dt.datetime(2024, 5, 7, 12, tzinfo=dt.timezone.utc).timestamp()
+    t = spark.createDataFrame([(1, 1, noon, noon + 9, 1, "person", 1), (2, 1, noon + 60, noon + 70, 2, "person", 1), (3, 2, noon + 99, noon + 100, None, "dog", 1)], "id long, segment_id long, ts_start double, ts_end double, identity_id long, label string, camera_id long")
+    e = spark.createDataFrame([(1, 1, 1, 1, 1, "person", "cross_out", noon, 0.0), (2, 1, 1, 1, 1, "person", "cross_out", noon + 30, 0.0), (3, 1, 1, 1, 1, "person", "cross_in", noon + 40, 0.0), (4, 2, 2, 1, 1, "person", "dwell", noon + 60, 900.0), (5, 1, 3, 2, 1, "dog", "cross_out", noon + 99, 0.0)], "id long, zone_id long, tracklet_id long, segment_id long, camera_id long, label string, kind string, ts double, duration double")
+    searched = []
+    ranked = lambda text, plan: searched.append(text) or people.limit(0)
+    say = lambda q: (lambda a: a.answer.first()["answer"] if a.answer is not None else None)(ask.ask(q, TODAY, e, zones, t, people, cameras, ranked))
+    assert say("how many times did Rafi go out the front door yesterday") == "2 times at front door" and not searched
+    assert say("how long did Mina stay in the kitchen") == "Mina for 15.0 minutes across 1 visit; longest 900s at 12:01:00."
+    assert say("when did Rafi go out the front door") == "2 times, from Tue 07 May, 12:00:00 to 12:00:30."
+    assert say("did Rafi come in the front door") == "Yes - 1 time(s), first at Tue 07 May, 12:00:40." and say("who left by the front door yesterday") == "Rafi, plus 1 unrecognised."
+    assert say("who was the dog") == "1 sighting(s), nobody recognised." and say("when did Mina go out the front door on monday") == "No record of Mina at front door on 2024-05-06."
+    assert say("when did Bob leave") == "I do not know anyone called Bob. Enrolled: Mina, Rafi."
+    searched.clear()
+    asked = ask.ask("person in a red jacket", TODAY, e, zones, t, people, cameras, ranked)
+    assert asked.rows.count() == 2 and searched == ["red jacket"] and asked.caveat.startswith("'red jacket'")
+    assert say("something blue") is None and searched[-1] == "something blue"
     assert ask.mode(ask.parse("when did Bob leave", KNOWN, TODAY), 0, 0, True) == "refused"
     assert ask.mode(ask.parse("when did someone leave", ask.Vocabulary(), TODAY), 0, 0, False) == "needs_zone"
 
