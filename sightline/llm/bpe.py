@@ -2,24 +2,24 @@
 
 A word is one match of the splitting pattern. Encoding starts from the ids of its single bytes and folds
 merges over that array: of all neighbours whose bytes together are a token, the pair of the lowest rank is
-merged, the leftmost of equal ones, until no pair is left. The ranks are a literal map from a pair of ids to
-the rank, and thus the id, of both together: buckets of keys, each followed by its value.
+merged, the leftmost of equal ones, until no pair is left. The ranks are a map from a pair of ids to the rank,
+and thus the id, of both together: constant arrays, in which a pair's key leads to its entry.
 
 All words of the corpus are counted. A table of a fixed number of places, where a word's place is its hash,
 keeps the most frequent words of each place, folded once; a text looks its words up there, and a word that
-isn't in its place is folded where it stands, with the same ids. The table enters the plan as a scalar
-subquery, so that neither texts nor ids are shuffled and no Python worker runs. Decoding looks the piece of
-each id up and concatenates them.
+isn't in its place is folded where it stands, with the same ids. This table and the rank map enter the plan as
+scalar subqueries, which Spark turns into literals when it runs, so that plans stay small, neither texts nor ids
+are shuffled, and no Python worker runs. Decoding looks the piece of each id up and concatenates them.
 """
 
 from __future__ import annotations
 
 import base64
-import json
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -45,9 +45,10 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _literal(value: Iterable, kind: str) -> Column:
-    """A constant of a nested type; the optimiser evaluates it before the query runs."""
-    return F.from_json(F.lit(json.dumps(value)), kind)
+def _with(df: DataFrame, constant: Column, column: str, body: Callable[[Column], Column]) -> DataFrame:
+    """``df`` with ``column``, made by ``body`` of a scalar subquery, which Spark doesn't take inside of lambdas."""
+    name = f"constant_{uuid.uuid4().hex}"
+    return df.withColumn(name, constant).withColumn(column, _let(F.col(name), body)).drop(name)
 
 
 def rank_map(ranks: dict[bytes, int]) -> tuple[list[int], list[int | None]]:
@@ -131,18 +132,29 @@ class Codec:
             raise ValueError("a byte has no rank")
         shifts, entries = rank_map(ranks)
         self.pattern, self.places, self.n_shifts, self.n_entries = java_pattern(pattern), places, len(shifts), len(entries)
-        self.literals = F.struct(
-            _literal(shifts, "array<int>").alias("shifts"),
-            _literal(entries, "array<bigint>").alias("entries"),
-            _literal([ranks[bytes([b])] for b in range(256)], "array<bigint>").alias("single"),
-            _literal([ranks.get(bytes([a, b])) for a in range(256) for b in range(256)], "array<bigint>").alias("double"),
-            _literal(side_by_side(ranks), "array<boolean>").alias("beside"),
-        )
         pieces = [""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             pieces[rank] = token.hex()
-        self.pieces = _literal(pieces, "array<string>")
-        self.packs = _literal([i.to_bytes(4, "little").hex() for i in range(len(pieces))], "array<string>")
+        columns = {
+            "shifts": (shifts, pa.int32()),
+            "entries": (entries, pa.int64()),
+            "single": ([ranks[bytes([b])] for b in range(256)], pa.int64()),
+            "double": ([ranks.get(bytes([a, b])) for a in range(256) for b in range(256)], pa.int64()),
+            "beside": (side_by_side(ranks), pa.bool_()),
+            "pieces": (pieces, pa.string()),
+            "packs": ([i.to_bytes(4, "little").hex() for i in range(len(pieces))], pa.string()),
+        }
+        self.table = pa.table({k: pa.array([v], pa.list_(kind)) for k, (v, kind) in columns.items()})
+        self.constants: DataFrame | None = None
+
+    def constant(self, spark: SparkSession, *names: str) -> Column:
+        """One of the arrays made of the ranks, or a struct of several."""
+        if self.constants is None:
+            self.constants = materialize(spark.createDataFrame(self.table), "ranks")
+        return self.constants.select(names[0] if len(names) == 1 else F.struct(*names).alias("ranks")).scalar()
+
+    def merges(self, spark: SparkSession) -> Column:
+        return self.constant(spark, "shifts", "entries", "single", "double", "beside")
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
@@ -150,24 +162,24 @@ class Codec:
     def _place(self, word: Column) -> Column:
         return F.pmod(F.xxhash64(word), F.lit(self.places)).cast("int")
 
-    def word_ids(self, word: Column, literals: Column) -> Column:
+    def word_ids(self, word: Column, known: Column) -> Column:
         """Ids of a word, folded; a long one in stretches between bytes that no token holds side by side."""
 
         def rank(a: Column, b: Column) -> Column:
             key = a * _WIDE + b
-            entry = F.get(literals["entries"], (key + F.get(literals["shifts"], key % self.n_shifts)) % self.n_entries)
+            entry = F.get(known["entries"], (key + F.get(known["shifts"], key % self.n_shifts)) % self.n_entries)
             return F.pmod(entry - key * _WIDE, F.lit(1 << 60))
 
         def of_codes(codes: Column) -> Column:
             return F.when(F.size(codes) > LONG, cut(codes)).otherwise(folded(codes))
 
         def folded(codes: Column) -> Column:
-            ids = F.transform(codes, lambda c: F.get(literals["single"], c))
-            double = F.zip_with(codes, F.slice(codes, 2, F.size(codes)), lambda a, b: F.get(literals["double"], a * 256 + b))
+            ids = F.transform(codes, lambda c: F.get(known["single"], c))
+            double = F.zip_with(codes, F.slice(codes, 2, F.size(codes)), lambda a, b: F.get(known["double"], a * 256 + b))
             return fold(ids, double, rank)
 
         def cut(codes: Column) -> Column:
-            inner = F.filter(F.sequence(F.lit(1), F.size(codes) - 1), lambda i: ~F.get(literals["beside"], F.get(codes, i - 1) * 256 + F.get(codes, i)))
+            inner = F.filter(F.sequence(F.lit(1), F.size(codes) - 1), lambda i: ~F.get(known["beside"], F.get(codes, i - 1) * 256 + F.get(codes, i)))
             stops = F.concat(inner, F.array(F.size(codes)))
 
             def stretches(stops: Column) -> Column:
@@ -186,8 +198,8 @@ class Codec:
         counts = docs.select(F.explode(self.words(F.col(text))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
         way = F.row_number().over(Window.partitionBy("place").orderBy(F.desc("n"), "w"))
         best = counts.withColumn("place", self._place(F.col("w"))).withColumn("way", way).where((F.col("way") <= WAYS) & (F.col("n") > 1)).select("place", "way", "w")
-        ids = _let(self.literals, lambda known: self.word_ids(F.col("w"), known))
-        return materialize(best, "words").repartition(-(-self.places * WAYS // 8192)).select("place", "way", "w", ids.alias("ids"))
+        dealt = materialize(best, "words").repartition(-(-self.places * WAYS // 8192))
+        return _with(dealt, self.merges(docs.sparkSession), "ids", lambda known: self.word_ids(F.col("w"), known))
 
     def _table(self, frequent: DataFrame) -> Column:
         """The words of all places in the order of places, as one array."""
@@ -212,16 +224,20 @@ class Codec:
             return F.flatten(F.transform(self.words(F.col(text)), one))
 
         name = f"entries_{uuid.uuid4().hex}"
-        found = _let(self.literals, lambda known: _let(F.col(name), lambda entries: encoded(known, entries)))
-        return docs.withColumn(name, table).withColumn(ids, found).drop(name)
+        body = lambda known: _let(F.col(name), lambda entries: encoded(known, entries))
+        return _with(docs.withColumn(name, table), self.merges(docs.sparkSession), ids, body).drop(name)
 
-    def decode(self, ids: Column) -> Column:
-        """The bytes of an array of ids, binary: the pieces of all of them, one after the other; ids that no token has give none."""
-        return F.unhex(_let(self.pieces, lambda pieces: F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")))
+    def _joined(self, df: DataFrame, table: str, ids: str, column: str) -> DataFrame:
+        """Entries of a table of hexadecimal strings, one after the other, as binary."""
+        return _with(df, self.constant(df.sparkSession, table), column, lambda t: F.unhex(F.array_join(F.transform(F.col(ids), lambda i: F.get(t, i)), "")))
 
-    def packed(self, ids: Column) -> Column:
-        """An array of this vocabulary's ids as little-endian unsigned 32-bit integers, binary."""
-        return F.unhex(_let(self.packs, lambda packs: F.array_join(F.transform(ids, lambda i: F.get(packs, i)), "")))
+    def decode(self, df: DataFrame, ids: str = "ids", column: str = "decoded") -> DataFrame:
+        """``df`` with the bytes of its arrays of ids, binary: the pieces of all of them; ids that no token has give none."""
+        return self._joined(df, "pieces", ids, column)
+
+    def packed(self, df: DataFrame, ids: str = "ids", column: str = "packed") -> DataFrame:
+        """``df`` with its arrays of this vocabulary's ids as little-endian unsigned 32-bit integers, binary."""
+        return self._joined(df, "packs", ids, column)
 
 
 def round_trip(docs: DataFrame, codec: Codec) -> DataFrame:
@@ -230,6 +246,5 @@ def round_trip(docs: DataFrame, codec: Codec) -> DataFrame:
     A null or empty text has no ids. Repeated rows give repeated results; an empty table has none. Other columns
     are ignored.
     """
-    ids = F.col("ids")
-    encoded = codec.encode(docs.select("doc_id", "text"))
-    return encoded.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(codec.packed(ids), 256).alias("ids_sha256"), F.sha2(codec.decode(ids), 256).alias("decoded_sha256"))
+    out = codec.decode(codec.packed(codec.encode(docs.select("doc_id", "text"))))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

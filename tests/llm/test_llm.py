@@ -481,7 +481,7 @@ def test_bpe_is_the_librarys(docs, empty):
     assert bpe.round_trip(empty, codec).count() == 0
     texts = ["abc" * 700, "q7Zx" * 300 + "日本語" * 100, " \u00a0\u3000\u2003 x\u2028\n\n  y", "\x1c\x00 a\x1fb", "aaaaaaaaaaa", "x" * 49, "don't we'LL 12345\r\n\t!!??", "naïve Ünï"]
     odd = docs.sparkSession.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = codec.encode(odd).select("doc_id", "ids", codec.decode(F.col("ids")).alias("b"), codec.packed(F.col("ids")).alias("p")).collect()
+    out = codec.packed(codec.decode(codec.encode(odd), column="b"), column="p").collect()
     for r in out:
         want = e.encode_ordinary(texts[r["doc_id"]])
         assert r["ids"] == want and bytes(r["b"]).decode() == texts[r["doc_id"]] and bytes(r["p"]) == np.array(want, "<u4").tobytes()
