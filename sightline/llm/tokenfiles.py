@@ -23,7 +23,7 @@ from .common import binary_rows, materialize, only, shared_dir
 #: Ids in a block, unless a single document has more.
 BLOCK = 1 << 16
 #: Bytes of words and ids that a worker remembers in a generation; with the generation before, at most twice that.
-REMEMBERED = 48 << 20
+REMEMBERED = 96 << 20
 #: What a remembered word takes besides its own bytes and those of its ids.
 _ENTRY = 200
 #: Types of ids by bytes.
