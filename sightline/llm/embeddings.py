@@ -3,13 +3,16 @@
 Unit vectors with a cosine of at least t lie within a squared distance of 2 - 2t. Rotated to their principal
 axes and cut into blocks of a few axes, they share that budget: if every block gets a share of it, in
 proportion to its variance, two such vectors are within the share in at least one block. Each block is
-range-joined: its first axes are gridded in cells as wide as the share's root, and a cell meets itself and
-half of its neighbours. What is within the share in a block is verified on the whole vectors; a pair counts
-in the first block whose share it keeps, so the union over blocks holds it once.
-
-Equal vectors are joined once, with their number. Links are counted and joined to trees where they are
-found, so a dense cluster sends rows in proportion to its members, not to its pairs. A cell of more than
-``chunk`` vectors is dealt to several groups; each keeps one chunk and has the others stream past it.
+range-joined: inside a group its first axes are gridded in cells as wide as the share's root, sorted along
+one more axis, and a row meets only stretches of its own cell and of half the neighbours. What is within the
+share in a block is verified on the whole vectors; a pair counts in the first block whose share it keeps, so
+the union over blocks holds it once.
+
+A label whose vectors one task can hold (``held``) is a group and is sent once, for all its blocks. A larger one is cut, in
+each block, into cells on one to four axes, and sends a vector also where those of a neighbouring cell may
+be in reach; a cell of more than a task holds is dealt to several groups, each of which keeps one chunk
+and has the others stream past it. Equal vectors are joined once, with their number. Links are counted and
+joined to trees where they are found, so a dense cluster sends rows in proportion to its members.
 """
 
 from __future__ import annotations
@@ -33,10 +36,13 @@ _SLACK = 1 + 1e-6
 
 @dataclass(frozen=True)
 class Params:
+    """``block`` axes of a rotated vector are a block, of which ``grid`` are gridded inside a group; ``held`` bounds
+    the components of the vectors that a group keeps, and of those that it meets at a time."""
+
     cosine: float = 0.98
     block: int = 8
-    grid: int = 1
-    chunk: int = 4096
+    grid: int = 5
+    held: int = 1 << 20
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -99,31 +105,65 @@ def rotations(vectors: DataFrame, params: Params) -> dict[int, Rotation]:
     return found
 
 
-PLACED = "label string, dim int, block int, cell string, node long, copies long, vector binary"
+PLACED = "label string, dim int, block int, cell string, guest boolean, node long, copies long, vector binary"
+#: Stands for all blocks in the rows of a label that one group holds whole.
+ALL = -1
+#: A cell of a large label in roots of its block's share, and the most axes that are cut into such cells.
+WIDTH, DEEPEST = 2, 4
+
 
+def _reach(share: float) -> float:
+    """How far two vectors within ``share`` may lie apart on one axis, with room for rounding."""
+    return float(np.sqrt(share)) * (1 + 1e-9)
+
+
+def _halves(axes: int) -> list[tuple[int, ...]]:
+    """Half of a cell's neighbours: those whose first step that isn't zero is positive."""
+    return [s for s in itertools.product((-1, 0, 1), repeat=axes) if next((x for x in s if x), 0) > 0]
+
+
+def _cells(y: np.ndarray, width: float, reach: float) -> Iterator[tuple[list[str], np.ndarray, bool]]:
+    """Names of cells, the rows that go there and whether as guests: each to its own, and to those of half its neighbours whose rows may be within reach."""
+    cell = np.floor(y / width).astype(np.int64)
+    up, down = (cell + 1) * width - y <= reach, y - cell * width <= reach
+    for step in [(0,) * y.shape[1], *_halves(y.shape[1])]:
+        goes = np.ones(len(y), bool)
+        for k, x in enumerate(step):
+            if x:
+                goes &= down[:, k] if x > 0 else up[:, k]
+        rows = np.flatnonzero(goes)
+        yield [",".join(map(str, c)) for c in (cell[rows] - np.array(step)).tolist()], rows, any(step)
+
+
+def _place(turns: dict[int, Rotation]):
+    """Rows of labels at level 0 once, for all blocks; those of others in every block, in cells of as many axes as the level says."""
+
+    def row(part: pa.RecordBatch, rows: np.ndarray, block: int, cells: list[str], guest: bool) -> pa.RecordBatch:
+        of = part.take(pa.array(rows))
+        return pa.RecordBatch.from_pydict({
+            "label": of["label"], "dim": of["dim"], "block": np.full(len(rows), block, np.int32), "cell": pa.array(cells, pa.string()),
+            "guest": np.full(len(rows), guest), "node": of["node"], "copies": of["copies"], "vector": of["vector"],
+        })
 
-def _place(turns: dict[int, Rotation], grid: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim, v, part in _by_dim(batch):
-                y, turn = _rotate(_unit(v), turns[dim].axes), turns[dim]
-                for b, ((first, last), share) in enumerate(zip(turn.cuts, turn.shares)):
-                    cells = np.floor(y[:, first : min(last, first + grid)] / np.sqrt(share)).astype(np.int64)
-                    cells = np.pad(cells, ((0, 0), (0, grid - cells.shape[1])))  # a narrow block has fewer axes
-                    n = part.num_rows
-                    yield pa.RecordBatch.from_pydict({
-                        "label": part["label"], "dim": part["dim"], "block": np.full(n, b, np.int32),
-                        "cell": [",".join(map(str, c)) for c in cells.tolist()], "node": part["node"], "copies": part["copies"], "vector": part["vector"],
-                    })
+                turn, level = turns[dim], part["level"].to_numpy(zero_copy_only=False)
+                whole = np.flatnonzero(level == 0)
+                yield row(part, whole, ALL, [""] * len(whole), False)
+                if len(whole) == len(level):
+                    continue
+                y = _rotate(_unit(v), turn.axes)
+                for axes in np.unique(level[level > 0]).tolist():
+                    some = np.flatnonzero(level == axes)
+                    for b, ((first, last), share) in enumerate(zip(turn.cuts, turn.shares)):
+                        reach = _reach(share)
+                        for cells, rows, guest in _cells(y[some, first : min(last, first + axes)], WIDTH * reach, reach):
+                            yield row(part, some[rows], b, cells, guest)
 
     return run
 
 
-def _steps(grid: int) -> list[list[int]]:
-    """Half of a cell's neighbours: those whose first step that isn't zero is positive."""
-    return [list(s) for s in itertools.product((-1, 0, 1), repeat=grid) if next((x for x in s if x), 0) > 0]
-
-
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each node of the pairs and the smallest node that they connect it to."""
     nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -139,124 +179,173 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return nodes, nodes[root]
 
 
-class _Group:
-    """The vectors that a group keeps, and what passes them."""
+#: Pairs that are looked at together.
+_PAIRS = 1 << 18
+#: Bits of a row's rank and of a cell's number on one axis in a sort key; cells that agree in them are told apart by the distance.
+_RANK, _CELL = 20, 5
 
-    def __init__(self, turn: Rotation, block: int, cosine: float) -> None:
-        self.turn, self.block, self.cosine, self.parts, self.home = turn, block, cosine, [], None
 
-    def add(self, node: np.ndarray, copies: np.ndarray, v: np.ndarray) -> None:
-        self.parts.append((node, copies, v))
+def _slices(low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of each row with the rows from its ``low`` up to its ``high``, some at a time."""
+    rows = np.flatnonzero(high > low)
+    low, size = low[rows], high[rows] - low[rows]
+    upto = np.cumsum(size)
+    i = 0
+    while i < len(rows):
+        before = int(upto[i] - size[i])
+        j = max(i + 1, int(np.searchsorted(upto, before + _PAIRS, "right")))
+        n = size[i:j]
+        yield np.repeat(rows[i:j], n), np.arange(int(n.sum())) + np.repeat(low[i:j] - (upto[i:j] - n - before), n)
+        i = j
 
-    def close(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Ends the kept vectors; the links among them."""
-        if self.home is None and self.parts:
-            node, copies, v = (np.concatenate(x) for x in zip(*self.parts))
-            u = _unit(v)
-            self.home = node, copies, u, _rotate(u, self.turn.axes)
-            yield from self._links(*self.home, own=True)
 
-    def meet(self, node: np.ndarray, copies: np.ndarray, v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        if self.home is not None:
-            u = _unit(v)
-            yield from self._links(node, copies, u, _rotate(u, self.turn.axes), own=False)
-
-    def _near(self, y: np.ndarray, z: np.ndarray, block: int) -> np.ndarray:
-        first, last = self.turn.cuts[block]
-        d = (y[:, first] - z[:, first]) ** 2
-        for k in range(first + 1, last):
-            d += (y[:, k] - z[:, k]) ** 2
-        return d <= self.turn.shares[block]
-
-    def _links(self, node, copies, u, y, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        nodes, many, units, turned = self.home
-        for p in range(0, len(nodes), 512):
-            for q in range(p if own else 0, len(node), 2048):
-                a, b = turned[p : p + 512, None, :], y[None, q : q + 2048, :]
-                first, last = self.turn.cuts[self.block]
-                d = (a[..., first] - b[..., first]) ** 2
-                for k in range(first + 1, last):
-                    d += (a[..., k] - b[..., k]) ** 2
-                i, j = np.nonzero(d <= self.turn.shares[self.block])
-                i, j = i + p, j + q
-                if own:
-                    i, j = i[i < j], j[i < j]
-                for s in range(0, len(i), 1 << 15):
-                    m, n = i[s : s + (1 << 15)], j[s : s + (1 << 15)]
-                    new = np.ones(len(m), bool)
-                    for block in range(self.block):
-                        new[new] = ~self._near(turned[m[new]], y[n[new]], block)
-                    m, n = m[new], n[new]
-                    same = (units[m] * u[n]).sum(axis=1) >= self.cosine
-                    m, n = m[same], n[same]
-                    if len(m):
-                        yield from self._told(nodes[m], node[n], many[m], copies[n])
-
-    @staticmethod
-    def _told(a, b, of_a, of_b):
-        tree, root = _forest(a, b)
-        each, index = np.unique(np.concatenate([a, b]), return_inverse=True)
-        links = np.bincount(index, np.concatenate([of_b, of_a]).astype(np.float64)).astype(np.int64)
-        yield tree, root, links
+def near_cells(group: np.ndarray, y: np.ndarray, reach: float, grid: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group within ``reach`` on the last of the first ``grid`` axes, and in the same or neighbouring cells on the others.
+
+    Holds every pair within ``reach`` on all axes once; rows are sorted by group, cell and last axis, and the
+    rows of a cell or neighbour that are near enough are one stretch of that order.
+    """
+    grid = min(grid, y.shape[1])
+    along = y[:, grid - 1]
+    ranked = np.sort(along)
+    rank, low, high = np.searchsorted(ranked, along), np.searchsorted(ranked, along - reach), np.searchsorted(ranked, along + reach, "right")
+    cell = np.floor(y[:, : grid - 1] / reach).astype(np.int64)
+
+    def key(c: np.ndarray, g: np.ndarray) -> np.ndarray:
+        for k in range(c.shape[1]):
+            g = g << _CELL | (c[:, k] & ((1 << _CELL) - 1))
+        return g << _RANK
+
+    order = np.argsort(key(cell, group) + rank, kind="stable")
+    group, cell, low, high = group[order], cell[order], low[order], high[order]
+    sorted_keys = key(cell, group) + rank[order]
+    for step in [(0,) * (grid - 1), *_halves(grid - 1)]:
+        there = key(cell + np.array(step, np.int64), group)
+        end = np.searchsorted(sorted_keys, there + high)
+        for i, j in _slices(np.searchsorted(sorted_keys, there + low) if any(step) else np.arange(1, len(order) + 1), end):
+            yield order[i], order[j]
+
+
+def _within(turn: Rotation, block: int, y: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which pairs keep the block's share; sums only grow, so a pair is left as soon as it exceeds it."""
+    alive, d = np.arange(len(m)), np.zeros(len(m))
+    for k in range(*turn.cuts[block]):
+        d = d + (y[m[alive], k] - y[n[alive], k]) ** 2
+        fine = d <= turn.shares[block]
+        alive, d = alive[fine], d[fine]
+    found = np.zeros(len(m), bool)
+    found[alive] = True
+    return found
+
+
+@dataclass
+class _Rows:
+    """Vectors of one dimension, each with the number of its group; ``old`` ones have met each other."""
+
+    group: np.ndarray
+    block: np.ndarray
+    guest: np.ndarray
+    old: np.ndarray
+    node: np.ndarray
+    copies: np.ndarray
+    unit: np.ndarray
+    turned: np.ndarray
+
+    def where(self, rows: np.ndarray) -> _Rows:
+        return _Rows(*(getattr(self, f)[rows] for f in self.__dataclass_fields__))
+
+    def with_(self, other: _Rows) -> _Rows:
+        return _Rows(*(np.concatenate([getattr(self, f), getattr(other, f)]) for f in self.__dataclass_fields__))
+
+    def links(self, turn: Rotation, params: Params) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for block, (first, last) in enumerate(turn.cuts):
+            here = np.flatnonzero((self.block == ALL) | (self.block == block))
+            if len(here) < 2:
+                continue
+            for i, j in near_cells(self.group[here], self.turned[here, first:last], _reach(turn.shares[block]), params.grid):
+                m, n = here[i], here[j]
+                fresh = ~(self.guest[m] & self.guest[n]) & ~(self.old[m] & self.old[n])
+                m, n = m[fresh], n[fresh]
+                for b in range(block, -1, -1):  # a pair counts in the first block whose share it keeps
+                    fine = _within(turn, b, self.turned, m, n) == (b == block)
+                    m, n = m[fine], n[fine]
+                same = (self.unit[m] * self.unit[n]).sum(axis=1) >= params.cosine
+                m, n = m[same], n[same]
+                if len(m):
+                    yield _told(self.node[m], self.node[n], self.copies[m], self.copies[n])
+
+
+def _told(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    tree, root = _forest(a, b)
+    _, index = np.unique(np.concatenate([a, b]), return_inverse=True)
+    links = np.bincount(index, np.concatenate([of_b, of_a]).astype(np.float64)).astype(np.int64)
+    return tree, root, links
 
 
 LINKED = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 
 
-def _join(turns: dict[int, Rotation], cosine: float):
-    """Of a partition sorted by group, kept vectors first: for each vector with links a tree edge and their number."""
+def _join(turns: dict[int, Rotation], params: Params):
+    """Of a partition sorted by group, kept vectors first: for each vector with links a tree edge and their number.
+
+    Whole stretches of the partition are compared at once, whatever groups they belong to. What the last
+    group keeps, which ``held`` bounds, meets the next stretch.
+    """
     keys = ("label", "dim", "block", "cell", "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            marks = list(zip(*(batch[k].to_pylist() for k in keys)))
-            guest = batch["guest"].to_numpy(zero_copy_only=False)
-            ends = [i for i in range(1, len(marks)) if marks[i] != marks[i - 1] or guest[i] != guest[i - 1]]
-            told = []
-            for i, j in zip([0, *ends], [*ends, len(marks)]):
-                if marks[i] != now:
-                    if group:
-                        told += group.close()
-                    now = marks[i]
-                    group = _Group(turns[now[1]], now[2], cosine)
-                part = batch.slice(i, j - i)
-                rows = part["node"].to_numpy(), part["copies"].to_numpy(), _matrix(part["vector"], now[1])
-                if guest[i]:
-                    told += group.close()
-                    told += group.meet(*rows)
-                else:
-                    group.add(*rows)
-            if told:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*told)], schema=LINKED)
-        if group and (told := list(group.close())):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*told)], schema=LINKED)
+        last, kept = None, None
+        for whole in batches:
+            begin = 0
+            while begin < whole.num_rows:
+                batch = whole.slice(begin, max(256, params.held // int(whole["dim"][begin].as_py())))
+                begin += batch.num_rows
+                marks = list(zip(*(batch[k].to_pylist() for k in keys)))
+                group = np.cumsum([i > 0 and marks[i] != marks[i - 1] for i in range(len(marks))]).astype(np.int64)
+                dims, block = batch["dim"].to_numpy(), batch["block"].to_numpy()
+                guest, node, copies = batch["guest"].to_numpy(zero_copy_only=False), batch["node"].to_numpy(), batch["copies"].to_numpy()
+                told, carried = [], kept if marks[0] == last else None
+                for dim in np.unique(dims).tolist():
+                    at = np.flatnonzero(dims == dim)
+                    unit = _unit(_matrix(batch["vector"].take(pa.array(at)), dim))
+                    rows = _Rows(group[at], block[at], guest[at], np.zeros(len(at), bool), node[at], copies[at], unit, _rotate(unit, turns[dim].axes))
+                    if carried and dim == marks[0][1]:
+                        rows = carried.with_(rows)
+                    told += rows.links(turns[dim], params)
+                    if dim == marks[-1][1]:
+                        kept = rows.where((rows.group == group[-1]) & ~rows.guest)
+                        kept.group[:], kept.old[:] = 0, True
+                last = marks[-1]
+                if told:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*told)], schema=LINKED)
 
     return run
 
 
-def _dealt(placed: DataFrame, params: Params) -> DataFrame:
-    """Each vector in its cell's chunk, and as a guest in those it has to meet."""
-    cell = ["label", "dim", "block", "cell"]
-    large = materialize(placed.groupBy(*cell).count().where(F.col("count") > params.chunk).select(*cell, F.ceil(F.col("count") / params.chunk).cast("int").alias("chunks")), "large-cells")
-    moved = F.transform(
-        F.array(*[F.array(*map(F.lit, s)) for s in _steps(params.grid)]),
-        lambda s: F.array_join(F.zip_with(F.split("cell", ",").cast("array<long>"), s, lambda c, x: c - x).cast("array<string>"), ","),
-    )
-    sent = placed.withColumn("to", F.explode(F.concat(F.array("cell"), moved)))
+def _side(small: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(small) if rows <= 100_000 else small
+
+
+def _dealt(vectors: DataFrame, turns: dict[int, Rotation], params: Params) -> DataFrame:
+    """Each vector in its group, and as a guest in those it has to meet.
+
+    A label of up to ``held`` components is one group, sent once. A larger one is cut into cells in every block,
+    on more axes the more vectors it has; a cell that still holds more is dealt to several groups.
+    """
+    groups = F.col("count") * F.col("dim") / params.held
+    level = F.least(F.lit(DEEPEST), F.ceil(F.log(3.0, groups))).cast("int")
+    large = materialize(vectors.groupBy("label", "dim").count().where(groups > 1).select("label", "dim", level.alias("level")), "large-labels")
     n = large.count()
     if not n:
-        return sent.select("label", "dim", "block", F.col("to").alias("cell"), F.lit(0).alias("chunk"), (F.col("to") != F.col("cell")).alias("guest"), "node", "copies", "vector")
-    side = (lambda df: F.broadcast(df)) if n <= 100_000 else (lambda df: df)
-    there = large.select("label", "dim", "block", F.col("cell").alias("to"), F.col("chunks").alias("n_to"))
-    sent = sent.join(side(there), ["label", "dim", "block", "to"], "left").withColumn("n_to", F.coalesce("n_to", F.lit(1)))
-    mine = F.pmod(F.xxhash64("node"), F.col("n_to")).cast("int")
-    home = F.col("to") == F.col("cell")
-    chunks = F.when(home, F.sequence(F.lit(0), mine)).otherwise(F.sequence(F.lit(0), F.col("n_to") - 1))
-    sent = sent.withColumn("mine", F.when(home, mine)).withColumn("chunk", F.explode(chunks))
-    return sent.select("label", "dim", "block", F.col("to").alias("cell"), "chunk", (~home | (F.col("chunk") < F.col("mine"))).alias("guest"), "node", "copies", "vector")
+        return vectors.withColumn("level", F.lit(0)).mapInArrow(_place(turns), PLACED).withColumn("chunk", F.lit(0))
+    placed = vectors.join(_side(large, n), ["label", "dim"], "left").withColumn("level", F.coalesce("level", F.lit(0))).mapInArrow(_place(turns), PLACED)
+    cell = ["label", "dim", "block", "cell"]
+    homes = placed.where(~F.col("guest") & (F.col("block") != ALL)).groupBy(*cell).count()
+    full = materialize(homes.where(groups > 1).select(*cell, F.ceil(groups).cast("int").alias("chunks")), "large-cells")
+    sent = placed.join(_side(full, full.count()), cell, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    mine = F.when(~F.col("guest"), F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    sent = sent.withColumn("mine", mine).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("mine", F.col("chunks") - 1))))
+    return sent.withColumn("guest", F.col("guest") | (F.col("chunk") < F.col("mine"))).drop("mine", "chunks")
 
 
 def embedding_groups(rows: DataFrame, params: Params = Params()) -> DataFrame:
@@ -264,7 +353,8 @@ def embedding_groups(rows: DataFrame, params: Params = Params()) -> DataFrame:
 
     Only vectors with equal labels that aren't null are compared. Vectors that are null, zero, empty or hold
     a null or non-finite component link with nothing, nor do vectors of different lengths. Rows that repeat
-    id, label and vector are one vector. All rows without an id share one. Other columns are ignored.
+    id, label and vector are one vector; different vectors under one id are compared each, and joined to one
+    component where both have links. All rows without an id share one. Other columns are ignored.
     """
     e = F.col("embedding")
     fine = F.coalesce((F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False))
@@ -277,11 +367,10 @@ def embedding_groups(rows: DataFrame, params: Params = Params()) -> DataFrame:
 
     turns = rotations(packed, params)
     vectors = packed.select("label", "dim", "node", "copies", "vector")
-    placed = vectors.mapInArrow(_place(turns, params.grid), PLACED)
-    dealt = _dealt(placed, params)
+    dealt = _dealt(vectors, turns, params)
     keys = ["label", "dim", "block", "cell", "chunk"]
     joined = dealt.repartition(*keys).sortWithinPartitions(*keys, "guest")
-    linked = materialize(joined.mapInArrow(_join(turns, params.cosine), "node long, root long, links long"), "links")
+    linked = materialize(joined.mapInArrow(_join(turns, params), "node long, root long, links long"), "links")
 
     counts = linked.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))

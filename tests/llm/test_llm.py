@@ -447,7 +447,7 @@ def brute_links(rows, least=0.98):
     return {i: (n, roots[i]) for i, n in out.items()}
 
 
-@pytest.mark.parametrize("chunk,grid", [(4096, 1), (8, 1), (4096, 2)])
+@pytest.mark.parametrize("chunk,grid", [(4096, 1), (8, 1), (4096, 2), (8, 5), (2, 3)])
 def test_embeddings_are_brute_forces(spark, chunk, grid):
     rng = np.random.default_rng(6)
     base = rng.normal(size=(40, 12))
@@ -456,7 +456,7 @@ def test_embeddings_are_brute_forces(spark, chunk, grid):
     rows += [(100 + k, 1, [float(x) for x in centre + rng.normal(size=12) * 0.12]) for k in range(60)]
     rows += [(200, 1, rows[40][2]), (201, 1, rows[40][2]), (202, None, rows[40][2]), (203, 1, None), (204, 1, [0.0] * 12), (205, 1, [float("nan")] * 12), (206, 1, [1.0, None]), (207, 1, []), (208, 1, [1.0]), (209, 1, [2.0])]
     df = spark.createDataFrame([*rows, rows[0]], "vec_id long, label int, embedding array<float>").withColumn("node", F.lit(1))
-    got = embeddings.embedding_groups(df, embeddings.Params(chunk=chunk, grid=grid)).collect()
+    got = embeddings.embedding_groups(df, embeddings.Params(held=chunk * 12, grid=grid)).collect()
     want = brute_links(rows)
     assert len(got) == len(rows) + 1 and {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
