@@ -40,6 +40,26 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(n) for n in names])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, prolonged until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def by_bytes(texts: list[bytes], most: int) -> Iterator[list[bytes]]:
+    """Runs of the texts that hold up to about ``most`` bytes together, and one text at least."""
+    begin, held = 0, 0
+    for i, t in enumerate(texts):
+        if i > begin and held + len(t) > most:
+            yield texts[begin:i]
+            begin, held = i, 0
+        held += len(t)
+    if texts:
+        yield texts[begin:]
+
+
 def row_hash(df: DataFrame) -> Column:
     """A hash of all columns of a row, nulls told from other columns' nulls."""
     return F.xxhash64(*[F.col(c) for c in df.columns], *[F.col(c).isNull() for c in df.columns])

@@ -17,22 +17,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_rows, only
+from .common import binary_rows, by_bytes, fresh, only
 
 UNKNOWN = "und"
+#: Bytes of texts that are predicted together, unless one text has more.
+CHUNK = 1 << 21
 
 
 @dataclass(frozen=True)
 class Params:
-    """``per_language`` bounds the labelled documents that are learned from, ``per_document`` their windows,
-    ``languages`` the number of languages (the most frequent ones)."""
+    """``per_language`` bounds the labelled documents of a language that are learned from, ``documents`` those
+    of all languages together, which share it evenly; ``per_document`` bounds the windows of a document."""
 
     window: int = 256
     widths: tuple[int, ...] = (2, 3, 4)
     filters: int = 16
     per_language: int = 500
     per_document: int = 4
-    languages: int = 400
+    documents: int = 100_000
     epochs: int = 12
     batch: int = 64
     rate: float = 0.01
@@ -159,16 +161,20 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fit(docs: DataFrame, params: Params = Params()) -> Model | None:
     """Learn from ``text`` and ``lang`` of documents that aren't held out; None where there is nothing to learn from.
 
-    At most ``per_language`` documents of a language, those with the smallest hash of id and text, and at
-    most ``per_document`` windows of each, spread over its whole text, come to the driver.
+    Every language is learned. At most ``per_language`` documents of each, those with the smallest hash of id
+    and text, and at most ``per_document`` windows of each, spread over its whole text, come to the driver.
+    More languages than ``documents`` are an error, none is left out.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
     counts = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).groupBy("lang").count()
-    counts = counts.orderBy(F.desc("count"), "lang").limit(params.languages).collect()
+    counts = counts.limit(params.documents + 1).collect()
     if not counts:
         return None
+    if len(counts) > params.documents:
+        raise ValueError(f"over {params.documents} languages: raise Params.documents")
+    each = min(params.per_language, params.documents // len(counts))
     names = sorted(r["lang"] for r in counts)
-    share = {r["lang"]: min(1.0, 1.5 * params.per_language / r["count"] + 100 / r["count"]) for r in counts}
+    share = {r["lang"]: min(1.0, 1.5 * each / r["count"] + 100 / r["count"]) for r in counts}
     limits = F.create_map(*[F.lit(x) for n in names for x in (n, min(int(share[n] * 2**64) - 2**63, 2**63 - 1))])
     near = known.where(F.col("h") <= limits[F.col("lang")])
     size, most = params.window, params.per_document
@@ -186,7 +192,7 @@ def fit(docs: DataFrame, params: Params = Params()) -> Model | None:
     rows = sorted((r["lang"], r["h"], bytes(r["part"])) for r in near.mapInArrow(cut, "lang string, h long, part binary").collect())
     parts, labels, taken = [], [], {n: set() for n in names}
     for lang, h, part in rows:
-        if h in taken[lang] or len(taken[lang]) < params.per_language:
+        if h in taken[lang] or len(taken[lang]) < each:
             taken[lang].add(h)
             parts.append(part)
             labels.append(names.index(lang))
@@ -203,7 +209,9 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
     of = _iterated(model, "lang_pred string, score double")
     lettered = F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).otherwise(F.lit(""))
-    return docs.drop("lang_pred", "score").withColumn("_p", of(lettered)).select("*", "_p.lang_pred", "_p.score").drop("_p")
+    docs = docs.drop("lang_pred", "score")
+    p = fresh(docs, "predicted")
+    return docs.withColumn(p, of(lettered)).select("*", f"{p}.lang_pred", f"{p}.score").drop(p)
 
 
 def _iterated(model: Model, schema: str):
@@ -215,8 +223,8 @@ def _iterated(model: Model, schema: str):
         apply = Predictor(model)
         for texts in batches:
             names, scores = [], []
-            for i in range(0, len(texts), 500):
-                n, s = apply([t.encode() for t in texts[i : i + 500]])
+            for part in by_bytes([t.encode() for t in texts], CHUNK):
+                n, s = apply(part)
                 names += n
                 scores.append(s)
             yield pd.DataFrame({"lang_pred": names, "score": np.concatenate(scores) if scores else []})
