@@ -25,6 +25,8 @@ from .common import WORD, materialize
 
 #: Most sources, or values of a further constraint, that a mix may have; their sums are held on the driver.
 MOST_VALUES = 100_000
+#: Most combinations of values of several constraints; an iteration's sums of each come to the driver.
+MOST_CELLS = 1_000_000
 #: Bits of the threshold that a source's documents are held against, and most sums that settle some of them at once.
 BITS = 30
 MOST_SUMS = 1 << 18
@@ -72,6 +74,38 @@ def sized(docs: DataFrame, source: str = "source", text: str = "text") -> DataFr
     return docs.withColumn("size", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"))
 
 
+def _newton_step(at: np.ndarray, weight: np.ndarray, g: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """The step to ``g = 0`` on the values in ``use``, by preconditioned conjugate gradients.
+
+    The second derivative adds ``weight[c]`` at each pair of the values ``at[c]`` of cell c; only its products
+    with vectors are formed. With one constraint it's a diagonal and the first iteration ends.
+    """
+    diagonal = np.zeros(len(g))
+    for k in range(at.shape[1]):
+        np.add.at(diagonal, at[:, k], weight)
+    ridge = 1e-12 * max(1.0, diagonal.max(initial=0))
+
+    def times(x: np.ndarray) -> np.ndarray:
+        along, out = weight * x[at].sum(axis=1), ridge * x
+        for k in range(at.shape[1]):
+            np.add.at(out, at[:, k], along)
+        return np.where(use, out, 0.0)
+
+    x, r = np.zeros(len(g)), np.where(use, -g, 0.0)
+    end = 1e-12 * float(np.abs(r).max(initial=0))
+    z = r / (diagonal + ridge)
+    p, rz = z, float(r @ z)
+    for _ in range(2 * len(g) + 10):
+        if np.abs(r).max(initial=0) <= end or rz <= 0:
+            break
+        q = times(p)
+        a = rz / float(p @ q)
+        x, r = x + a * p, r - a * q
+        z = r / (diagonal + ridge)
+        p, rz = z + (float(r @ z) / rz) * p, float(r @ z)
+    return x
+
+
 def solve(cells: DataFrame, constraints: dict[str, dict[str | None, float]], most: float, steps: int = 60, near: float = 1e-9) -> dict[str, dict[str | None, float]]:
     """Multipliers of ``constraints`` (column to value to target) over ``cells`` with those columns and ``size``.
 
@@ -85,7 +119,7 @@ def solve(cells: DataFrame, constraints: dict[str, dict[str | None, float]], mos
     reachable = target > 0
     lam[~reachable] = -700.0
 
-    def dual(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    def dual(x: np.ndarray) -> tuple[float, np.ndarray, tuple[np.ndarray, np.ndarray]]:
         df = cells
         for k, c in enumerate(names):
             df = _lookup(df, c, [(v, float(x[index[c, v]])) for v in constraints[c]], f"_l{k} double")
@@ -98,22 +132,18 @@ def solve(cells: DataFrame, constraints: dict[str, dict[str | None, float]], mos
             F.sum(F.when(free, F.col("size") * rate).otherwise(0.0)).alias("s"),
             F.sum(F.col("size") * F.when(free, rate).otherwise(most * (1 + tilt - cap))).alias("v"),
         ).collect()
-        value, g, h = 0.0, np.zeros(len(index)), np.zeros((len(index), len(index)))
-        for r in rows:
-            at = [index[c, r[c]] for c in names]
-            value += r["v"]
-            g[at] += r["t"]
-            h[np.ix_(at, at)] += r["s"]
-        return value - x @ target, g - target, h
+        at = np.array([[index[c, r[c]] for c in names] for r in rows], np.int64).reshape(-1, len(names))
+        t, free_sum = np.array([r["t"] for r in rows], float), np.array([r["s"] for r in rows], float)
+        g = np.zeros(len(index))
+        for k in range(len(names)):
+            np.add.at(g, at[:, k], t)
+        return sum(r["v"] for r in rows) - x @ target, g - target, (at, free_sum)
 
     value, g, h = dual(lam)
     for _ in range(steps):
         if np.abs(g[reachable]).max(initial=0) <= near * max(1.0, target.max(initial=0)):
             break
-        step = np.zeros_like(lam)
-        sub = np.ix_(reachable, reachable)
-        step[reachable] = np.linalg.lstsq(h[sub] + 1e-12 * max(1.0, h.max()) * np.eye(reachable.sum()), -g[reachable], rcond=None)[0]
-        step, scale = np.clip(step, -3, 3), 1.0
+        step, scale = np.clip(_newton_step(*h, g, reachable), -3, 3), 1.0
         while True:
             new = dual(lam + scale * step)
             if new[0] <= value + 1e-9 * abs(value) or scale < 1e-4:
@@ -183,7 +213,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
         raise ValueError(f"more than {MOST_VALUES} sources")
     targets = water_fill({r["source"]: r["n"] for r in sums}, weights, share, most)
     wanted = {t.source: t.target for t in targets}
-    tilt = solve(slim, {"source": wanted} | (further or {}), most)
+    # rates depend on these columns alone: documents are added up once, iterations read their sums
+    cells = materialize(slim.groupBy(*names).agg(F.sum("size").alias("size")), "cells")
+    if further and cells.count() > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} combinations of constrained values")
+    tilt = solve(cells, {"source": wanted} | (further or {}), most)
 
     def rated(df: DataFrame) -> DataFrame:
         for k, c in enumerate(names):
