@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, fresh, materialize
 
 #: Characters that count as symbols (fixed value of the contract).
 SYMBOLS = r"[#*$%&|<>]"
@@ -58,15 +58,16 @@ def measured(docs: DataFrame) -> DataFrame:
         F.size("words") >= REPEAT, F.transform(F.sequence(F.lit(0), F.size("words") - REPEAT), lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(REPEAT)]))
     ).otherwise(F.array().cast("array<long>"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    d = d.withColumns({"_h": windows, "_lines": lines})
+    h, held = fresh(d, "hashes"), fresh(d, "lines")
+    d = d.withColumns({h: windows, held: lines})
     return d.withColumns({
         "n_words": F.size("words").cast("long"),
         "word_chars": F.length(F.array_join("words", "")).cast("long"),
         "n_symbols": (F.size(F.split(text, SYMBOLS, -1)) - 1).cast("long"),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": _repeat_words(F.col("_h"), REPEAT),
-    }).drop("_h", "_lines")
+        "n_lines": F.size(held).cast("long"),
+        "n_dup_lines": (F.size(held) - F.size(F.array_distinct(held))).cast("long"),
+        "n_repeat_words": _repeat_words(F.col(h), REPEAT),
+    }).drop(h, held)
 
 
 def base_failed(least_words: int = 20, most_repeated: int = 30) -> Column:

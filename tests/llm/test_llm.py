@@ -488,6 +488,32 @@ def test_bpe_is_the_librarys(docs, empty):
     assert "Python" not in bpe.round_trip(docs, codec)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_columns_named_as_inner_ones_stay(spark):
+    d = spark.createDataFrame([(1, "some words here", "aa", "p", 3, 4)], "doc_id long, text string, lang string, predicted string, hashes int, lines int")
+    assert langid.predict(d, langid.fit(d)).select("predicted").first()[0] == "p"
+    assert tuple(quality.judged(d).select("hashes", "lines").first()) == (3, 4)
+
+
+def test_every_language_is_learned(spark):
+    d = spark.createDataFrame([(i, f"text of {i}", f"l{i % 7}") for i in range(40)], "doc_id long, text string, lang string")
+    assert len(langid.fit(d, langid.Params(documents=7, epochs=1)).labels) == 7
+    with pytest.raises(ValueError):
+        langid.fit(d, langid.Params(documents=6))
+
+
+def test_newton_steps_solve_the_second_derivative():
+    rng = np.random.default_rng(2)
+    at = np.stack([rng.integers(0, 5, 60), rng.integers(5, 9, 60)], axis=1)
+    weight, use = rng.random(60), np.arange(9) != 3
+    rows = np.zeros((60, 9))
+    rows[np.arange(60)[:, None], at] = 1
+    h, g = rows.T @ (weight[:, None] * rows), rows.T @ rng.normal(size=60)
+    g = np.where(use, h @ np.where(use, rng.normal(size=9), 0), 0)
+    step = mixing._newton_step(at, weight, g, use)
+    assert np.allclose((h @ step)[use], -g[use], atol=1e-8) and not step[~use].any()
+    assert np.allclose(mixing._newton_step(at[:, :1], weight, h.diagonal()[:9] * (np.arange(9) < 5), np.arange(9) < 5)[:5], -1)
+
+
 def test_every_number_has_a_query():
     names = list(queries.queries())
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and set(queries.oracle_sql()) <= set(names)
