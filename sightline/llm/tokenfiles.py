@@ -11,6 +11,7 @@ ids each has, and the ids' control and data bytes. The ranks are a Parquet table
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,25 +92,27 @@ class WordEncoder:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _keep(self, word: bytes, ids: bytes) -> None:
-        self.known[word] = ids
-        self.held += len(word) + len(ids) + _ENTRY
+    def _keep(self, words: list[bytes], ids: list[bytes]) -> None:
+        self.known.update(zip(words, ids))
+        self.held += sum(map(len, words)) + sum(map(len, ids)) + _ENTRY * len(words)
 
     def _learn(self, words: list[bytes]) -> None:
         """Encode new words, many in one text: the mark between them shows where each one's ids end."""
-        plain = [w for w in words if _BETWEEN.encode() not in w]
-        for w in set(words).difference(plain):
-            self._keep(w, np.array(self._ids(w.decode("utf-8", "replace")), self.kind).tobytes())
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            ids = np.array(self._ids(f" {_BETWEEN} ".join(w.decode("utf-8", "replace") for w in part)), np.uint32)
+        mark = _BETWEEN.encode()
+        if marked := [w for w in words if mark in w]:
+            self._keep(marked, [np.array(self._ids(w.decode("utf-8", "replace")), self.kind).tobytes() for w in marked])
+            words = list(set(words).difference(marked))
+        between = b" %b " % mark
+        for i in range(0, len(words), 2000):
+            part = words[i : i + 2000]
+            ids = np.array(self._ids(between.join(part).decode("utf-8", "replace")), np.uint32)
             k = len(self.between)
             marks = np.flatnonzero((np.lib.stride_tricks.sliding_window_view(ids, k) == self.between).all(axis=1)) if len(ids) >= k else np.empty(0, np.int64)
             if len(marks) != len(part) - 1:
                 raise ValueError("words are not encoded one by one")
             flat, size = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
-            for w, a, b in zip(part, np.r_[0, marks + k].tolist(), np.r_[marks, len(ids)].tolist()):
-                self._keep(w, flat[a * size : b * size])
+            begin, end = np.r_[0, marks + k] * size, np.r_[marks, len(ids)] * size
+            self._keep(part, [flat[a:b] for a, b in zip(begin.tolist(), end.tolist())])
 
     def _words(self, text: bytes) -> list[bytes]:
         if self.lower and text.isascii():
@@ -122,10 +125,10 @@ class WordEncoder:
         if self.held > REMEMBERED:
             self.known, self.older, self.held = {}, self.known, 0
         split = [self._words(t) for t in texts]
-        new = {w for words in split for w in words}.difference(self.known)
-        for w in new.intersection(self.older):
-            self._keep(w, self.older[w])
-        new.difference_update(self.known)
+        new = set(itertools.chain.from_iterable(split)).difference(self.known)
+        again = list(new.intersection(self.older))
+        self._keep(again, list(map(self.older.__getitem__, again)))
+        new.difference_update(again)
         if new:
             self._learn(list(new))
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
