@@ -83,7 +83,7 @@ class WordEncoder:
 
     @classmethod
     def of_worker(cls, content: str, width: int, special: bool = False) -> WordEncoder:
-        key = f"{width}{special}{hash(content)}"
+        key = f"{cls.__name__}{width}{special}{hash(content)}"
         if key not in _ENCODERS:
             _ENCODERS.clear()
             _ENCODERS[key] = cls(content, width, special)
@@ -134,7 +134,7 @@ class WordEncoder:
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
-def _parts(texts: list[bytes]) -> Iterator[slice]:
+def parts_of(texts: list[bytes]) -> Iterator[slice]:
     """Slices of texts that hold some megabytes together, and one text at least."""
     begin, held = 0, 0
     for i, t in enumerate(texts):
@@ -168,7 +168,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int, width: int = 4, special: b
         encode = WordEncoder.of_worker(shared.value, width, special)
         for batch in batches:
             texts = [t or b"" for t in binary_rows(batch["text"])]
-            for part in _parts(texts):
+            for part in parts_of(texts):
                 ids = [x + end for x in encode(texts[part])]
                 yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"][part], "ids": ids}, schema=IDS)
 
