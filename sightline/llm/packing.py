@@ -12,7 +12,10 @@ holds one number and one list of bins per gap, never its pieces.
 
 from __future__ import annotations
 
+import json
 import re
+import string
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,60 +31,91 @@ CAPACITY = 2048
 #: Pieces that are packed together.
 SHARD = 1 << 16
 
-#: A space between white space, or between it and the end: the only one that may lie inside a match of the
-#: byte-level pattern. First by bytes (a superset beyond ASCII), then exactly.
-_INNER = re.compile(rb"[\t-\r\x1c-\x20\x80-\x8a\x9f\xa0\xa8\xa9\xaf] (?:[\t-\r\x1c-\x20\xc2\xe1-\xe3]|\Z)")
+#: Anything but single spaces and line ends as white space: there, a match of the byte-level pattern may hold a space or line end.
+_UNEVEN = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+_WIDE = re.compile(rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
+#: A space beside a word, which ends a match in any text; the space belongs to what follows.
 _BOUNDARY = re.compile(r"(?<=\S) | (?=\S)")
-#: Before a piece of text that has no space before it; no UTF-8 text has this byte.
-_FIRST = b"\xff"
+#: Before a piece that has no space before it; no UTF-8 text has this byte.
+_BARE = b"\xff"
+_MARKS = string.punctuation.replace("'", "")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it can be seen, else one from U+0100 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class SpacedEncoder(WordEncoder):
     """Ids of texts by a byte-level file of the ``tokenizers`` library, whose pattern ends every match at a space before or after a word.
 
-    A text is cut at such spaces; what lies between them, with the space before it, is encoded once and remembered.
+    A text is cut at such spaces, and around single line ends; what lies between, with the space before it, is encoded
+    once and remembered. A word of Latin letters, and marks after it, are matches of the pattern for sure and
+    go to the library's merges at once; anything else takes the library's whole way.
     """
 
     def __init__(self, content: str, width: int, special: bool = True) -> None:
         super().__init__(content, width, special)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
-        newline = self._ids("\n")
-        self.newline = newline[0] if len(newline) == 1 else None
+        kind = json.loads(content)
+        before = kind["pre_tokenizer"] or {}
+        if kind["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+            raise ValueError("not a byte-level tokenizer with the plain pattern")
+        self.newline, self.letters = np.array(self._ids("\n"), np.uint32), _byte_letters()
+        self.merge, self.code = self.tokenizer.model.tokenize, "I" if width == 4 else "H"
 
     def _words(self, text: bytes) -> list[bytes]:
         if not text:
             return []
-        words = text.split(b" ")
-        if _INNER.search(text):
+        if any(x in text for x in _UNEVEN) or b"\xe2\x80" in text and _WIDE.search(text):
             words = [w.encode() for w in _BOUNDARY.split(text.decode("utf-8", "replace"))]
-        words[0] = _FIRST + words[0]
+        else:
+            words = text.replace(b"\n", b" \xff\n \xff").split(b" ")
+        words[0] = _BARE + words[0]
         return words
 
+    def _merged(self, word: bytes) -> bytes | None:
+        """The ids of Latin letters and marks after them."""
+        bare = word[:1] == _BARE
+        s = (word[1:] if bare else word).decode("utf-8", "replace")
+        letters = s.rstrip(_MARKS)
+        if not letters.isalpha() or max(letters) > "\u024f":
+            return None
+        marks = s[len(letters) :]
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(self.letters)
+        found = self.merge(letters if bare else "\u0120" + letters)
+        if marks:
+            found += self.merge(marks)
+        return array(self.code, [t.id for t in found]).tobytes()
+
     def _learn(self, words: list[bytes]) -> None:
-        """Encode new words, many in one text where line ends can stand between them."""
-        plain, alone = [], []
-        for w in words:
-            first = w.startswith(_FIRST)
-            s = w[first:].decode("utf-8", "replace")
-            if first or self.newline is None or s.split() != [s] or any(x in s for x in self.special):
-                alone.append((w, s if first else f" {s}"))
-            else:
-                plain.append((w, f" {s}"))
+        """Encode new words, those that aren't plain many in one text where line ends can stand between them."""
+        merge, code = self.merge, self.code
+        letters = [w for w in words if w.isalpha()]
+        self._keep(letters, [array(code, [t.id for t in merge("\u0120" + w.decode())]).tobytes() for w in letters])
+        words = [w for w in words if not w.isalpha()]
+        ids = list(map(self._merged, words))
+        self._keep([w for w, x in zip(words, ids) if x is not None], [x for x in ids if x is not None])
+        spaced = [w for w, x in zip(words, ids) if x is None and w[:1] != _BARE and b"\n" not in w]
+        alone = [w for w, x in zip(words, ids) if x is None and (w[:1] == _BARE or b"\n" in w)]
         size = np.dtype(self.kind).itemsize
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            ids = np.array(self._ids("\n".join(s for _, s in part)), np.uint32)
-            ends = np.flatnonzero(ids == self.newline)
-            if len(ends) != len(part) - 1:
+        for i in range(0, len(spaced), 2000):
+            part = spaced[i : i + 2000]
+            found = np.array(self._ids((b" " + b"\n ".join(part)).decode("utf-8", "replace")), np.uint32)
+            ends = np.flatnonzero(found == self.newline[0])
+            if len(self.newline) > 1 or len(ends) != len(part) - 1:  # white space or a special token took a line end
                 alone += part
                 continue
-            flat = ids.astype(self.kind).tobytes()
-            begin, end = np.r_[0, ends + 1] * size, np.r_[ends, len(ids)] * size
-            self._keep([w for w, _ in part], [flat[a:b] for a, b in zip(begin.tolist(), end.tolist())])
+            flat = found.astype(self.kind).tobytes()
+            begin, end = np.r_[0, ends + 1] * size, np.r_[ends, len(found)] * size
+            self._keep(part, [flat[a:b] for a, b in zip(begin.tolist(), end.tolist())])
         for i in range(0, len(alone), 2000):
             part = alone[i : i + 2000]
-            found = self.tokenizer.encode_batch_fast([s for _, s in part], add_special_tokens=False)
-            self._keep([w for w, _ in part], [np.array(x.ids, self.kind).tobytes() for x in found])
+            texts = [(w[1:] if w[:1] == _BARE else b" " + w).decode("utf-8", "replace") for w in part]
+            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            self._keep(part, [np.array(x.ids, self.kind).tobytes() for x in found])
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
