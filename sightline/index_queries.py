@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from sightline.functions.times import epoch
 from sightline.operators import filters, identity, ingest, search
-from sightline.queries import query, r6, table
+from sightline.queries import Q0 as _Q0
+from sightline.queries import WORDS, bm25_sql, document_index, query, r6, table, vector0
 
 _INDEX = """WITH seg AS (SELECT o_orderkey AS id, o_custkey AS video_id, o_custkey % 5 AS camera_id, epoch(o_orderdate) AS ts_start, epoch(o_orderdate) + 3600 AS ts_end FROM orders),
 tr AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS segment_id, l_suppkey % 25 AS video_id, l_suppkey % 5 AS camera_id, CASE l_returnflag WHEN 'A' THEN 'person' WHEN 'N' THEN 'dog' ELSE 'car' END AS label,
@@ -128,3 +129,50 @@ def ingest_statuses(spark, d):
     other = (F.col("p_partkey") % 4 == 0).cast("long")
     known = f.where("p_partkey % 2 = 0").select("path", "fingerprint", (F.col("size") + other).alias("size_bytes"), "mtime", F.lit(1.0).alias("ingested_at"))
     return ingest.statuses(f.drop("p_partkey"), known).select("path", "status", "duplicate_of")
+
+
+_SEARCH = f"""
+WITH tv AS (SELECT vec_id AS segment_id, 0 AS source, NULL::BIGINT AS tracklet_id, embedding::DOUBLE[] AS e FROM embeddings
+  UNION ALL SELECT vec_id % 97, 1, vec_id + 1000000, embedding::DOUBLE[] FROM embeddings),
+good AS (SELECT doc_id FROM labels WHERE quality = 1),
+seg AS (SELECT doc_id AS id, n_chars % 5 AS camera_id, doc_id * 60.0::DOUBLE AS ts_start FROM documents),
+cap AS (SELECT vec_id % 97 AS id, arg_max(c, struct_pack(n := length(c), i := -vec_id)) AS caption FROM (SELECT vec_id, repeat('seen ', label) || vec_id AS c FROM embeddings WHERE label < 6) GROUP BY 1),
+sem AS (SELECT segment_id AS id, s AS semantic_score, tracklet_id AS best_tracklet_id, row_number() OVER (ORDER BY s DESC, segment_id) AS rank0 FROM (
+  SELECT *, list_cosine_similarity(e, q) AS s FROM tv, ({_Q0}) WHERE segment_id IN (SELECT doc_id FROM good) AND segment_id IN (SELECT id FROM seg)
+  QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY s DESC, source, tracklet_id) = 1) QUALIFY rank0 <= 200)"""
+
+
+def _found(spark, d, **asked):
+    segments = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.pmod("n_chars", F.lit(5)).alias("camera_id"), (F.col("doc_id") * F.lit(60.0)).alias("ts_start"))
+    e = table(spark, d, "embeddings")
+    own = e.select(F.col("vec_id").alias("segment_id"), F.lit(0).alias("source"), F.lit(None).cast("long").alias("tracklet_id"), F.col("embedding").alias("vector"))
+    vectors = own.unionByName(e.select(F.pmod("vec_id", F.lit(97)).alias("segment_id"), F.lit(1).alias("source"), (F.col("vec_id") + 1000000).alias("tracklet_id"), F.col("embedding").alias("vector")))
+    caption = F.when(F.col("label") < 6, F.concat(F.repeat(F.lit("seen "), F.col("label")), F.col("vec_id").cast("string")))
+    tracklets = e.select((F.col("vec_id") + 1000000).alias("id"), F.pmod("vec_id", F.lit(97)).alias("segment_id"), caption.alias("caption"))
+    good = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    out = search.search(segments, document_index(spark, d), vectors, tracklets, allowed=good, **asked)
+    return out.select("id", "camera_id", "ts_start", r6(F.col("score")).alias("score"), F.array_join("sources", "+").alias("sources"), r6(F.col("semantic_score")).alias("semantic_score"), "best_tracklet_id", "caption")
+
+
+@query(bm25_sql().replace("WITH t AS", _SEARCH + ", t AS", 1) + """,
+lex AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank1 FROM ranked WHERE doc_id IN (SELECT doc_id FROM good) QUALIFY rank1 <= 200),
+f AS (SELECT id, rank0, rank1, semantic_score, best_tracklet_id, coalesce(1.0::DOUBLE / (60 + rank0), 0) + coalesce(1.0::DOUBLE / (60 + rank1), 0) AS score FROM sem FULL JOIN lex USING (id)
+  ORDER BY score DESC, rank0 NULLS LAST, rank1 NULLS LAST, id LIMIT 40)
+SELECT id, camera_id, ts_start, round(score, 6) AS score, concat_ws('+', CASE WHEN rank0 IS NOT NULL THEN 'semantic' END, CASE WHEN rank1 IS NOT NULL THEN 'lexical' END) AS sources,
+  round(semantic_score, 6) AS semantic_score, best_tracklet_id, caption FROM f JOIN seg USING (id) LEFT JOIN cap USING (id)""")
+def search_by_text_and_vector(spark, d):
+    return _found(spark, d, text=" ".join(WORDS), query_vector=vector0(spark, d))
+
+
+@query(_SEARCH + """
+SELECT id, camera_id, ts_start, round(1.0::DOUBLE / (60 + rank0), 6) AS score, 'semantic' AS sources, round(semantic_score, 6) AS semantic_score, best_tracklet_id, caption
+FROM sem JOIN seg USING (id) LEFT JOIN cap USING (id) WHERE rank0 <= 40""")
+def search_by_vector(spark, d):
+    return _found(spark, d, query_vector=vector0(spark, d))
+
+
+@query(_SEARCH + """
+SELECT id, camera_id, ts_start, 0.0::DOUBLE AS score, 'filter' AS sources, NULL::DOUBLE AS semantic_score, NULL::BIGINT AS best_tracklet_id, caption
+FROM (SELECT * FROM seg WHERE id IN (SELECT doc_id FROM good) ORDER BY ts_start DESC, id DESC LIMIT 40) LEFT JOIN cap USING (id)""")
+def search_browse(spark, d):
+    return _found(spark, d)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from sightline.config import Hysteresis, Matching, Triage
 from sightline.functions import geometry, times, vectors
 from sightline.plans import ask
-from sightline.operators import catalog, filters, identity, ingest, intervals, search, segments, tracking, triage, zones
+from sightline.operators import catalog, filters, identity, ingest, intervals, search, segments, textindex, tracking, triage, zones
+from sightline.sources import shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,23 +49,23 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 
 _T = "SELECT *, epoch(ts) AS t FROM events"
-_Q0 = "SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0"
+Q0 = "SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0"
 
 
-def _vector0(spark: SparkSession, d: str) -> list[float]:
+def vector0(spark: SparkSession, d: str) -> list[float]:
     row = table(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()
     return list(row[0]) if row else [1.0]
 
 
-@query(f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, ({_Q0}) ORDER BY list_cosine_similarity(embedding::DOUBLE[], q) DESC, vec_id LIMIT 200")
+@query(f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, ({Q0}) ORDER BY list_cosine_similarity(embedding::DOUBLE[], q) DESC, vec_id LIMIT 200")
 def semantic_topk(spark, d):
-    out = search.semantic(table(spark, d, "embeddings"), _vector0(spark, d), "vec_id", "embedding")
+    out = search.semantic(table(spark, d, "embeddings"), vector0(spark, d), "vec_id", "embedding")
     return out.select("vec_id", r6(F.col("score")).alias("score"))
 
 
-@query(f"SELECT label, round(max(list_cosine_similarity(embedding::DOUBLE[], q)), 6) AS score FROM embeddings, ({_Q0}) GROUP BY label")
+@query(f"SELECT label, round(max(list_cosine_similarity(embedding::DOUBLE[], q)), 6) AS score FROM embeddings, ({Q0}) GROUP BY label")
 def semantic_best_per_group(spark, d):
-    out = search.semantic(table(spark, d, "embeddings"), _vector0(spark, d), "label", "embedding", limit=None)
+    out = search.semantic(table(spark, d, "embeddings"), vector0(spark, d), "label", "embedding", limit=None)
     return out.select("label", r6(F.col("score")).alias("score"))
 
 
@@ -101,7 +102,7 @@ ranked AS (SELECT doc_id, {score} AS score FROM p, s WHERE {any})
 """
 
 
-def _bm25_sql() -> str:
+def bm25_sql() -> str:
     counts = ", ".join(f"len(list_filter(ws, lambda x: x = '{w}')) AS f{i}" for i, w in enumerate(WORDS))
     dfs = ", ".join(f"count(*) FILTER (f{i} > 0) AS d{i}" for i in range(len(WORDS)))
     idf = lambda i: f"CASE WHEN ln((n - d{i} + 0.5) / (d{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - d{i} + 0.5) / (d{i} + 0.5)) END"
@@ -109,16 +110,24 @@ def _bm25_sql() -> str:
     return _BM25.format(counts=counts, dfs=dfs, score=score, any=" OR ".join(f"f{i} > 0" for i in range(len(WORDS))))
 
 
-@query(_bm25_sql() + "SELECT doc_id, round(score, 6) AS score FROM ranked ORDER BY ranked.score DESC, doc_id LIMIT 200")
+def document_index(spark, d) -> textindex.TextIndex:
+    """The stored index of ``documents``, made when a query first asks for it and again when the files have changed."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    path = f"{shared.shared_dir(spark)}/sightline/text-{shared.stamp(table(spark, d, 'documents'))}"
+    shared.made_once(spark, path, lambda at: textindex.TextIndex.build(docs, "doc_id", "text", at))
+    return textindex.TextIndex(spark, path, "doc_id", dict(docs.dtypes)["doc_id"])
+
+
+@query(bm25_sql() + "SELECT doc_id, round(score, 6) AS score FROM ranked ORDER BY ranked.score DESC, doc_id LIMIT 200")
 def bm25_topk(spark, d):
-    out = search.bm25(table(spark, d, "documents"), "doc_id", "text", WORDS, limit=200)
+    out = document_index(spark, d).ranked(WORDS, 200)
     return out.select("doc_id", r6(F.col("score")).alias("score"))
 
 
-@query(_bm25_sql() + f""",
+@query(bm25_sql() + f""",
 good AS (SELECT doc_id FROM labels WHERE quality = 1),
 sem AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY s DESC, vec_id) AS r FROM (
-  SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], q) AS s FROM embeddings, ({_Q0})
+  SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], q) AS s FROM embeddings, ({Q0})
   WHERE vec_id IN (SELECT doc_id FROM good) AND vec_id IN (SELECT doc_id FROM documents) ORDER BY s DESC, vec_id LIMIT 200)),
 lex AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM (
   SELECT * FROM ranked WHERE doc_id IN (SELECT doc_id FROM good) ORDER BY score DESC, doc_id LIMIT 200)),
@@ -129,7 +138,7 @@ def rrf_hybrid(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     vecs = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     good = table(spark, d, "labels").where("quality = 1").select("doc_id")
-    out = search.hybrid(docs, "doc_id", "text", vecs, "vector", " ".join(WORDS), _vector0(spark, d), good)
+    out = search.hybrid(docs, "doc_id", "text", vecs, "vector", " ".join(WORDS), vector0(spark, d), good, index=document_index(spark, d))
     return out.select("doc_id", F.col("rank0").cast("long").alias("rank0"), F.col("rank1").cast("long").alias("rank1"), r6(F.col("score")).alias("score"))
 
 
