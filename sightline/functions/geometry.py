@@ -64,12 +64,19 @@ def valid_zone(kind: Column, points: Column) -> Column:
 
 
 def letterbox(width: Column, height: Column, size: int, centred: bool = True) -> tuple[Column, Column, Column]:
-    """Scale and padding left and above that fit a frame into a square."""
+    """Scale and whole-pixel padding left and above that fit a frame into a square; of an odd rest the smaller half comes first."""
     scale = F.least(size / width, size / height)
-    pad = lambda n: (size - F.round(n * scale)) / 2 if centred else F.lit(0.0)
+    pad = lambda n: F.floor((size - F.bround(n * scale)) / 2).cast("double") if centred else F.lit(0.0)
     return scale, pad(width), pad(height)
 
 
+def from_letterbox(box: tuple[Column, ...], width: Column, height: Column, size: int, centred: bool = True) -> tuple[Column, ...]:
+    """Corners in the square as corners in the frame, clipped to it."""
+    scale, left, above = letterbox(width, height, size, centred)
+    within = lambda v, most: F.greatest(F.lit(0.0), F.least(v, most.cast("double")))
+    return tuple(within((v - (left if i % 2 == 0 else above)) / scale, width if i % 2 == 0 else height) for i, v in enumerate(box))
+
+
 def caption_crop(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column, grow: float = 1.35, least_box: float = 8, least_crop: float = 96) -> Column:
     """Square around a box, grown and clipped to the frame; null for a box or crop that is too small."""
     half = F.greatest(x2 - x1, y2 - y1) * grow / 2

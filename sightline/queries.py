@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sightline.config import Hysteresis, Matching, Triage
 from sightline.functions import geometry, times, vectors
 from sightline.plans import ask
-from sightline.operators import catalog, filters, identity, ingest, intervals, search, segments, textindex, tracking, triage, zones
+from sightline.operators import catalog, detect, filters, identity, ingest, intervals, search, segments, textindex, tracking, triage, zones
 from sightline.sources import shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -529,3 +529,62 @@ def _asked(spark, d, question):
     known = ask.vocabulary(question, people, none, cameras, t)
     plan = ask.parse(question, known, dt.date(2024, 1, 20))
     return plan, (none.drop("name"), none.select(F.col("id"), "name"), t, people, cameras)
+
+
+def _raw_grid(spark, d):
+    """Embeddings as the raw output of a grid head: five anchors of eight attributes; every third one a row per attribute."""
+    rows = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.transform(F.slice("embedding", i * 8 + 1, 8), lambda x: F.abs(x.cast("double")) * 4))
+    turned = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.abs(F.col("embedding")[i * 8 + k].cast("double")) * 4))
+    return table(spark, d, "embeddings").select("vec_id", F.lit(1920).alias("width"), F.lit(1080).alias("height"), F.when(F.col("vec_id") % 3 == 0, turned).otherwise(rows).alias("raw"))
+
+
+GRID_HEAD = detect.Head(classes=3, objectness=True, grid=True, strides=(32, 64), centred=False)
+
+
+@query("""
+WITH a AS (SELECT vec_id, i, list_transform(embedding[i * 8 + 1:i * 8 + 8], lambda x: abs(x::DOUBLE) * 4) AS p FROM embeddings, range(5) t(i)),
+s AS (SELECT *, list_transform(p[6:8], lambda x: x * p[5]) AS sc FROM a), b AS (SELECT *, list_max(sc) AS score, list_position(sc, list_max(sc)) - 1 AS cls FROM s WHERE list_max(sc) >= 0.25),
+g AS (SELECT *, CASE WHEN i < 4 THEN i % 2 ELSE 0 END AS gx, CASE WHEN i < 4 THEN i // 2 ELSE 0 END AS gy, CASE WHEN i < 4 THEN 32 ELSE 64 END AS st FROM b),
+c AS (SELECT *, (p[1] + gx) * st AS cx, (p[2] + gy) * st AS cy, exp(p[3]) * st AS w, exp(p[4]) * st AS h FROM g)
+SELECT vec_id, i AS anchor, round(greatest(0, least((cx - w / 2) / (64.0::DOUBLE / 1920), 1920)), 6) AS x1, round(greatest(0, least((cy - h / 2) / (64.0::DOUBLE / 1920), 1080)), 6) AS y1,
+  round(greatest(0, least((cx + w / 2) / (64.0::DOUBLE / 1920), 1920)), 6) AS x2, round(greatest(0, least((cy + h / 2) / (64.0::DOUBLE / 1920), 1080)), 6) AS y2, round(score, 6) AS score, cls::INT AS cls FROM c
+""")
+def decode_grid(spark, d):
+    out = detect.decoded(_raw_grid(spark, d), ["vec_id"], GRID_HEAD, 64)
+    return out.select("vec_id", F.col("anchor").cast("long").alias("anchor"), *[r6(F.col(c)).alias(c) for c in ("x1", "y1", "x2", "y2", "score")], "cls")
+
+
+def _raw_plain(spark, d):
+    """Orders as frames, their lines as anchors in pixels of a 640 square with four classes and no objectness."""
+    li = table(spark, d, "lineitem")
+    of = lambda k: F.when(F.col("l_suppkey") % 4 == k, F.col("l_discount") * 10).otherwise(F.col("l_tax")).cast("double")
+    line = F.array((F.col("l_partkey") % 640).cast("double"), (F.col("l_suppkey") % 640).cast("double"), F.col("l_quantity").cast("double") * 4, F.col("l_quantity").cast("double") * 2, of(0), of(1), of(2), of(3))
+    # a frame has at most as many anchors as an order has lines
+    rows = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", line.alias("p")))).alias("_r"))
+    return rows.select("l_orderkey", F.lit(1000).alias("width"), F.lit(751).alias("height"), F.transform("_r", lambda r: r["p"]).alias("raw"))
+
+
+@query("""
+WITH a AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey % 640, l_suppkey % 640, l_quantity) - 1 AS i, l_partkey % 640 AS cx, l_suppkey % 640 AS cy, l_quantity::DOUBLE * 4 AS w, l_quantity::DOUBLE * 2 AS h,
+  list_transform(range(4), lambda k: CASE WHEN l_suppkey % 4 = k THEN (l_discount * 10)::DOUBLE ELSE l_tax::DOUBLE END) AS sc FROM lineitem),
+b AS (SELECT *, list_max(sc) AS score, list_position(sc, list_max(sc)) - 1 AS cls FROM a WHERE list_max(sc) >= 0.25)
+SELECT l_orderkey, i AS anchor, round(greatest(0, least((cx - w / 2) / 0.64::DOUBLE, 1000)), 6) AS x1, round(greatest(0, least((cy - h / 2 - 79) / 0.64::DOUBLE, 751)), 6) AS y1,
+  round(greatest(0, least((cx + w / 2) / 0.64::DOUBLE, 1000)), 6) AS x2, round(greatest(0, least((cy + h / 2 - 79) / 0.64::DOUBLE, 751)), 6) AS y2, round(score, 6) AS score, cls::INT AS cls FROM b
+""")
+def decode_plain(spark, d):
+    out = detect.decoded(_raw_plain(spark, d), ["l_orderkey"], detect.Head(classes=4), 640)
+    return out.select("l_orderkey", F.col("anchor").cast("long").alias("anchor"), *[r6(F.col(c)).alias(c) for c in ("x1", "y1", "x2", "y2", "score")], "cls")
+
+
+@query()
+def detected_boxes(spark, d):
+    """Raw grid output to boxes, suppression included."""
+    return detect.detections(_raw_grid(spark, d), ["vec_id"], GRID_HEAD, 64)
+
+
+@query()
+def track_sampled_frames(spark, d):
+    """Boxes of all lines, and every day of a month as a sampled frame of each supplier's recording, whether it has a box or not."""
+    boxes = _boxes(spark, d)
+    frames = table(spark, d, "supplier").select(F.col("s_suppkey").alias("video_id"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(31)), lambda n: n.cast("double"))).alias("t"))
+    return tracking.tracks(boxes, ["video_id"], frames=frames)
