@@ -86,3 +86,14 @@ def caption_crop(x1: Column, y1: Column, x2: Column, y2: Column, width: Column,
     )
     small = (F.least(x2 - x1, y2 - y1) < least_box) | (F.least(crop["x2"] - crop["x1"], crop["y2"] - crop["y1"]) < least_crop)
     return F.when(~small, crop)
+
+
+def thumb_crop(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column, most_width: int, pad: float = 0.08, least: int = 4) -> Column:
+    """Whole-pixel corners of a box padded by a part of its size and clipped to the frame, and the size of the picture
+    once it is at most ``most_width`` wide; null for a crop below ``least`` pixels."""
+    px, py = (x2 - x1) * pad, (y2 - y1) * pad
+    whole = lambda c: c.cast("int")  # noqa: E731  towards zero
+    crop = F.struct(F.greatest(F.lit(0), whole(x1 - px)).alias("x1"), F.greatest(F.lit(0), whole(y1 - py)).alias("y1"), F.least(width, whole(x2 + px)).alias("x2"), F.least(height, whole(y2 + py)).alias("y2"))
+    w, h = crop["x2"] - crop["x1"], crop["y2"] - crop["y1"]
+    scaled = F.when(w > most_width, F.greatest(F.lit(1), whole(h * (F.lit(most_width) / w)))).otherwise(h)
+    return F.when((w >= least) & (h >= least), F.struct(crop["x1"].alias("x1"), crop["y1"].alias("y1"), crop["x2"].alias("x2"), crop["y2"].alias("y2"), F.least(w, F.lit(most_width)).alias("width"), scaled.alias("height")))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from sightline.functions import geometry
 from sightline.functions.times import epoch
-from sightline.operators import filters, identity, ingest, search
+from sightline.operators import filters, identity, ingest, search, stages
 from sightline.queries import Q0 as _Q0
+from sightline.sources import shared
 from sightline.queries import WORDS, bm25_sql, document_index, query, r6, table, vector0
 
 _INDEX = """WITH seg AS (SELECT o_orderkey AS id, o_custkey AS video_id, o_custkey % 5 AS camera_id, epoch(o_orderdate) AS ts_start, epoch(o_orderdate) + 3600 AS ts_end FROM orders),
@@ -176,3 +180,67 @@ SELECT id, camera_id, ts_start, 0.0::DOUBLE AS score, 'filter' AS sources, NULL:
 FROM (SELECT * FROM seg WHERE id IN (SELECT doc_id FROM good) ORDER BY ts_start DESC, id DESC LIMIT 40) LEFT JOIN cap USING (id)""")
 def search_browse(spark, d):
     return _found(spark, d)
+
+
+@query("""
+WITH f AS (SELECT c_custkey, c_acctbal < 0 AS bad, c_nationkey < 5 AS deaf FROM customer), o AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1),
+j AS (SELECT f.*, coalesce(n, 0) AS n FROM f LEFT JOIN o ON o_custkey = c_custkey)
+SELECT 'probe' AS stage, count(*) FILTER (NOT bad) AS done, count(*) FILTER (bad) AS failed, 0::BIGINT AS waiting, count(*) FILTER (NOT bad) AS rows, CASE WHEN bool_or(bad) THEN 'no video stream' ELSE '' END AS notes FROM j
+UNION ALL SELECT 'scan', count(*) FILTER (NOT bad), 0, count(*) FILTER (bad), coalesce(sum(n) FILTER (NOT bad), 0)::BIGINT, '' FROM j
+UNION ALL SELECT 'listen', count(*) FILTER (NOT bad AND NOT deaf), count(*) FILTER (NOT bad AND deaf), count(*) FILTER (bad), count(*) FILTER (NOT bad AND NOT deaf), CASE WHEN bool_or(NOT bad AND deaf) THEN 'ValueError: no audio' ELSE '' END FROM j
+UNION ALL SELECT 'index', count(*) FILTER (NOT bad AND NOT deaf), 0, count(*) FILTER (bad OR deaf), count(*) FILTER (NOT bad AND NOT deaf AND n > 0), '' FROM j
+""")
+def import_stages(spark, d):
+    """Customers as files, in four stages of which two fail for some; a second run finds only the failed ones left."""
+    files = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+
+    def listen(pdf):
+        if (pdf["c_nationkey"] < 5).any():
+            raise ValueError("no audio")
+        return pdf[["c_custkey"]]
+
+    graph = stages.Import(
+        f"{shared.shared_dir(spark)}/sightline/import-{uuid.uuid4().hex}", "c_custkey", dict(files.dtypes)["c_custkey"],
+        [
+            stages.Stage("index", lambda due, t: t["scan"].join(due, "c_custkey", "left_semi").groupBy("c_custkey").agg(F.count("*").alias("n")), ("scan", "listen")),
+            stages.Stage("probe", lambda due, _: due.select("c_custkey", F.when(F.col("c_acctbal") < 0, "no video stream").alias("error"))),
+            stages.Stage("scan", lambda due, _: due.join(orders, "c_custkey").select("c_custkey", "o_orderkey"), ("probe",)),
+            stages.Stage("listen", lambda due, _: stages.attempted(due, "c_custkey", listen, f"c_custkey {dict(files.dtypes)['c_custkey']}"), ("probe",)),
+        ],
+    )
+    graph.run(files)
+    graph.run(files)
+    return graph.summary(files).withColumn("notes", F.array_join("notes", ";"))
+
+
+def _spoken(spark, d):
+    """Conversations as utterances of recordings: clearness by the turn."""
+    c = table(spark, d, "conversations")
+    return c.select(F.col("conv_id").alias("video_id"), "text", (F.col("turn") * 2.0).alias("t_start"), (F.col("turn") * 2.0 + F.length("text") / 20).alias("t_end"), (F.col("turn") % 4 * -0.4).cast("double").alias("avg_logprob"), F.when(F.col("conv_id") % 3 == 0, 0.9).otherwise(F.col("turn") % 3 * 0.25).alias("no_speech_prob"))
+
+
+@query("""
+WITH raw AS (SELECT conv_id AS id, length(text) / 20.0::DOUBLE AS s, trim(coalesce(text, '')) <> '' AND turn % 4 * -0.4 >= -1.0 AND CASE WHEN conv_id % 3 = 0 THEN 0.9 ELSE turn % 3 * 0.25 END <= 0.6 AS ok FROM conversations),
+v AS (SELECT c_custkey AS id, c_nationkey > 4 AS has_audio FROM customer),
+j AS (SELECT v.id, any_value(has_audio) AS has_audio, count(raw.id) AS n, count(raw.id) FILTER (ok) AS k, coalesce(sum(s) FILTER (ok), 0) AS s FROM v LEFT JOIN raw USING (id) GROUP BY v.id)
+SELECT count(*) FILTER (has_audio AND k > 0) AS videos, coalesce(sum(k) FILTER (has_audio), 0)::BIGINT AS utterances, round(coalesce(sum(s) FILTER (has_audio), 0), 1) AS seconds_of_speech, count(*) FILTER (NOT has_audio) AS skipped_no_audio,
+  count(*) FILTER (has_audio AND n = 0) AS skipped_silent, count(*) FILTER (has_audio AND n > 0 AND k = 0) AS skipped_unclear, coalesce(sum(n - k) FILTER (has_audio), 0)::BIGINT AS discarded FROM j
+""")
+def speech_summary(spark, d):
+    raw = _spoken(spark, d)
+    videos = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_nationkey") > 4).alias("has_audio"))
+    return stages.speech_summary(videos, raw, filters.spoken(raw))
+
+
+@query("""
+WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_partkey % 600 * 1.0::DOUBLE AS x1, l_suppkey % 300 * 1.0::DOUBLE AS y1, l_quantity * 1.5::DOUBLE AS w, l_quantity * 1.0::DOUBLE AS h FROM lineitem),
+c AS (SELECT *, greatest(0, trunc(x1 - w * 0.08)) AS cx1, greatest(0, trunc(y1 - h * 0.08)) AS cy1, least(640, trunc(x1 + w + w * 0.08)) AS cx2, least(320, trunc(y1 + h + h * 0.08)) AS cy2 FROM b)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::DOUBLE AS l_quantity, cx1::INT AS x1, cy1::INT AS y1, cx2::INT AS x2, cy2::INT AS y2, least(cx2 - cx1, 48)::INT AS width,
+  CASE WHEN cx2 - cx1 > 48 THEN greatest(1, trunc((cy2 - cy1) * (48 / (cx2 - cx1)))) ELSE cy2 - cy1 END::INT AS height FROM c WHERE cx2 - cx1 >= 4 AND cy2 - cy1 >= 4
+""")
+def crop_boxes(spark, d):
+    li, x, y = table(spark, d, "lineitem"), (F.col("l_partkey") % 600).cast("double"), (F.col("l_suppkey") % 300).cast("double")
+    w, h = F.col("l_quantity").cast("double") * 1.5, F.col("l_quantity").cast("double")
+    crop = geometry.thumb_crop(x, y, x + w, y + h, F.lit(640), F.lit(320), 48)
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("double").alias("l_quantity"), crop.alias("c")).where("c IS NOT NULL").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "c.*")

@@ -83,6 +83,13 @@ def spoken(raw: DataFrame, least_logprob: float = -1.0, most_silence: float = 0.
     return raw.where((F.trim(F.coalesce("text", F.lit(""))) != "") & clear)
 
 
+def utterances_of(utterances: DataFrame, video_id: int | None = None, segment_id: int | None = None, limit: int = 200) -> DataFrame:
+    """What was said in a recording or segment, in time order, at most ``limit`` rows."""
+    for column, wanted in (("video_id", video_id), ("segment_id", segment_id)):
+        utterances = utterances.where(F.col(column) == wanted) if wanted is not None else utterances
+    return utterances.orderBy("ts_start", "id").limit(limit)
+
+
 def pending_analysis(segments: DataFrame) -> DataFrame:
     return segments.where("analyzed_at is null")
 

@@ -153,6 +153,14 @@ def unnamed(identities: DataFrame, examples: DataFrame, tracklets: DataFrame, tr
     return identities.join(gone.select("id"), "id", "left_anti"), left, clear
 
 
+def deleted(identities: DataFrame, examples: DataFrame, tracklets: DataFrame, identity_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables without an identity: its examples go with it, its sightings stay without a name."""
+    gone = F.col("identity_id").eqNullSafe(F.lit(identity_id))
+    clear = tracklets.withColumn("_gone", gone)
+    clear = clear.withColumns({c: F.when(~F.col("_gone"), F.col(c)) for c in ("identity_id", "identity_score", "identity_source")}).drop("_gone")
+    return identities.where(F.col("id") != identity_id), examples.where(~gone), clear
+
+
 def people(identities: DataFrame, examples: DataFrame, tracklets: DataFrame) -> DataFrame:
     """``id, name, n_examples, n_sightings`` of every identity."""
     a = examples.groupBy("identity_id").agg(F.count("*").alias("n_examples"))
