@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sightline.functions import geometry
 from sightline.functions.times import epoch
-from sightline.operators import filters, identity, ingest, search, stages
+from sightline.operators import filters, identity, ingest, search, segments, stages, triage, zones
+from sightline.plans import ask
+from sightline.queries import ANCHORS, EVENT_RULES, IN, RUNS, SQUARE, anchors, events
 from sightline.queries import Q0 as _Q0
 from sightline.sources import shared
 from sightline.queries import WORDS, bm25_sql, document_index, query, r6, table, vector0
@@ -244,3 +248,96 @@ def crop_boxes(spark, d):
     w, h = F.col("l_quantity").cast("double") * 1.5, F.col("l_quantity").cast("double")
     crop = geometry.thumb_crop(x, y, x + w, y + h, F.lit(640), F.lit(320), 48)
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("double").alias("l_quantity"), crop.alias("c")).where("c IS NOT NULL").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "c.*")
+
+
+def _asked_of_zones(spark, d, question):
+    """Every second nation is a region, the others are lines; the first three lines of an order are events."""
+    t = _tracklets(spark, d)
+    own = table(spark, d, "lineitem").where("l_linenumber <= 3")
+    label = F.when(F.col("l_returnflag") == "A", "person").when(F.col("l_returnflag") == "N", "dog").otherwise("car")
+    n, kind = F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.when(F.col("l_linestatus") == "O", "enter").otherwise("cross_out")
+    e = own.select(
+        n.alias("id"), n.alias("tracklet_id"), F.pmod("l_partkey", F.lit(25)).alias("zone_id"), F.col("l_orderkey").alias("segment_id"), kind.alias("kind"), epoch("l_shipdate").alias("ts"),
+        label.alias("label"), F.pmod("l_suppkey", F.lit(5)).alias("camera_id"), F.lit(0.0).alias("duration"),
+    )
+    zones = _zones(spark, d).withColumn("kind", F.when(F.col("id") % 2 == 0, "region").otherwise("line"))
+    people, cameras = _identities(spark, d), _named(spark, d, "region", "r_regionkey", "r_name")
+    plan = ask.parse(question, ask.vocabulary(question, people, zones, cameras, t), dt.date(1998, 1, 1))
+    return plan, ask.answer_rows(plan, e, zones, t, people, cameras)
+
+
+_ZONE_ROWS = _INDEX + """, e AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey % 25 AS zone_id, CASE l_linestatus WHEN 'O' THEN 'enter' ELSE 'cross_out' END AS kind, epoch(l_shipdate) AS ts,
+  CASE l_returnflag WHEN 'A' THEN 'person' WHEN 'N' THEN 'dog' ELSE 'car' END AS label, l_suppkey % 5 AS camera_id FROM lineitem WHERE l_linenumber <= 3),
+z AS (SELECT e.id, e.ts, idn.name AS identity, e.label, cam.name AS camera, e.kind, zn.name AS zone FROM e JOIN zn ON zn.id = e.zone_id JOIN tr ON tr.id = e.id
+  LEFT JOIN idn ON idn.id = tr.identity_id LEFT JOIN cam ON cam.id = e.camera_id)
+"""
+
+
+@query(_ZONE_ROWS + "SELECT count(*) AS n, count(*) || ' time' || CASE count(*) WHEN 1 THEN '' ELSE 's' END || ' at NATION_6' AS answer FROM z WHERE zone = 'NATION_6' AND kind = 'enter' AND label = 'dog'")
+def ask_entries_of_a_region(spark, d):
+    """Nation 6 is a region, so that coming in is entering it."""
+    return ask.headline(*_asked_of_zones(spark, d, "how many times did a dog come in the nation_6"))
+
+
+@query(_ZONE_ROWS + "SELECT id, ts, identity, label, camera, kind, zone FROM z WHERE zone = 'NATION_7' AND kind = 'cross_out' AND camera = 'ASIA'")
+def ask_crossings_of_a_line(spark, d):
+    """Nation 7 is a line, so that leaving is crossing it outwards."""
+    plan, rows = _asked_of_zones(spark, d, "when did anything leave Nation_7 in Asia")
+    return rows.select("id", "ts", "identity", "label", "camera", "kind", "zone")
+
+
+@query(_ZONE_ROWS + "SELECT id, ts, identity, label, camera, kind, zone FROM z WHERE zone = 'NATION_8' AND kind IN ('enter', 'cross_in', 'cross_out') AND label = 'person' AND (hour(to_timestamp(ts) AT TIME ZONE 'UTC') >= 22 OR hour(to_timestamp(ts) AT TIME ZONE 'UTC') < 6)")
+def ask_visits_at_night(spark, d):
+    """A zone without a direction: visits, in a part of the day."""
+    plan, rows = _asked_of_zones(spark, d, "what person was at Nation_8 at night")
+    return rows.select("id", "ts", "identity", "label", "camera", "kind", "zone")
+
+
+_PATH = f"SELECT user_id, user_id % 3 AS cam, x, y, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::DOUBLE AS t FROM ({ANCHORS})"
+
+
+@query(f"""
+WITH a AS (SELECT * FROM ({_PATH}) WHERE cam < 2), p AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM a WHERE cam = 1 WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+s AS (SELECT *, 0.5 - x AS sq, 0.5 - px AS sp, (x - px) * (0 - py) - (y - py) * (0.5 - px) AS sa, (x - px) * (1 - py) - (y - py) * (0.5 - px) AS sb FROM p WHERE px IS NOT NULL),
+f AS (SELECT *, {IN} AS ins FROM a), n AS (SELECT *, CASE WHEN ins = lag(ins) OVER (PARTITION BY user_id ORDER BY t) THEN 0 ELSE 1 END AS fresh, max(t) OVER (PARTITION BY user_id) AS fin FROM f),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM n),
+q AS (SELECT user_id, run, bool_or(ins) AS ins, min(t) AS t, max(fin) AS fin FROM r GROUP BY ALL HAVING count(*) >= 2),
+c AS (SELECT *, lag(ins, 1, false) OVER (PARTITION BY user_id ORDER BY run) AS was FROM q), m AS (SELECT *, lead(t) OVER (PARTITION BY user_id ORDER BY run) AS nxt FROM c WHERE ins <> was),
+e AS (SELECT user_id, 1 AS zone_id, CASE WHEN sq > 0 THEN 'cross_in' ELSE 'cross_out' END AS kind, t, 0.0::DOUBLE AS duration FROM s WHERE sp * sq < 0 AND sa * sb < 0
+  UNION ALL SELECT user_id, 2 + user_id % 3, CASE WHEN ins THEN 'enter' ELSE 'exit' END, t, 0.0 FROM m UNION ALL SELECT user_id, 2 + user_id % 3, 'dwell', t, coalesce(nxt, fin) - t FROM m WHERE ins)
+SELECT user_id AS tracklet_id, zone_id, user_id * 10 AS segment_id, user_id % 3 AS camera_id, 'user' AS label, kind, t, 1000 + t AS ts, duration FROM e
+""")
+def zone_events_of_boxes(spark, d):
+    """Users as tracklets of three cameras; a line on one of them, a region on two, none on the third."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    a = anchors(spark, d).withColumn("n", F.row_number().over(w).cast("double"))
+    # boxes whose lower edges have the anchors in their middle
+    boxes = a.select(F.col("user_id").alias("tracklet_id"), F.col("n").alias("t"), F.col("x").alias("x1"), F.lit(0.0).alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    tracklets = a.select("user_id").distinct().select(F.col("user_id").alias("id"), (F.col("user_id") * 10).alias("segment_id"), F.lit(1).cast("long").alias("video_id"), F.pmod("user_id", F.lit(3)).alias("camera_id"), F.lit("user").alias("label"))
+    square = str(SQUARE)
+    drawn = spark.createDataFrame([(1, 1, "line", "line", "[[0.5,0],[0.5,1]]"), (3, 1, "yard", "region", square), (2, 0, "hall", "region", square)], "id long, camera_id long, name string, kind string, points string")
+    out = zones.zone_events(boxes, tracklets, drawn, spark.createDataFrame([(1, 1000.0)], "id long, start_ts double"))
+    return out.drop("video_id")
+
+
+@query()
+def packet_candidates(spark, d):
+    """Lines as packets, suppliers as recordings: every first line is a key frame, prices are sizes."""
+    li = table(spark, d, "lineitem")
+    w = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
+    packets = li.select(F.col("l_suppkey").alias("video_id"), F.row_number().over(w).alias("seq"), F.col("l_extendedprice").alias("size"), (F.col("l_linenumber") == 1).alias("is_key")).withColumn("t", F.col("seq") * 0.25)
+    videos = packets.groupBy("video_id").agg((F.max("t") + 1).alias("duration"))
+    return triage.candidates(packets, videos).select("video_id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
+
+
+@query(RUNS + """, sc AS (SELECT m.user_id, m.s, m.e, avg(value) AS score, arg_max(t, struct_pack(v := value, n := -t)) AS peak FROM merged m JOIN e x ON x.user_id = m.user_id AND x.t >= m.s AND x.t < m.e GROUP BY ALL),
+du AS (SELECT user_id, max(t) + 30 AS d FROM e GROUP BY 1), wd AS (SELECT user_id, greatest(s - 300, 0) AS s, least(e + 300, d) AS e, score, peak FROM sc JOIN du USING (user_id)),
+wg AS (SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 0 THEN 0 ELSE 1 END AS fresh FROM wd),
+w2 AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM wg)
+SELECT user_id, min(s) AS "start", max(e) AS "end", round(max(score), 6) AS score, arg_max(peak, struct_pack(v := score, n := -s)) AS peak FROM w2 GROUP BY user_id, run""")
+def segments_within_recordings(spark, d):
+    """All steps from a trace to segments, which end with their recordings."""
+    e = events(spark, d)
+    ends = e.groupBy("user_id").agg((F.max("t") + 30).alias("duration"))
+    out = segments.activity_segments(e, ["user_id"], "t", "value", ["ts", "event_id"], EVENT_RULES, 60.0, ends)
+    return out.withColumn("score", r6(F.col("score")))

@@ -147,7 +147,7 @@ def segment_document(spark, d):
     return search.joined_bodies(table(spark, d, "conversations"), "conv_id", ["turn"], "text")
 
 
-_RUNS = f"""
+RUNS = f"""
 WITH e AS ({_T}), sg AS (SELECT *, CASE WHEN value >= 60 THEN 1 WHEN value < 20 THEN 0 END AS sign FROM e),
 st AS (SELECT *, coalesce(last_value(sign IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 0) AS on_ FROM sg),
 nw AS (SELECT *, CASE WHEN on_ = 0 OR lag(on_, 1, 0) OVER (PARTITION BY user_id ORDER BY ts, event_id) = 0 THEN 1 ELSE 0 END AS fresh FROM st),
@@ -163,12 +163,12 @@ def _runs(spark, d):
     return segments.merged_runs(segments.hysteresis_runs(events(spark, d), ["user_id"], "t", "value", ["ts", "event_id"], EVENT_RULES, 60.0), ["user_id"], EVENT_RULES)
 
 
-@query(_RUNS + 'SELECT user_id, s AS "start", e AS "end" FROM merged')
+@query(RUNS + 'SELECT user_id, s AS "start", e AS "end" FROM merged')
 def hysteresis_segments(spark, d):
     return _runs(spark, d)
 
 
-@query(_RUNS + """, sc AS (SELECT m.user_id, m.s, m.e, avg(value) AS score, arg_max(t, struct_pack(v := value, n := -t)) AS peak FROM merged m JOIN e x ON x.user_id = m.user_id AND x.t >= m.s AND x.t < m.e GROUP BY ALL),
+@query(RUNS + """, sc AS (SELECT m.user_id, m.s, m.e, avg(value) AS score, arg_max(t, struct_pack(v := value, n := -t)) AS peak FROM merged m JOIN e x ON x.user_id = m.user_id AND x.t >= m.s AND x.t < m.e GROUP BY ALL),
 wd AS (SELECT user_id, greatest(s - 300, 0) AS s, e + 300 AS e, score, peak FROM sc),
 wg AS (SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 0 THEN 0 ELSE 1 END AS fresh FROM wd),
 w2 AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM wg)
@@ -196,11 +196,11 @@ def coalesce_intervals(spark, d):
     return _spans(spark, d).select("user_id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
 
 
-@query(_SPANS + f""", u AS (SELECT event_id, user_id, t, t + 120 AS t2 FROM ({_T}) WHERE event_type = 'error' OR event_id % 7 = 0),
+@query(_SPANS + f""", u AS (SELECT event_id, user_id, t, t + 120 AS t2 FROM ({_T})),
 b AS (SELECT u.event_id, arg_min(spans.s, spans.s) AS s FROM u JOIN spans ON u.user_id = spans.user_id AND spans.s <= u.t2 AND spans.e >= u.t GROUP BY u.event_id)
 SELECT event_id, round(s, 3) AS span_start FROM u LEFT JOIN b USING (event_id)""")
 def overlap_first_match(spark, d):
-    u = events(spark, d).where("event_type = 'error' or event_id % 7 = 0").select("event_id", "user_id", F.col("t").alias("u0"), (F.col("t") + 120).alias("u1"))
+    u = events(spark, d).select("event_id", "user_id", F.col("t").alias("u0"), (F.col("t") + 120).alias("u1"))
     s = _spans(spark, d).select("user_id", F.col("start").alias("s0"), F.col("end").alias("s1"), F.col("start").alias("span_start"))
     out = intervals.first_overlap(u, s, ["user_id"], "event_id", ("u0", "u1"), "span_start", ("s0", "s1"))
     return out.select("event_id", F.round("span_start", 3).alias("span_start"))
@@ -272,26 +272,26 @@ def days_rollup(spark, d):
     return catalog.days(events(spark, d), "t", F.col("value")).select("day", "n", F.round("seconds", 4).alias("seconds"))
 
 
-_ANCHORS = "SELECT event_id, user_id, ts, epoch(ts) AS t, least(value / 200, 1) AS x, coalesce(least(lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) / 200, 1), 0) AS y FROM events"
+ANCHORS = "SELECT event_id, user_id, ts, epoch(ts) AS t, least(value / 200, 1) AS x, coalesce(least(lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) / 200, 1), 0) AS y FROM events"
 
 
-def _anchors(spark, d):
+def anchors(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = events(spark, d)
     return e.select("event_id", "user_id", "ts", "t", F.least(F.col("value") / 200, F.lit(1.0)).alias("x"), F.coalesce(F.least(F.lag("value").over(w) / 200, F.lit(1.0)), F.lit(0.0)).alias("y"))
 
 
 @query(f"""
-WITH a AS ({_ANCHORS}), p AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM a WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+WITH a AS ({ANCHORS}), p AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM a WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT *, (0.5 - 0.5) * (y - 0) - (1 - 0) * (x - 0.5) AS sq, (0.5 - 0.5) * (py - 0) - (1 - 0) * (px - 0.5) AS sp,
   (x - px) * (0 - py) - (y - py) * (0.5 - px) AS sa, (x - px) * (1 - py) - (y - py) * (0.5 - px) AS sb FROM p WHERE px IS NOT NULL)
 SELECT event_id, user_id, CASE WHEN sq > 0 THEN 'cross_in' ELSE 'cross_out' END AS kind FROM s WHERE sp * sq < 0 AND sa * sb < 0
 """)
 def zone_crossings(spark, d):
-    return zones.line_crossings(_anchors(spark, d), ["user_id"], ["ts", "event_id"], "x", "y", (0.5, 0.0, 0.5, 1.0)).select("event_id", "user_id", "kind")
+    return zones.line_crossings(anchors(spark, d), ["user_id"], ["ts", "event_id"], "x", "y", (0.5, 0.0, 0.5, 1.0)).select("event_id", "user_id", "kind")
 
 
-_SQUARE = [[0.1, 0.1], [0.6, 0.1], [0.6, 0.6], [0.1, 0.6]]
+SQUARE = [[0.1, 0.1], [0.6, 0.1], [0.6, 0.6], [0.1, 0.6]]
 
 
 def _fold(parts: list[str]) -> str:
@@ -302,20 +302,20 @@ def _fold(parts: list[str]) -> str:
 
 
 def _polygon():
-    return F.array(*[F.array(*map(F.lit, p)) for p in _SQUARE])
+    return F.array(*[F.array(*map(F.lit, p)) for p in SQUARE])
 
 
-_IN = _fold([f"(({a[1]} > y) <> ({b[1]} > y) AND x < ({b[0]} - {a[0]}) * (y - {a[1]}) / nullif({b[1]} - {a[1]}, 0)::DOUBLE + {a[0]})" for a, b in zip(_SQUARE, _SQUARE[1:] + _SQUARE[:1])])
+IN = _fold([f"(({a[1]} > y) <> ({b[1]} > y) AND x < ({b[0]} - {a[0]}) * (y - {a[1]}) / nullif({b[1]} - {a[1]}, 0)::DOUBLE + {a[0]})" for a, b in zip(SQUARE, SQUARE[1:] + SQUARE[:1])])
 
 
-@query(f"SELECT p_partkey, {_IN} AS inside FROM (SELECT p_partkey, p_size / 50.0::DOUBLE AS x, least(p_retailprice / 2000, 1) AS y FROM part)")
+@query(f"SELECT p_partkey, {IN} AS inside FROM (SELECT p_partkey, p_size / 50.0::DOUBLE AS x, least(p_retailprice / 2000, 1) AS y FROM part)")
 def point_in_polygon(spark, d):
     p = table(spark, d, "part").select("p_partkey", (F.col("p_size") / 50.0).alias("x"), F.least(F.col("p_retailprice") / 2000, F.lit(1.0)).alias("y"))
     return p.select("p_partkey", geometry.in_polygon(F.col("x"), F.col("y"), _polygon()).alias("inside"))
 
 
 @query(f"""
-WITH a AS (SELECT *, {_IN} AS ins FROM ({_ANCHORS})),
+WITH a AS (SELECT *, {IN} AS ins FROM ({ANCHORS})),
 n AS (SELECT *, CASE WHEN ins = lag(ins) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END AS fresh, max(t) OVER (PARTITION BY user_id) AS fin FROM a),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM n),
 q AS (SELECT user_id, run, bool_or(ins) AS ins, min(t) AS t, count(*) AS c, max(fin) AS fin FROM r GROUP BY ALL HAVING count(*) >= 2),
@@ -325,7 +325,7 @@ SELECT user_id, CASE WHEN ins THEN 'enter' ELSE 'exit' END AS kind, t, 0.0::DOUB
 SELECT user_id, 'dwell', t, round(coalesce(nxt, fin) - t, 6) FROM m WHERE ins
 """)
 def zone_region_events(spark, d):
-    a = _anchors(spark, d).withColumn("inside", geometry.in_polygon(F.col("x"), F.col("y"), _polygon()))
+    a = anchors(spark, d).withColumn("inside", geometry.in_polygon(F.col("x"), F.col("y"), _polygon()))
     return zones.region_events(a, ["user_id"], ["ts", "event_id"], "t", "inside", 2).withColumn("duration", r6(F.col("duration")))
 
 
