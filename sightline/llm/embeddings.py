@@ -46,7 +46,9 @@ class Params:
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim).astype(np.float64)
+    """Vectors of one length, packed as floats or doubles."""
+    packed = b"".join(column.to_pylist())
+    return np.frombuffer(packed, np.float64 if len(packed) == 8 * dim * len(column) else np.float32).reshape(-1, dim).astype(np.float64)
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -353,17 +355,20 @@ def embedding_groups(rows: DataFrame, params: Params = Params()) -> DataFrame:
 
     Only vectors with equal labels that aren't null are compared. Vectors that are null, zero, empty or hold
     a null or non-finite component link with nothing, nor do vectors of different lengths. Rows that repeat
-    id, label and vector are one vector; different vectors under one id are compared each, and joined to one
-    component where both have links. All rows without an id share one. Other columns are ignored.
+    id, label and vector are one vector; different vectors under one id are compared each, have links of
+    their own, and are joined to one component where both have links. All rows without an id share one. Other columns are ignored.
     """
     e = F.col("embedding")
     fine = F.coalesce((F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False))
+    kind = "float" if dict(rows.dtypes)["embedding"] == "array<float>" else "double"
     all_rows = only(rows, "vec_id", "label", "embedding").select(
-        F.coalesce(F.col("vec_id").cast("long"), F.lit(_NO_ID)).alias("vec_id"), F.col("label").cast("string").alias("label"), e.cast("array<float>").alias("embedding")
+        F.coalesce(F.col("vec_id").cast("long"), F.lit(_NO_ID)).alias("vec_id"), F.col("label").cast("string").alias("label"), e.cast(f"array<{kind}>").alias("embedding")
     )
     sound = all_rows.where(F.col("label").isNotNull() & fine)
-    distinct = sound.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.countDistinct("vec_id").alias("copies"))
-    packed = materialize(distinct.mapInArrow(_pack, "label string, embedding array<float>, dim int, node long, copies long, vector binary"), "vectors")
+    distinct = sound.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.countDistinct("vec_id").alias("copies"))
+    # an id may have several vectors, so that a vector is told by a number of its own
+    told_apart = distinct.withColumn("node", F.monotonically_increasing_id())
+    packed = materialize(told_apart.mapInArrow(_pack, f"label string, embedding array<{kind}>, dim int, node long, least long, copies long, vector binary"), "vectors")
 
     turns = rotations(packed, params)
     vectors = packed.select("label", "dim", "node", "copies", "vector")
@@ -373,10 +378,12 @@ def embedding_groups(rows: DataFrame, params: Params = Params()) -> DataFrame:
     linked = materialize(joined.mapInArrow(_join(turns, params), "node long, root long, links long"), "links")
 
     counts = linked.groupBy("node").agg(F.sum("links").alias("links"))
-    roots = connected_components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    told = packed.select("label", "embedding", "node", "copies").join(counts, "node", "left").join(roots, "node", "left")
+    ids = packed.select("node", "least")
+    edges = linked.select("node", "root").join(ids, "node").select(F.col("least").alias("a"), F.col("root").alias("node")).join(ids, "node").select("a", F.col("least").alias("b"))
+    roots = connected_components(edges).withColumnRenamed("node", "least")
+    told = packed.select("label", "embedding", "node", "least", "copies").join(counts, "node", "left").join(roots, "least", "left")
     found = materialize(
-        told.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id")), "found-links"
+        told.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "least").alias("component_id")), "found-links"
     )
     out = all_rows.join(found, ["label", "embedding"], "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     no_id = F.lit(_NO_ID)
@@ -385,8 +392,9 @@ def embedding_groups(rows: DataFrame, params: Params = Params()) -> DataFrame:
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        vectors = [np.asarray(v, np.float32).tobytes() for v in batch["embedding"].to_pylist()]
+        kind = batch["embedding"].type.value_type.to_pandas_dtype()
+        vectors = [np.asarray(v, kind).tobytes() for v in batch["embedding"].to_pylist()]
         yield pa.RecordBatch.from_pydict({
-            "label": batch["label"], "embedding": batch["embedding"], "dim": pa.array([len(v) // 4 for v in vectors], pa.int32()),
-            "node": batch["node"], "copies": batch["copies"], "vector": pa.array(vectors, pa.binary()),
+            "label": batch["label"], "embedding": batch["embedding"], "dim": batch["embedding"].value_lengths(),
+            "node": batch["node"], "least": batch["least"], "copies": batch["copies"], "vector": pa.array(vectors, pa.binary()),
         })
