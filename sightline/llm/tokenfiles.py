@@ -12,6 +12,8 @@ ids each has, and the ids' control and data bytes. The ranks are a Parquet table
 from __future__ import annotations
 
 import itertools
+import string
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,6 +62,8 @@ def decode_numbers(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 #: A private-use character, put between words that are encoded at once; words that have it are encoded alone.
 _BETWEEN = "\ue000"
+#: Marks that are one match of the pattern together, after letters.
+_MARKS = string.punctuation.replace("'", "").encode()
 #: What a worker has encoded so far, by tokenizer; later tasks of the worker go on with it.
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -78,8 +82,11 @@ class WordEncoder:
         self.tokenizer, self.kind, self.known, self.older, self.held = Tokenizer.from_str(content), KINDS[width], {}, {}, 0
         self.tokenizer.encode_special_tokens = not special
         self.lower = '"Lowercase"' in content
+        self.whole = self.lower and all(self._ids(w) == [t.id for t in self.tokenizer.model.tokenize(w.lower())] for w in ("a", "Zq", "Hello", "unbelievably", "xqzjkwv" * 9))
         self.cased = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.between = np.array(self._ids(_BETWEEN), np.uint32)
+        # a run of ASCII letters is one match of the pattern; the library's merges alone give its ids
+        self.merge, self.code = self.tokenizer.model.tokenize, "I" if width == 4 else "H"
 
     @classmethod
     def of_worker(cls, content: str, width: int, special: bool = False) -> WordEncoder:
@@ -97,8 +104,14 @@ class WordEncoder:
         self.held += sum(map(len, words)) + sum(map(len, ids)) + _ENTRY * len(words)
 
     def _learn(self, words: list[bytes]) -> None:
-        """Encode new words, many in one text: the mark between them shows where each one's ids end."""
-        mark = _BETWEEN.encode()
+        """Encode new words: of letters alone by the merges, the others many in one text, where a mark shows where each one's ids end."""
+        mark, merge, code = _BETWEEN.encode(), self.merge, self.code
+        if self.whole:
+            letters = [w for w in words if w.isalpha()]
+            self._keep(letters, [array(code, [t.id for t in merge(w.lower().decode())]).tobytes() for w in letters])
+            marked = [(w, letters) for w in words if not w.isalpha() and (letters := w.rstrip(_MARKS)).isalpha()]
+            self._keep([w for w, _ in marked], [array(code, [t.id for part in (x.lower(), w[len(x) :]) for t in merge(part.decode())]).tobytes() for w, x in marked])
+            words = [w for w in words if not w.rstrip(_MARKS).isalpha()]
         if marked := [w for w in words if mark in w]:
             self._keep(marked, [np.array(self._ids(w.decode("utf-8", "replace")), self.kind).tobytes() for w in marked])
             words = list(set(words).difference(marked))
