@@ -516,7 +516,7 @@ def test_newton_steps_solve_the_second_derivative():
 
 def test_every_number_has_a_query():
     names = list(queries.queries())
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and set(queries.oracle_sql()) <= set(names)
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14)) and set(queries.oracle_sql()) <= set(names)
 
 
 def test_pipeline_runs_all_stages(spark):
