@@ -26,6 +26,8 @@ from .common import materialize
 
 #: Places for frequent words, and how many words a place has at most; both bound the table, whatever the corpus.
 PLACES, WAYS = 1 << 17, 6
+#: Bytes of the longest word that the table takes; a longer one is folded where it stands.
+LONGEST = 64
 #: What white space is to Unicode; Java's own class has ASCII's alone.
 SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
 #: More than any id; its cube fits into a long.
@@ -194,8 +196,8 @@ class Codec:
         return F.transform(_let(codes, of_codes), lambda i: i.cast("int"))
 
     def frequent_words(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """``place, way, w, ids``: at each place its ``WAYS`` most frequent words of ``docs``, equally frequent ones by code point. What occurs once needn't be kept."""
-        counts = docs.select(F.explode(self.words(F.col(text))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+        """``place, way, w, ids``: at each place its ``WAYS`` most frequent words of ``docs``, equally frequent ones by code point. What occurs once, or has over ``LONGEST`` bytes, isn't kept."""
+        counts = docs.select(F.explode(self.words(F.col(text))).alias("w")).where(F.octet_length("w") <= LONGEST).groupBy("w").agg(F.count("*").alias("n"))
         way = F.row_number().over(Window.partitionBy("place").orderBy(F.desc("n"), "w"))
         best = counts.withColumn("place", self._place(F.col("w"))).withColumn("way", way).where((F.col("way") <= WAYS) & (F.col("n") > 1)).select("place", "way", "w")
         dealt = materialize(best, "words").repartition(-(-self.places * WAYS // 8192))

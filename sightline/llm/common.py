@@ -23,6 +23,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these frames; nothing may be read from them afterwards."""
+    for df in tables:
+        spark, files = df.sparkSession, df.inputFiles()
+        if files:
+            path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            if path.getParent().getName() == "sightline":
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -59,10 +69,12 @@ def row_hash(df: DataFrame) -> Column:
 
 def rows_of(df: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of ``df`` with a hash in ``kept`` (``_row``, and ``n``, how many rows have it), one of each."""
-    found = df.withColumn("_row", row_hash(df))
-    single = found.join(kept.where("n = 1"), "_row", "left_semi")
-    repeated = found.join(kept.where("n > 1"), "_row", "left_semi").dropDuplicates(["_row"])
-    return single.union(repeated).drop("_row")
+    row = fresh(df, "_row")
+    kept = kept.withColumnRenamed("_row", row)
+    found = df.withColumn(row, row_hash(df))
+    single = found.join(kept.where("n = 1"), row, "left_semi")
+    repeated = found.join(kept.where("n > 1"), row, "left_semi").dropDuplicates([row])
+    return single.union(repeated).drop(row)
 
 
 def binary_rows(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:

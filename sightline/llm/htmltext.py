@@ -9,7 +9,8 @@ else their nearest sectioning ancestor, holds, so that headings and short paragr
 Menus, footers, adverts and comments take part in the ratios like any text. Names only help: the score of a
 path through an element whose tag, or a whole class, id or role of which, names such a thing is scaled down
 by a constant, and its text doesn't stay for its section's sake. A name on an element that holds an article
-says nothing.
+says nothing, unless an article came before it: what stands under such a name then is another article's card or
+a comment. Beside the article of the best path a path has to reach half of its score.
 """
 
 from __future__ import annotations
@@ -35,9 +36,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 UNSEEN = RAW | frozenset("head svg math canvas object audio video template datalist".split())
 #: Elements that seldom hold content; a form may hold a whole page.
 DOUBTFUL = frozenset("nav header footer aside button select option optgroup fieldset dialog menu".split())
-_MARK = r"(?:ads?|advert\w*|advertisement|banner|sponsor\w*|promo\w*|menu|nav|navbar|navigation|breadcrumbs?|header|footer|masthead|sidebar|aside|widget|related|share|social|cookies?|consent|notice|popup|modal|newsletter|subscribe|comments?|commentlist|disqus|replies|reply|respond|toolbar|pagination|pager|complementary|contentinfo|search)"
+_MARK = r"(?:ads?|advert\w*|advertisement|banner|sponsor\w*|promo\w*|menu|nav|navbar|navigation|breadcrumbs?|header|footer|masthead|sidebar|aside|widget|related|share|social|cookies?|consent|notice|popup|modal|newsletter|subscribe|comments?|commentlist|disqus|replies|reply|respond|toolbar|pagination|pager|complementary|contentinfo|search|legal|copyright|colophon|disclaimer)"
 _BEFORE = r"(?:left|right|top|bottom|main|site|page|global|primary|secondary|user|reader)[_-]+"
-_AFTER = r"(?:[_-]+(?:list|box|block|bar|area|section|wrapper|container|item|body|inner|unit|slot|form|links?|thread|\d+))"
+_AFTER = r"(?:[_-]+(?:list|box|block|bar|area|section|wrapper|container|item|body|inner|unit|slot|form|links?|thread|posts?|articles?|stories|\d+))"
 #: A class, id or role that marks an element as no content: of such words alone, so that has-sidebar or with-comments doesn't.
 MARKS = re.compile(rf"(?<!\S)(?:{_BEFORE})*{_MARK}(?:[_-]+{_MARK}|{_AFTER})*(?!\S)", re.I)
 #: Elements that marks don't concern, since they hold the page or its content; the last two hold an article.
@@ -96,13 +97,13 @@ def nodes(page: str) -> tuple[list[Node], dict[int, bool]]:
 
     A block's path has the names and classes of the open elements that aren't part of a line. Missing end
     tags end with their parent; an end tag without a start is ignored. Elements that are marked by a name but
-    hold an article aren't doubtful.
+    hold the first article aren't doubtful; later articles that are marked, or in what is, are.
     """
     out: list[Node] = []
     stack = [Open("", "", False, 0, 0, ())]
     text: list[str] = []
     doubtful: dict[int, bool] = {}
-    count = 0
+    count, held = 0, False
 
     def flush() -> None:
         if text:
@@ -165,12 +166,14 @@ def nodes(page: str) -> tuple[list[Node], dict[int, bool]]:
             above = stack[-1]
             marks, hidden = attributes(rest) if rest else ("", False)
             doubts, holder = above.doubts, above.holder
-            if name in HOLDERS:
+            marked = bool(marks) and name not in PAGE and MARKS.search(marks) is not None
+            if name in HOLDERS and not (held and (marked or any(x in doubtful for x in doubts))):
                 holder = count
                 for x in doubts:
                     if not doubtful.get(x, True):
                         del doubtful[x]
-            elif name in DOUBTFUL or name == "form" or marks and name not in PAGE and MARKS.search(marks):
+                held = held or not any(x in doubtful for x in doubts)
+            elif name in DOUBTFUL or name == "form" or marked:
                 doubts += (count,)
                 doubtful[count] = name in DOUBTFUL
             label = "" if not block else name + ("." + ".".join(marks.split()) if marks else "")
@@ -196,8 +199,8 @@ def path_scores(found: list[Node], width: float = 1.0) -> tuple[np.ndarray, np.n
     return index, np.bincount(index, fused) / count
 
 
-def content(found: list[Node], doubtful: dict[int, bool], part: float = 0.1, doubt: float = 1e-4) -> list[bool]:
-    """Which nodes are content: those of paths that score ``part`` of the best, doubtful ones scaled by ``doubt``, and what belongs to them."""
+def content(found: list[Node], doubtful: dict[int, bool], part: float = 0.1, doubt: float = 1e-4, beside: float = 0.5) -> list[bool]:
+    """Which nodes are content: those of paths that score ``part`` of the best, or ``beside`` outside of articles if the best is in one, doubtful ones scaled by ``doubt``, and what belongs to them."""
     if not found:
         return []
     index, score = path_scores(found)
@@ -206,7 +209,8 @@ def content(found: list[Node], doubtful: dict[int, bool], part: float = 0.1, dou
     best = int(scaled.argmax())
     if any(doubtful[x] for x in doubts[best]):
         return [False] * len(found)
-    passed = scaled >= part * scaled[best]
+    bar = np.array([beside if found[best].holder and not n.holder else part for n in found])
+    passed = scaled >= bar * scaled[best]
     roots = {n.holder or n.section for n, p in zip(found, passed) if p}
 
     def belongs(n: Node, doubted: list[int]) -> bool:

@@ -161,22 +161,24 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fit(docs: DataFrame, params: Params = Params()) -> Model | None:
     """Learn from ``text`` and ``lang`` of documents that aren't held out; None where there is nothing to learn from.
 
-    Every language is learned. At most ``per_language`` documents of each, those with the smallest hash of id
-    and text, and at most ``per_document`` windows of each, spread over its whole text, come to the driver.
-    More languages than ``documents`` are an error, none is left out.
+    Every language that has a text of a byte is learned. Rows that repeat an id and its text count as one. At most
+    ``per_language`` of each, those with the smallest hash of id and text, and at most ``per_document`` windows
+    of each, spread over its whole text, come to the driver; the limit on the hash is set by how many distinct
+    ones a language has. More languages than ``documents`` are an error, none is left out.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    counts = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).groupBy("lang").count()
-    counts = counts.limit(params.documents + 1).collect()
+    usable = F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out()
+    known = docs.where(usable).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    # a rough count does: limits let through half as many again, and a hundred more
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("h", 0.03).alias("n")).limit(params.documents + 1).collect()
     if not counts:
         return None
     if len(counts) > params.documents:
         raise ValueError(f"over {params.documents} languages: raise Params.documents")
     each = min(params.per_language, params.documents // len(counts))
     names = sorted(r["lang"] for r in counts)
-    share = {r["lang"]: min(1.0, 1.5 * each / r["count"] + 100 / r["count"]) for r in counts}
-    limits = F.create_map(*[F.lit(x) for n in names for x in (n, min(int(share[n] * 2**64) - 2**63, 2**63 - 1))])
-    near = known.where(F.col("h") <= limits[F.col("lang")])
+    share = {r["lang"]: min(1.0, 1.5 * each / r["n"] + 100 / r["n"]) for r in counts}
+    limits = docs.sparkSession.createDataFrame([(n, min(int(share[n] * 2**64) - 2**63, 2**63 - 1)) for n in names], "lang string, most long")
+    near = known.join(F.broadcast(limits), "lang").where("h <= most").select("lang", "text", "h")
     size, most = params.window, params.per_document
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +191,8 @@ def fit(docs: DataFrame, params: Params = Params()) -> Model | None:
                         out[name].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("lang", pa.string()), ("h", pa.int64()), ("part", pa.binary())]))
 
-    rows = sorted((r["lang"], r["h"], bytes(r["part"])) for r in near.mapInArrow(cut, "lang string, h long, part binary").collect())
+    windows = near.mapInArrow(cut, "lang string, h long, part binary").distinct()
+    rows = sorted((r["lang"], r["h"], bytes(r["part"])) for r in windows.collect())
     parts, labels, taken = [], [], {n: set() for n in names}
     for lang, h, part in rows:
         if h in taken[lang] or len(taken[lang]) < each:

@@ -10,6 +10,8 @@ row for each source (and each pair of constraints that meet), come to the driver
 Rates become whole copies: the whole part, and one more for the documents whose hash, less the rate's
 fraction, lies below their source's threshold. Histograms of the hash settle the thresholds, so that a
 source's copies hold its target to within one document; what is left is given to documents that fit in it.
+Repeated rows share a hash, so a threshold takes all of them or none: where that leaves a gap, some of the
+equal rows at the edge get one more copy, told apart by numbers that are counted per partition.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, fresh, materialize
 
 #: Most sources, or values of a further constraint, that a mix may have; their sums are held on the driver.
 MOST_VALUES = 100_000
@@ -195,19 +197,55 @@ def _chosen(df: DataFrame, rounds: int) -> DataFrame:
     return df.withColumn("_more", more).drop(*[f"_{x}{n}" for n in range(rounds) for x in ("limit", "edge")])
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_number``, from 1 within each source: the number within what one task read, after the counts of the tasks before it."""
+    held = materialize(rows.withColumn("_part", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id()), "ties")
+    counts = held.groupBy("source", "_part").agg(F.count("*").alias("_n"))
+    before = counts.select(F.col("source").alias("_of"), F.col("_part").alias("_at"), (F.sum("_n").over(Window.partitionBy("source").orderBy("_part")) - F.col("_n")).alias("_before"))
+    within = held.withColumn("_within", F.row_number().over(Window.partitionBy("source", "_part").orderBy("_seq")))
+    joined = within.join(before, within["source"].eqNullSafe(before["_of"]) & (within["_part"] == before["_at"]))
+    return joined.withColumn("_number", F.col("_before") + F.col("_within")).drop("_part", "_seq", "_of", "_at", "_before", "_within")
+
+
+def _last(rest: DataFrame, left: dict[str | None, float], taken_on: list[list[tuple]]) -> list[tuple]:
+    """For each source that a gap stays in, the equal rows of ``rest`` of which some come nearest to it.
+
+    ``(source, k, size, h, t, m)``: t of the m rows with that hash and size get one copy more. They're the rows
+    whose single copy is nearest to the gap, or those at one of the edges, which a threshold had to leave out whole.
+    """
+    rest = _lookup(rest, "source", [(s, x) for s, x in left.items()], "_left double").where(F.col("size") > 0)
+    gap = F.abs(F.col("size") - F.col("_left"))
+    nearest = rest.where(gap < F.col("_left")).groupBy("source").agg(F.min(F.struct(gap.alias("gap"), F.col("_k"))).alias("m")).select("source", "m._k").collect()
+    near = {r["source"]: r["_k"] for r in nearest}
+    edges = [{s: k for s, _, k in rows} for rows in taken_on]
+    names = [f"_e{n}" for n in range(len(edges) + 1)]
+    at = _lookup(rest, "source", [(s, *[e.get(s, -1) for e in edges], near.get(s, -1)) for s in left], ", ".join(f"{n} long" for n in names))
+    equal = at.where(F.col("_k").isin(*[F.col(n) for n in names])).groupBy("source", "_k", "size", "_h", "_left").agg(F.count("*").alias("m"))
+    some = equal.withColumn("t", F.least("m", F.round(F.col("_left") / F.col("size")).cast("long")))
+    some = some.withColumn("gap", F.abs(F.col("_left") - F.col("t") * F.col("size"))).where((F.col("t") > 0) & (F.col("gap") < F.col("_left")))
+    best = some.groupBy("source").agg(F.min(F.struct("gap", "_k", "size", "_h", "t", "m")).alias("b")).select("source", "b._k", "b.size", "b._h", "b.t", "b.m")
+    return [tuple(r) for r in best.collect()]
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2, further: dict[str, dict[str | None, float]] | None = None, rounds: int = 3) -> DataFrame:
     """``docs`` with ``size, source_size, target, copies, taken``: how often the mix takes each row.
 
     ``docs`` has ``doc_id, text, source``; the thresholds are settled in ``rounds``, each with smaller documents. Sizes are words; a null text has none. Rows without words get as
     many copies as their source's rate rounds to. ``further`` gives targets of tokens for the values of
     other columns, which tilt the rates along with the sources. The same rows always give the same copies:
-    chance comes from a hash of the row's id and text, so repeated rows fare alike. Columns of the names
-    above are replaced; other columns stay. An empty table gives no rows.
+    chance comes from a hash of the row's id and text. Rows that repeat an id and a text fare alike, but for
+    those of one such group at most in each source, of which some get one copy more. Columns of the names
+    above are replaced; other columns stay, whatever their names. An empty table gives no rows.
     """
-    fresh = docs.drop("size", "source_size", "target", "copies", "taken", "_h", "_rate")
-    hashed = sized(fresh).withColumn("_h", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / F.lit(float(1 << 53)))
-    names = ["source", *(further or {})]
-    slim = materialize(hashed.select(*[F.col(n).cast("string").alias(n) for n in names], "size", "_h"), "sizes")
+    made = ("size", "source_size", "target", "copies", "taken")
+    given = [c for c in docs.columns if c.lower() not in made]
+    place = {c.lower(): f"c{i}" for i, c in enumerate(given)}  # the operator's own names can't be among these
+    inner = docs.select(*[docs[f"`{c}`"].alias(place[c.lower()]) for c in given])
+    constrained = {"source": "source"} | {f"further{k}": c for k, c in enumerate(further or {})}
+    names = list(constrained)
+    chance = F.shiftrightunsigned(F.xxhash64(place["doc_id"], place["text"]), 11) / F.lit(float(1 << 53))
+    hashed = sized(inner, text=place["text"]).withColumn("_h", chance).withColumns({n: F.col(place[c.lower()]).cast("string") for n, c in constrained.items()})
+    slim = materialize(hashed.select(*names, "size", "_h"), "sizes")
     sums = slim.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_VALUES + 1).collect()
     if len(sums) > MOST_VALUES:
         raise ValueError(f"more than {MOST_VALUES} sources")
@@ -217,11 +255,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     cells = materialize(slim.groupBy(*names).agg(F.sum("size").alias("size")), "cells")
     if further and cells.count() > MOST_CELLS:
         raise ValueError(f"more than {MOST_CELLS} combinations of constrained values")
-    tilt = solve(cells, {"source": wanted} | (further or {}), most)
+    tilt = solve(cells, {"source": wanted} | {f"further{k}": v for k, v in enumerate((further or {}).values())}, most)
 
     def rated(df: DataFrame) -> DataFrame:
-        for k, c in enumerate(names):
-            df = _lookup(df.withColumn("_on", F.col(c).cast("string")), "_on", list(tilt[c].items()), f"_t{k} double").drop("_on")
+        for k, n in enumerate(names):
+            df = _lookup(df, n, list(tilt[n].items()), f"_t{k} double")
         total = sum((F.coalesce(f"_t{k}", F.lit(0.0)) for k in range(len(names))), F.lit(0.0))
         df = df.withColumn("_rate", F.exp(F.least(total, F.lit(math.log(most)))))
         whole = F.floor(F.col("_rate") + 1e-9)
@@ -241,23 +279,25 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
         edge = {s: max(k, before[s]) for s, k in edge.items()}
         taken_on.append([(s, float(limit[s]), int(edge[s])) for s in edge])
 
-    # and at last one more document, where that comes nearer than what is left
-    rest = _chosen(_joined(coins, "source", taken_on), rounds)
-    gap = F.abs(F.col("size") - F.col("_left"))
-    rest = _lookup(rest.where(~F.col("_more")), "source", [(s, x) for s, x in left.items()], "_left double").where((gap < F.col("_left")) & (F.col("size") > 0))
-    last = rest.groupBy("source").agg(F.min(F.struct(gap.alias("gap"), F.col("_k"), F.col("size"))).alias("m")).select("source", "m._k", "m.size").collect()
-    last = [(r["source"], r["_k"], r["size"]) for r in last]
+    # and at last some equal documents more, mostly one, where that comes nearer than what is left
+    rest = _chosen(_joined(coins, "source", taken_on), rounds).where(~F.col("_more"))
+    last = _last(rest, left, taken_on)
 
     info = [(t.source, t.size, t.target) for t in targets]
-    out = _joined(rated(hashed).withColumn("_on", F.col("source").cast("string")), "_on", taken_on)
-    out = _lookup(_chosen(out, rounds), "_on", last, "_last long, _last_size long")
-    out = _lookup(out, "_on", info, "source_size long, target double").drop("_on")
-    picked = F.coalesce((F.col("_k") == F.col("_last")) & (F.col("size") == F.col("_last_size")), F.lit(False))
-    more = (F.col("_more") | picked) & (F.col("_whole") + 1 <= most)
+    out = _chosen(_joined(rated(hashed), "source", taken_on), rounds)
+    out = _lookup(out, "source", last, "_last long, _last_size long, _last_h double, _some long, _all long")
+    out = _lookup(out, "source", info, "source_size long, target double")
+    out = out.withColumn("_picked", ~F.col("_more") & F.coalesce((F.col("_k") == F.col("_last")) & (F.col("size") == F.col("_last_size")) & (F.col("_h") == F.col("_last_h")), F.lit(False)))
+    if any(t < m for *_, t, m in last):
+        part = F.col("_picked") & (F.col("_some") < F.col("_all"))
+        ties = _numbered(out.where(part)).withColumn("_picked", F.col("_number") <= F.col("_some")).drop("_number")
+        out = out.where(~part).unionByName(ties)
+    more = (F.col("_more") | F.col("_picked")) & (F.col("_whole") + 1 <= most)
     out = out.withColumn("copies", (F.col("_whole") + more.cast("int")).cast("long")).withColumn("taken", F.col("size") * F.col("copies"))
-    return out.drop("_h", "_rate", "_whole", "_k", "_more", "_last", "_last_size")
+    return out.select(*[F.col(place[c.lower()]).alias(c) for c in given], *made)
 
 
 def repeat_rows(mixed: DataFrame) -> DataFrame:
     """Each row of a mix as often as it has copies, without the mix's own columns."""
-    return mixed.where("copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("_n", "size", "source_size", "target", "copies", "taken")
+    n = fresh(mixed, "_n")
+    return mixed.where("copies > 0").withColumn(n, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop(n, "size", "source_size", "target", "copies", "taken")

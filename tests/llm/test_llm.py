@@ -356,6 +356,36 @@ def test_mix(docs, empty, spark):
     assert sum(100 * v for (s, p), v in rates.items() if s == "s0") == pytest.approx(300, rel=1e-3) and sum(100 * v for (s, p), v in rates.items() if p == "0") == pytest.approx(400, rel=1e-3)
 
 
+def test_mix_of_repeated_rows_comes_near_its_target(spark):
+    rows = [(7, " ".join(["w"] * 10), "a")] * 3000 + [(i, " ".join(["w"] * 5), "b") for i in range(7000)] + [(9, "w w w w", None)] * 400 + [(10, "v " * 6, None)] * 300
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    sums = got.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g"), F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in sums) == len(rows) and all(abs(r["t"] - r["g"]) <= 10 for r in sums), sums
+    again = mixing.mix(spark.createDataFrame(rows[::-1], "doc_id long, text string, source string").repartition(5))
+    assert sorted(got.select("doc_id", "taken").collect()) == sorted(again.select("doc_id", "taken").collect())
+
+
+def test_mix_keeps_columns_of_its_own_names(spark):
+    names = ["_last", "_limit0", "_t0", "_h", "_k", "_on", "_whole", "_more", "_key", "_n", "_row", "c0", "further0", "_picked", "a.b"]
+    rows = [(i, "one two three", f"s{i % 2}", *[f"{n}{i}" for n in names]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    got = mixing.mix(docs)
+    assert sorted(tuple(r) for r in got.select(*[f"`{c}`" for c in docs.columns]).collect()) == sorted(rows)
+    assert mixing.repeat_rows(got).columns == docs.columns
+
+
+def test_languages_of_repeated_rows_are_learned_once(spark):
+    from zlib import crc32
+
+    from pyspark.sql import Row
+
+    repeated = next(i for i in range(50) if crc32(str(i).encode()) % 4 != 2)
+    rows = [Row(doc_id=repeated, text="zzz zz zzzz", lang="zz")] * 4000 + [Row(doc_id=i, text=f"the word {i}", lang="en") for i in range(300)] + [Row(doc_id=4, text="", lang="none")]
+    params = langid.Params(per_language=20, epochs=1)
+    model = langid.fit(spark.createDataFrame(rows), params)
+    assert model.labels == ["en", "zz"]
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header>Top</header><nav><ul><li><a>Menu</a></ul></nav>
 <div class="ad">Buy this, now.</div><article><h1>Head &amp; line</h1><p>A  long
 paragraph, with <b>bold</b>text; and more.<p>Short.<br>Line<script>var a="</p>";</script></article>
@@ -403,6 +433,21 @@ def test_html_ratios_decide():
         assert score[index[i]] == pytest.approx(sum(same) / len(same))
 
 
+def test_html_articles_that_are_no_content():
+    article = "<article><h1>Title</h1><p>" + "This, surely, is a sentence of the article. " * 6 + "</p><p>Short.</p></article>"
+    want = htmltext.main_text(f"<body>{article}</body>")
+    comment = "<p>A long comment, indeed, a very long one, with commas. And more, more of it, here.</p>"
+    for more in (
+        f'<div class="comments-area"><ol class="comment-list"><li class="comment"><article class="comment-body">{comment}</article></li></ol></div>',
+        f'<section id="comments"><article>{comment}</article><article>{comment}</article></section>', f'<article class="comment">{comment}</article>',
+        '<div class="related-posts"><article class="card"><h3>Another one, to read</h3><p>See, and read, this.</p></article></div>', '<div class="legal">\u00a9 2024 Example, Inc. All rights reserved.</div>',
+    ):
+        assert htmltext.main_text(f"<body>{article}{more}</body>") == want, more
+        assert htmltext.main_text(f"<body><main>{article}{more}</main></body>") == want, more
+    # the first article clears the name of what holds it, whatever follows
+    assert htmltext.main_text(f'<body><div class="related">{article}{article}</div></body>') == f"{want} {want}"
+
+
 def test_html_long_and_none(spark):
     long = "<div class=a>" * 2000 + "<p>" + "word, " * 200_000
     assert htmltext.main_text(long) == ("word, " * 200_000).strip()
