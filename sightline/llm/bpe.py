@@ -30,8 +30,11 @@ PLACES, WAYS = 1 << 17, 6
 LONGEST = 64
 #: What white space is to Unicode; Java's own class has ASCII's alone.
 SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
-#: More than any id; its cube fits into a long.
+#: More than any id; its cube fits into a long. A rank of ``_NONE`` is none.
 _WIDE = 1 << 20
+_NONE = _WIDE - 1
+#: What a unit's rank is multiplied by; its place, of 23 bits, by ``_WIDE``.
+_RANK = 1 << 43
 #: Bytes beyond which a word is cut where no merge can reach across; the ids are the same without.
 LONG = 48
 
@@ -91,28 +94,35 @@ def side_by_side(ranks: dict[bytes, int]) -> list[bool]:
     return found
 
 
-def fold(ids: Column, ranks: Column, rank: Callable[[Column, Column], Column]) -> Column:
-    """Ids after all merges of ``ids``; ``rank`` of two ids is that of both together, or null or ``_WIDE`` and more.
+def fold(units: Column, rank: Callable[[Column, Column], Column]) -> Column:
+    """Ids, int, after all merges of ``units``; ``rank`` of two ids is that of both together, or ``_NONE``.
 
-    ``ranks`` are those of each with the next to begin with, the last one null.
-
-    The state holds the ids between two nulls (p), the rank of each with the next (r), the lowest rank and where
-    it first is. A merge replaces two ids and the ranks on both sides of them.
+    A unit is a long of three parts: the rank of its id with the next one, its place, its id. The least unit is
+    thus the leftmost pair of the lowest rank. A merge replaces it and its next one by one unit, and ranks the one
+    before anew; a unit in front, of an id that no token has, lets every other one have one before it.
     """
-    mark = F.array(F.lit(None).cast("bigint"))
 
-    def state(p: Column, ranks: Column) -> Column:
-        return _let(ranks, lambda r: F.struct(p.alias("p"), r.alias("r"), F.array_min(r).alias("low"), F.array_position(r, F.array_min(r)).cast("int").alias("at")))
+    def id_of(unit: Column) -> Column:
+        return unit.bitwiseAND(F.lit(_WIDE - 1))
+
+    def merge(q: Column, _: Column) -> Column:
+        def at_least(least: Column) -> Column:
+            both = F.shiftrightunsigned(least, 43)
+
+            def at_place(at: Column) -> Column:
+                def merged(unit: Column, i: Column) -> Column:
+                    new = least.bitwiseAND(F.lit(_RANK - _WIDE)) + both + rank(both, id_of(F.get(q, at + 2))) * _RANK
+                    old = unit.bitwiseAND(F.lit(_RANK - 1)) + rank(id_of(unit), both) * _RANK
+                    return F.when(i == at, new).when(i + 1 == at, old).otherwise(unit)
+
+                return F.filter(F.transform(q, merged), lambda _, i: i != at + 1)
 
-    def merge(s: Column, _: Column) -> Column:
-        p, r, low, at = s["p"], s["r"], s["low"], s["at"]
-        sides = F.array(rank(F.get(p, at - 2), low), rank(low, F.get(p, at + 1)))
-        ranks = F.flatten(F.array(F.slice(r, F.lit(1), at - 2), sides, F.slice(r, at + 2, F.size(r))))
-        parts = F.flatten(F.array(F.slice(p, F.lit(1), at - 1), F.array(low), F.slice(p, at + 2, F.size(p))))
-        return F.when(low < _WIDE, state(parts, ranks)).otherwise(s)
+            return F.when(least < _NONE * _RANK, _let(F.array_position(q, least).cast("int") - 1, at_place)).otherwise(q)
 
-    start = state(F.flatten(F.array(mark, ids, mark)), F.flatten(F.array(mark, ranks)))
-    return F.aggregate(F.slice(ids, 2, F.size(ids)), start, merge, lambda s: F.slice(s["p"], F.lit(2), F.size(s["p"]) - 2))
+        return _let(F.array_min(q), at_least)
+
+    start = F.flatten(F.array(F.array(F.lit(_NONE * _RANK + _NONE)), units))
+    return F.aggregate(F.slice(units, 2, F.size(units)), start, merge, lambda q: F.transform(F.slice(q, F.lit(2), F.size(q)), lambda unit: id_of(unit).cast("int")))
 
 
 def java_pattern(pattern: str) -> str:
@@ -137,11 +147,12 @@ class Codec:
         pieces = [""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             pieces[rank] = token.hex()
+        # units of each byte, at place 0, before each byte and at a word's end
+        units = [ranks.get(bytes([a, b]), _NONE) * _RANK + ranks[bytes([a])] if b < 256 else _NONE * _RANK + ranks[bytes([a])] for a in range(256) for b in range(257)]
         columns = {
             "shifts": (shifts, pa.int32()),
             "entries": (entries, pa.int64()),
-            "single": ([ranks[bytes([b])] for b in range(256)], pa.int64()),
-            "double": ([ranks.get(bytes([a, b])) for a in range(256) for b in range(256)], pa.int64()),
+            "units": (units, pa.int64()),
             "beside": (side_by_side(ranks), pa.bool_()),
             "pieces": (pieces, pa.string()),
             "packs": ([i.to_bytes(4, "little").hex() for i in range(len(pieces))], pa.string()),
@@ -156,7 +167,7 @@ class Codec:
         return self.constants.select(names[0] if len(names) == 1 else F.struct(*names).alias("ranks")).scalar()
 
     def merges(self, spark: SparkSession) -> Column:
-        return self.constant(spark, "shifts", "entries", "single", "double", "beside")
+        return self.constant(spark, "shifts", "entries", "units", "beside")
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
@@ -168,17 +179,20 @@ class Codec:
         """Ids of a word, folded; a long one in stretches between bytes that no token holds side by side."""
 
         def rank(a: Column, b: Column) -> Column:
-            key = a * _WIDE + b
-            entry = F.get(known["entries"], (key + F.get(known["shifts"], key % self.n_shifts)) % self.n_entries)
-            return F.pmod(entry - key * _WIDE, F.lit(1 << 60))
+            def of_key(key: Column) -> Column:
+                entry = F.get(known["entries"], (key + F.get(known["shifts"], key % self.n_shifts)) % self.n_entries)
+                return F.least(F.pmod(entry - key * _WIDE, F.lit(1 << 60)), F.lit(_NONE))
+
+            return _let(a * _WIDE + b, of_key)
 
         def of_codes(codes: Column) -> Column:
             return F.when(F.size(codes) > LONG, cut(codes)).otherwise(folded(codes))
 
         def folded(codes: Column) -> Column:
-            ids = F.transform(codes, lambda c: F.get(known["single"], c))
-            double = F.zip_with(codes, F.slice(codes, 2, F.size(codes)), lambda a, b: F.get(known["double"], a * 256 + b))
-            return fold(ids, double, rank)
+            def unit(code: Column, i: Column) -> Column:
+                return F.get(known["units"], code * 257 + F.coalesce(F.get(codes, i + 1), F.lit(256))) + i.cast("long") * _WIDE
+
+            return fold(F.transform(codes, unit), rank)
 
         def cut(codes: Column) -> Column:
             inner = F.filter(F.sequence(F.lit(1), F.size(codes) - 1), lambda i: ~F.get(known["beside"], F.get(codes, i - 1) * 256 + F.get(codes, i)))
@@ -193,7 +207,7 @@ class Codec:
             return _let(stops, stretches)
 
         codes = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), F.ascii)
-        return F.transform(_let(codes, of_codes), lambda i: i.cast("int"))
+        return _let(codes, of_codes)
 
     def frequent_words(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """``place, way, w, ids``: at each place its ``WAYS`` most frequent words of ``docs``, equally frequent ones by code point. What occurs once, or has over ``LONGEST`` bytes, isn't kept."""
