@@ -24,7 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose five-word shingles have a Jaccard similarity of 0.8 with those of no earlier document that stays."""
+    """Documents whose five-word shingles have a Jaccard similarity of 0.8 with those of no earlier document that stays: by Golay keys of SimHashes, and by prefixes what these can't reach."""
     return jaccard.drop_similar(docs).select(*COLUMNS)
 
 

@@ -1,4 +1,9 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles.
+"""Near-duplicates by SimHash with Golay keys and the exact Jaccard similarity of word shingles.
+
+The keys come first: a set's 64-bit SimHash is cut into three segments, and a key takes the Golay indices of two
+of them, each fuzzy (``simhash.fuzzy_indices``), so that pairs with two errors in each of two segments meet; what
+meets within ``BITS`` is compared. At a similarity of 0.8 about ten bits differ, and keys alone would lose pairs.
+Prefixes are the exact way for those: what the keys have compared isn't compared again.
 
 Two sets of which one has at least the part t of the other in common share a shingle among the first
 ``n - ceil(t n) + 1`` of each, whatever one order all shingles are put in (prefix filtering): no pair is
@@ -24,11 +29,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import binary_rows, materialize, only, per_batch, release, row_hash, rows_of
+from .simhash import SEGMENTS, fuzzy_indices, majority
 
 #: Words of a shingle, and the least similarity as a fraction.
 SIZE, LEAST = 5, (4, 5)
 #: First sets of a prefix that a first round compares with, and how much more each later round takes.
 TOP, MORE = 2, 8
+#: Differing bits of two fingerprints of 64 beyond which what shares a key isn't compared; unlike ones have 32 on average.
+BITS = 18
 #: Sets that frequent shingles are looked for in, and the most of them that the order knows.
 SAMPLE, FREQUENT = 8_000, 200_000
 #: Most rows that are looked up by a broadcast join; beyond, texts are shuffled for it.
@@ -88,6 +96,55 @@ def _prefixes(frequent: tuple[np.ndarray, np.ndarray], least: tuple[int, int]):
     return run
 
 
+KEYED = pa.schema([("key", pa.int64()), ("set", pa.int64())])
+
+
+def _keys(batch: pa.RecordBatch) -> dict:
+    """Per fingerprint the Golay indices of each two segments, 1 to 36 keys."""
+    u = batch["fp"].to_numpy(zero_copy_only=False).view(np.uint64)
+    near = [-np.sort(-fuzzy_indices(((u >> np.uint64(a)) & np.uint64((1 << n) - 1)).astype(np.int64)), axis=1)[:, :6] for a, n in SEGMENTS]
+    keys, of = [], []
+    for i in range(3):
+        x, y = near[i][:, :, None], near[(i + 1) % 3][:, None, :]
+        row, j, k = np.nonzero((x >= 0) & (y >= 0))
+        keys.append(x[row, j, 0] | y[row, 0, k] << 12 | i << 24)
+        of.append(batch["set"].to_numpy(zero_copy_only=False)[row])
+    return {"key": np.concatenate(keys), "set": np.concatenate(of)}
+
+
+def key_pairs(first: DataFrame, least: tuple[int, int] = LEAST, top: int = TOP) -> DataFrame:
+    """Pairs ``(a, b)`` to compare, b the earlier and among the ``top`` first sets of a Golay key of both, within ``BITS``."""
+    keyed = first.where("m > 0").select("fp", "set").mapInArrow(per_batch(_keys, KEYED), "key long, set long")
+    times = keyed.withColumn("_times", F.count("*").over(Window.partitionBy("key")))
+    shared = materialize(times.where("_times > 1").select("key", "set"), "golay-keys")
+    placed = shared.join(first.select("set", "o", "m", "fp"), "set")
+    tops = placed.withColumn("_at", F.row_number().over(Window.partitionBy("key").orderBy("o", "set"))).where(F.col("_at") <= top)
+    b = tops.select("key", *[F.col(n).alias(f"{n}_b") for n in ("set", "o", "m", "fp")])
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= BITS
+    pairs = materialize(placed.join(b, "key").where(_ordered(least) & near).select(F.col("set").alias("a"), F.col("set_b").alias("b")).distinct(), "key-pairs")
+    release(shared)
+    return pairs
+
+
+def _ordered(least: tuple[int, int]):
+    """Whether the set with ``_b`` is the earlier one, and their sizes let them be similar."""
+    earlier = F.struct("o_b", "set_b") < F.struct(F.col("o").alias("o_b"), F.col("set").alias("set_b"))
+    return earlier & (F.least("m", "m_b") * least[1] >= F.greatest("m", "m_b") * least[0])
+
+
+def compared(docs: DataFrame, first: DataFrame, pairs: DataFrame, size: int = SIZE, least: tuple[int, int] = LEAST) -> DataFrame:
+    """Those of ``pairs`` whose sets are similar, by their shingles."""
+    ends = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+    wanted = materialize(first.join(ends, "set", "left_semi").select("row", "n"), "candidate-rows")
+    # a candidate is one row of its set, so only rows that repeat whole are shuffled to leave one
+    held = _mapped(_texts(docs, wanted), lambda found: {"set": [set_id(s) for s in found], "s": [s.tobytes() for s in found]}, "set long, s binary", size)
+    held = materialize(held, "sets")
+    full = pairs.join(held.select(F.col("set").alias("b"), F.col("s").alias("sb")), "b").join(held.select(F.col("set").alias("a"), F.col("s").alias("sa")), "a")
+    similar = materialize(full.select("a", "b", "sa", "sb").mapInArrow(_similar(least), "a long, b long"), "similar")
+    release(held, wanted)
+    return similar
+
+
 def _similar(least: tuple[int, int]):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -131,7 +188,9 @@ def _texts(docs: DataFrame, first: DataFrame) -> DataFrame:
 
 
 def dropped_sets(docs: DataFrame, first: DataFrame, size: int = SIZE, least: tuple[int, int] = LEAST, top: int = TOP) -> DataFrame:
-    """Sets of the texts of ``docs`` that a kept earlier set is similar to; ``first`` has the place ``o``, a ``row``, its number of repeats ``n`` and the number ``m`` of shingles of each ``set``; ties go by the set."""
+    """Sets of the texts of ``docs`` that a kept earlier set is similar to; ``first`` has the place ``o``, a ``row``, its number of repeats ``n``, the number ``m`` of shingles and the fingerprint ``fp`` of each ``set``; ties go by the set."""
+    seen = key_pairs(first, least, top)
+    edges = compared(docs, first, seen, size, least)
     frequent = _frequent(docs, first.count(), size)
     keyed = _mapped(_texts(docs, first), _prefixes(frequent, least), "key long, set long, at int", size)
     # one shuffle tells the shared prefixes; those of frequent shingles are taken as shared, so their sets may be apart
@@ -141,25 +200,14 @@ def dropped_sets(docs: DataFrame, first: DataFrame, size: int = SIZE, least: tup
     left = materialize(shared.join(first.select("set", "o", "m"), "set").select("key", "set", "at", "m", "o"), "shared-sets")
     release(shared)
     out = only(first, "set").limit(0)
-    seen = edges = None
     while not left.isEmpty():
         order = Window.partitionBy("key").orderBy("o", "set")
         tops = materialize(left.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= top).select("key", "set", "at", "m", "o"), "first-sets")
         b = tops.select("key", *[F.col(n).alias(f"{n}_b") for n in ("set", "at", "m", "o")])
-        earlier = F.struct("o_b", "set_b") < F.struct(F.col("o").alias("o_b"), F.col("set").alias("set_b"))
-        sized = F.least("m", "m_b") * least[1] >= F.greatest("m", "m_b") * least[0]
         enough = F.least(F.col("m") - F.col("at"), F.col("m_b") - F.col("at_b")) * sum(least) >= (F.col("m") + F.col("m_b")) * least[0]
-        pairs = left.join(b, "key").where(earlier & sized & enough).select(F.col("set").alias("a"), F.col("set_b").alias("b")).distinct()
-        pairs = materialize(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
-        ends = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-        wanted = materialize(first.join(ends, "set", "left_semi").select("row", "n"), "candidate-rows")
-        # a candidate is one row of its set, so only rows that repeat whole are shuffled to leave one
-        held = _mapped(_texts(docs, wanted), lambda found: {"set": [set_id(s) for s in found], "s": [s.tobytes() for s in found]}, "set long, s binary", size)
-        held = materialize(held, "sets")
-        full = pairs.join(held.select(F.col("set").alias("b"), F.col("s").alias("sb")), "b").join(held.select(F.col("set").alias("a"), F.col("s").alias("sa")), "a")
-        new = materialize(full.select("a", "b", "sa", "sb").mapInArrow(_similar(least), "a long, b long"), "similar")
-        release(held, wanted)
-        edges = new if edges is None else edges.union(new)
+        pairs = left.join(b, "key").where(_ordered(least) & enough).select(F.col("set").alias("a"), F.col("set_b").alias("b")).distinct()
+        pairs = materialize(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
+        edges = edges.union(compared(docs, first, pairs, size, least))
         n_top = tops.groupBy("set").agg(F.count("*").alias("_top"))
         sets = left.groupBy("set").agg(F.count("*").alias("_all")).join(n_top, "set", "left").select("set", (F.col("_all") == F.coalesce("_top", F.lit(0))).alias("full"))
         settled, dropped = _settle(materialize(sets, "open-sets"), edges)  # the first set of all is always settled
@@ -167,7 +215,7 @@ def dropped_sets(docs: DataFrame, first: DataFrame, size: int = SIZE, least: tup
         after = materialize(left.join(settled, "set", "left_anti").select("key", "set", "at", "m", "o"), "shared-sets")
         release(left, tops)
         left, edges = after, _without(edges, settled)
-        seen = _without(pairs if seen is None else seen.union(pairs), settled)
+        seen = _without(seen.union(pairs), settled)
         top *= MORE
     release(left)
     return out
@@ -180,14 +228,15 @@ def drop_similar(docs: DataFrame, size: int = SIZE, least: tuple[int, int] = LEA
     row goes by its own text, so null and repeated ids are no matter. Texts without a word are equal.
     """
     number = F.coalesce(F.col("doc_id").cast("long"), F.lit(_MAX))
-    schema = pa.schema([("row", pa.int64()), ("set", pa.int64()), ("o", pa.int64()), ("m", pa.int32())])
+    schema = pa.schema([("row", pa.int64()), ("set", pa.int64()), ("o", pa.int64()), ("m", pa.int32()), ("fp", pa.int64())])
 
     def run(batch: pa.RecordBatch) -> dict:
         found = [shingles(t, size) for t in binary_rows(batch["text"])]
-        return {"row": batch["row"], "set": [set_id(s) for s in found], "o": batch["o"], "m": [len(s) for s in found]}
+        fps = np.array([majority(s.view(np.uint64)) for s in found], np.uint64).view(np.int64)
+        return {"row": batch["row"], "set": [set_id(s) for s in found], "o": batch["o"], "m": [len(s) for s in found], "fp": fps}
 
-    rows = docs.select(row_hash(docs).alias("row"), number.alias("o"), "text").mapInArrow(per_batch(run, schema), "row long, set long, o long, m int")
-    each = rows.groupBy("set", "o", "row", "m").agg(F.count("*").alias("n"))
-    first = materialize(each.groupBy("set", "m").agg(F.min(F.struct("o", "row", "n")).alias("f")).select("set", "f.o", "f.row", "f.n", "m"), "first-rows")
+    rows = docs.select(row_hash(docs).alias("row"), number.alias("o"), "text").mapInArrow(per_batch(run, schema), "row long, set long, o long, m int, fp long")
+    each = rows.groupBy("set", "o", "row", "m", "fp").agg(F.count("*").alias("n"))
+    first = materialize(each.groupBy("set", "m", "fp").agg(F.min(F.struct("o", "row", "n")).alias("f")).select("set", "f.o", "f.row", "f.n", "m", "fp"), "first-rows")
     kept = materialize(first.join(dropped_sets(docs, first, size, least, top), "set", "left_anti").select(F.col("row").alias("_row"), "n"), "kept-rows")
     return rows_of(docs, kept)

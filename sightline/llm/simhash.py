@@ -45,7 +45,11 @@ def fingerprint(text: bytes | None, size: int = 3, seed: int = 42) -> int:
     else:
         shingles = map(b" ".join, zip(*[words[i:] for i in range(size)]))
     digest = functools.partial(xxhash.xxh64_intdigest, seed=seed)
-    hashes = np.fromiter(map(digest, shingles), np.uint64)
+    return majority(np.fromiter(map(digest, shingles), np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of some unsigned 64-bit hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), CHUNK):
         bits = np.unpackbits(hashes[i : i + CHUNK].view(np.uint8), bitorder="little").reshape(-1, 64)
