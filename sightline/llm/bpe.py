@@ -146,7 +146,7 @@ class Codec:
         self.pattern, self.places, self.n_shifts, self.n_entries = java_pattern(pattern), places, len(shifts), len(entries)
         pieces = [""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
-            pieces[rank] = token.hex()
+            pieces[rank] = token.decode("ISO-8859-1")
         # units of each byte, at place 0, before each byte and at a word's end
         units = [ranks.get(bytes([a, b]), _NONE) * _RANK + ranks[bytes([a])] if b < 256 else _NONE * _RANK + ranks[bytes([a])] for a in range(256) for b in range(257)]
         columns = {
@@ -155,7 +155,7 @@ class Codec:
             "units": (units, pa.int64()),
             "beside": (side_by_side(ranks), pa.bool_()),
             "pieces": (pieces, pa.string()),
-            "packs": ([i.to_bytes(4, "little").hex() for i in range(len(pieces))], pa.string()),
+            "packs": ([i.to_bytes(4, "little").decode("ISO-8859-1") for i in range(len(pieces))], pa.string()),
         }
         self.table = pa.table({k: pa.array([v], pa.list_(kind)) for k, (v, kind) in columns.items()})
         self.constants: DataFrame | None = None
@@ -218,34 +218,37 @@ class Codec:
         return _with(dealt, self.merges(docs.sparkSession), "ids", lambda known: self.word_ids(F.col("w"), known))
 
     def _table(self, frequent: DataFrame) -> Column:
-        """The words of all places in the order of places, as one array."""
+        """``ws, ids``: the first word of each place, in the order of places, then the second ones, and so on; null where a place has none."""
         places = frequent.sparkSession.range(self.places).select(F.col("id").cast("int").alias("place"))
         words = frequent.groupBy("place").agg(F.sort_array(F.collect_list(F.struct("way", "w", "ids"))).alias("words"))
-        each = places.join(words, "place", "left").select(F.struct("place", "words").alias("entry"))
-        ordered = F.transform(F.sort_array(F.collect_list("entry")), lambda e: F.transform(e["words"], lambda x: F.struct(x["w"].alias("w"), x["ids"].alias("ids"))))
-        return materialize(each.agg(ordered.alias("entries")), "places").scalar()
+        entries = places.join(words, "place", "left").agg(F.sort_array(F.collect_list(F.struct("place", "words"))).alias("entries"))
+
+        def flat(name: str) -> Column:
+            return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(WAYS - 1)), lambda k: F.transform("entries", lambda e: F.get(e["words"], k)[name]))).alias(name)
+
+        return materialize(entries.select(flat("w"), flat("ids")), "places").select(F.struct("w", "ids").alias("table")).scalar()
 
     def encode(self, docs: DataFrame, text: str = "text", ids: str = "ids") -> DataFrame:
         """``docs`` with ``ids``, array<int>. A null or empty text has none; a column of that name is replaced."""
         table = self._table(materialize(self.frequent_words(docs, text), "frequent"))
 
-        def encoded(known: Column, entries: Column) -> Column:
-            def one(word: Column) -> Column:
-                def found(words: Column) -> Column:
-                    told = [F.when(F.get(words, k)["w"] == word, F.get(words, k)["ids"]) for k in range(WAYS)]
+        def encoded(known: Column, frequent: Column) -> Column:
+            def all_ids(words: Column) -> Column:
+                def one(word: Column, place: Column) -> Column:
+                    told = [F.when(F.get(frequent["w"], place + k * self.places) == word, F.get(frequent["ids"], place + k * self.places)) for k in range(WAYS)]
                     return F.coalesce(*told, self.word_ids(word, known))
 
-                return _let(F.get(entries, self._place(word)), found)
+                return F.flatten(F.zip_with(words, F.transform(words, self._place), one))
 
-            return F.flatten(F.transform(self.words(F.col(text)), one))
+            return _let(self.words(F.col(text)), all_ids)
 
-        name = f"entries_{uuid.uuid4().hex}"
-        body = lambda known: _let(F.col(name), lambda entries: encoded(known, entries))
+        name = f"frequent_{uuid.uuid4().hex}"
+        body = lambda known: _let(F.col(name), lambda frequent: encoded(known, frequent))
         return _with(docs.withColumn(name, table), self.merges(docs.sparkSession), ids, body).drop(name)
 
     def _joined(self, df: DataFrame, table: str, ids: str, column: str) -> DataFrame:
-        """Entries of a table of hexadecimal strings, one after the other, as binary."""
-        return _with(df, self.constant(df.sparkSession, table), column, lambda t: F.unhex(F.array_join(F.transform(F.col(ids), lambda i: F.get(t, i)), "")))
+        """Entries of a table of strings, each character a byte, one after the other, as binary."""
+        return _with(df, self.constant(df.sparkSession, table), column, lambda t: F.encode(F.array_join(F.transform(F.col(ids), lambda i: F.get(t, i)), ""), "ISO-8859-1"))
 
     def decode(self, df: DataFrame, ids: str = "ids", column: str = "decoded") -> DataFrame:
         """``df`` with the bytes of its arrays of ids, binary: the pieces of all of them; ids that no token has give none."""

@@ -593,3 +593,14 @@ def test_pipeline_runs_all_stages(spark):
     import corpus_pipeline
 
     assert corpus_pipeline.run(spark, SMALL).count() > 0
+
+
+def test_table_of_words_is_two_flat_arrays(spark):
+    codec = bpe.Codec(bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN, places=4)
+    d = spark.createDataFrame([(1, "some words some more words and some wordiness wordiness")], "doc_id long, text string")
+    frequent = codec.frequent_words(d)
+    table = spark.range(1).select(codec._table(frequent).alias("t")).first()["t"]
+    assert len(table["w"]) == len(table["ids"]) == 4 * bpe.WAYS
+    at = {r["w"]: r["ids"] for r in frequent.collect()}
+    assert {w: i for w, i in zip(table["w"], table["ids"]) if w is not None} == at and " some" in at
+    assert {table["w"][(r["way"] - 1) * 4 + r["place"]] for r in frequent.collect()} == set(at)
