@@ -15,7 +15,8 @@ that isn't enough, the pair isn't looked at for this row's sake.
 A set is kept if no kept earlier one is as similar. Large groups of near copies would have pairs with the
 square of their size, so each round compares a prefix's sets with its ``top`` first ones only, settles what
 follows from that, and goes on with the sets that are left and a larger ``top`` until none is. A pair is compared
-once, and sets are made from the texts of a round's pairs alone, so that the sets of all texts are nowhere at once.
+once. Each set has a sketch, a bit or two per shingle, and what differs between two sketches differs between the sets,
+so that most pairs that aren't similar are told by their sketches; the sets of the others alone are made from texts.
 """
 
 from __future__ import annotations
@@ -96,7 +97,32 @@ def _prefixes(frequent: tuple[np.ndarray, np.ndarray], least: tuple[int, int]):
     return run
 
 
-KEYED = pa.schema([("key", pa.int64()), ("set", pa.int64())])
+def sketch(found: np.ndarray) -> bytes:
+    """Whether an odd number of a set's shingles falls on each bit; as many bits as the next power of two of its size, 64 at least."""
+    bits = max(64, 1 << (len(found) - 1).bit_length())
+    return np.packbits(np.bincount(found & (bits - 1), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Shingles that are in one of two sets alone, at least, by their sketches; the larger sketch is folded to the smaller."""
+    u, v = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(v.reshape(-1, len(u)), axis=0) ^ u).sum())
+
+
+def _likely(least: tuple[int, int]):
+    """Pairs whose sketches let them be similar: what is in one set alone is at most (1 - t) / (1 + t) of both sizes."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        both = batch["ma"].to_numpy().astype(np.int64) + batch["mb"].to_numpy()
+        apart = np.fromiter(map(differing, batch["xa"].to_pylist(), batch["xb"].to_pylist()), np.int64)
+        hits = pa.array(apart * sum(least) <= both * (least[1] - least[0]))
+        return {"a": batch["a"].filter(hits), "b": batch["b"].filter(hits)}
+
+    return per_batch(run, PAIRS)
+
+
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+KEYED = pa.schema([("key", pa.int64()), ("set", pa.int64()), ("o", pa.int64()), ("m", pa.int32()), ("fp", pa.int64())])
 
 
 def _keys(batch: pa.RecordBatch) -> dict:
@@ -108,32 +134,38 @@ def _keys(batch: pa.RecordBatch) -> dict:
         x, y = near[i][:, :, None], near[(i + 1) % 3][:, None, :]
         row, j, k = np.nonzero((x >= 0) & (y >= 0))
         keys.append(x[row, j, 0] | y[row, 0, k] << 12 | i << 24)
-        of.append(batch["set"].to_numpy(zero_copy_only=False)[row])
-    return {"key": np.concatenate(keys), "set": np.concatenate(of)}
+        of.append(row)
+    rows = pa.array(np.concatenate(of))
+    return {"key": np.concatenate(keys)} | {n: batch[n].take(rows) for n in KEYED.names[1:]}
 
 
 def key_pairs(first: DataFrame, least: tuple[int, int] = LEAST, top: int = TOP) -> DataFrame:
     """Pairs ``(a, b)`` to compare, b the earlier and among the ``top`` first sets of a Golay key of both, within ``BITS``."""
-    keyed = first.where("m > 0").select("fp", "set").mapInArrow(per_batch(_keys, KEYED), "key long, set long")
-    times = keyed.withColumn("_times", F.count("*").over(Window.partitionBy("key")))
-    shared = materialize(times.where("_times > 1").select("key", "set"), "golay-keys")
-    placed = shared.join(first.select("set", "o", "m", "fp"), "set")
-    tops = placed.withColumn("_at", F.row_number().over(Window.partitionBy("key").orderBy("o", "set"))).where(F.col("_at") <= top)
-    b = tops.select("key", *[F.col(n).alias(f"{n}_b") for n in ("set", "o", "m", "fp")])
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= BITS
-    pairs = materialize(placed.join(b, "key").where(_ordered(least) & near).select(F.col("set").alias("a"), F.col("set_b").alias("b")).distinct(), "key-pairs")
-    release(shared)
-    return pairs
+    keyed = only(first.where("m > 0"), *KEYED.names[1:]).mapInArrow(per_batch(_keys, KEYED), "key long, set long, o long, m int, fp long")
+    # one shuffle: a set meets the first ones of its key in the order of the window
+    order = Window.partitionBy("key").orderBy("o", "set")
+    firsts = {f"_{i}": F.nth_value(F.struct("set", "o", "m", "fp"), i + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)) for i in range(top)}
+    hits = []
+    for name in firsts:
+        near = F.bit_count(F.col("fp").bitwiseXOR(F.col(f"{name}.fp"))) <= BITS
+        hits.append(F.when(_ordered(least, f"{name}.{{}}") & near, F.col(f"{name}.set")))
+    met = keyed.withColumns(firsts).select(F.col("set").alias("a"), F.array_compact(F.array(*hits)).alias("_hits")).where(F.size("_hits") > 0)
+    return materialize(met.select("a", F.explode("_hits").alias("b")).distinct(), "key-pairs")
 
 
-def _ordered(least: tuple[int, int]):
-    """Whether the set with ``_b`` is the earlier one, and their sizes let them be similar."""
-    earlier = F.struct("o_b", "set_b") < F.struct(F.col("o").alias("o_b"), F.col("set").alias("set_b"))
-    return earlier & (F.least("m", "m_b") * least[1] >= F.greatest("m", "m_b") * least[0])
+def _ordered(least: tuple[int, int], other: str = "{}_b"):
+    """Whether the set with the names ``other`` is the earlier one, and their sizes let them be similar."""
+    o, of, m = (F.col(other.format(n)) for n in ("o", "set", "m"))
+    earlier = (o < F.col("o")) | (o == F.col("o")) & (of < F.col("set"))
+    return earlier & (F.least("m", m) * least[1] >= F.greatest("m", m) * least[0])
 
 
 def compared(docs: DataFrame, first: DataFrame, pairs: DataFrame, size: int = SIZE, least: tuple[int, int] = LEAST) -> DataFrame:
-    """Those of ``pairs`` whose sets are similar, by their shingles."""
+    """Those of ``pairs`` whose sets are similar: by their sketches, then by their shingles."""
+    sketched = pairs
+    for end in ("a", "b"):
+        sketched = sketched.join(first.select(F.col("set").alias(end), F.col("m").alias(f"m{end}"), F.col("sketch").alias(f"x{end}")), end)
+    pairs = materialize(sketched.select("a", "b", "ma", "mb", "xa", "xb").mapInArrow(_likely(least), "a long, b long"), "likely-pairs")
     ends = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
     wanted = materialize(first.join(ends, "set", "left_semi").select("row", "n"), "candidate-rows")
     # a candidate is one row of its set, so only rows that repeat whole are shuffled to leave one
@@ -141,13 +173,11 @@ def compared(docs: DataFrame, first: DataFrame, pairs: DataFrame, size: int = SI
     held = materialize(held, "sets")
     full = pairs.join(held.select(F.col("set").alias("b"), F.col("s").alias("sb")), "b").join(held.select(F.col("set").alias("a"), F.col("s").alias("sa")), "a")
     similar = materialize(full.select("a", "b", "sa", "sb").mapInArrow(_similar(least), "a long, b long"), "similar")
-    release(held, wanted)
+    release(held, wanted, pairs)
     return similar
 
 
 def _similar(least: tuple[int, int]):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
     def run(batch: pa.RecordBatch) -> dict:
         hits = []
         for x, y in zip(batch["sa"].to_pylist(), batch["sb"].to_pylist()):
@@ -157,7 +187,7 @@ def _similar(least: tuple[int, int]):
         hits = pa.array(hits, pa.bool_())
         return {"a": batch["a"].filter(hits), "b": batch["b"].filter(hits)}
 
-    return per_batch(run, schema)
+    return per_batch(run, PAIRS)
 
 
 def _without(edges: DataFrame, settled: DataFrame) -> DataFrame:
@@ -188,7 +218,7 @@ def _texts(docs: DataFrame, first: DataFrame) -> DataFrame:
 
 
 def dropped_sets(docs: DataFrame, first: DataFrame, size: int = SIZE, least: tuple[int, int] = LEAST, top: int = TOP) -> DataFrame:
-    """Sets of the texts of ``docs`` that a kept earlier set is similar to; ``first`` has the place ``o``, a ``row``, its number of repeats ``n``, the number ``m`` of shingles and the fingerprint ``fp`` of each ``set``; ties go by the set."""
+    """Sets of the texts of ``docs`` that a kept earlier set is similar to; ``first`` has the place ``o``, a ``row``, its number of repeats ``n``, the number ``m`` of shingles, the fingerprint ``fp`` and the ``sketch`` of each ``set``; ties go by the set."""
     seen = key_pairs(first, least, top)
     edges = compared(docs, first, seen, size, least)
     frequent = _frequent(docs, first.count(), size)
@@ -228,15 +258,15 @@ def drop_similar(docs: DataFrame, size: int = SIZE, least: tuple[int, int] = LEA
     row goes by its own text, so null and repeated ids are no matter. Texts without a word are equal.
     """
     number = F.coalesce(F.col("doc_id").cast("long"), F.lit(_MAX))
-    schema = pa.schema([("row", pa.int64()), ("set", pa.int64()), ("o", pa.int64()), ("m", pa.int32()), ("fp", pa.int64())])
+    schema = pa.schema([("row", pa.int64()), ("set", pa.int64()), ("o", pa.int64()), ("m", pa.int32()), ("fp", pa.int64()), ("sketch", pa.binary())])
 
     def run(batch: pa.RecordBatch) -> dict:
         found = [shingles(t, size) for t in binary_rows(batch["text"])]
         fps = np.array([majority(s.view(np.uint64)) for s in found], np.uint64).view(np.int64)
-        return {"row": batch["row"], "set": [set_id(s) for s in found], "o": batch["o"], "m": [len(s) for s in found], "fp": fps}
+        return {"row": batch["row"], "set": [set_id(s) for s in found], "o": batch["o"], "m": [len(s) for s in found], "fp": fps, "sketch": [sketch(s) for s in found]}
 
-    rows = docs.select(row_hash(docs).alias("row"), number.alias("o"), "text").mapInArrow(per_batch(run, schema), "row long, set long, o long, m int, fp long")
-    each = rows.groupBy("set", "o", "row", "m", "fp").agg(F.count("*").alias("n"))
-    first = materialize(each.groupBy("set", "m", "fp").agg(F.min(F.struct("o", "row", "n")).alias("f")).select("set", "f.o", "f.row", "f.n", "m", "fp"), "first-rows")
+    rows = docs.select(row_hash(docs).alias("row"), number.alias("o"), "text").mapInArrow(per_batch(run, schema), "row long, set long, o long, m int, fp long, sketch binary")
+    each = rows.groupBy("set", "o", "row", "m", "fp", "sketch").agg(F.count("*").alias("n"))
+    first = materialize(each.groupBy("set", "m", "fp", "sketch").agg(F.min(F.struct("o", "row", "n")).alias("f")).select("set", "f.o", "f.row", "f.n", "m", "fp", "sketch"), "first-rows")
     kept = materialize(first.join(dropped_sets(docs, first, size, least, top), "set", "left_anti").select(F.col("row").alias("_row"), "n"), "kept-rows")
     return rows_of(docs, kept)
