@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_rows, materialize, only, per_batch, stream_groups
+from .common import binary_rows, giving_back, materialize, only, per_batch, stream_groups
 
 LENGTH = 20
 #: Words of an anchor's gram.
@@ -121,7 +121,7 @@ def _anchor_rows(length: int, gram: int):
                 yield pa.RecordBatch.from_pydict({"gram": g, "doc_id": ids.take(rows), "h": hashes.take(rows), "at": p << 16 | before << 8 | n}, schema=ANCHORS)
                 i = j
 
-    return run
+    return giving_back(run)
 
 
 #: Roles of a row: one of a compared text, of a copy of an earlier document's text.
@@ -240,7 +240,7 @@ def _tree_rows(length: int, last: bool):
                         out[name].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=SPANS)
 
-    return run
+    return giving_back(run)
 
 
 def keep_mask(n_words: int, spans: list[tuple[int, int]], length: int) -> np.ndarray:

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import xxhash
@@ -292,6 +293,19 @@ def test_substrings_compare_every_text_of_an_id(spark, group):
         assert sorted([(r["doc_id"], r["text"], r["source"]) for r in out], key=str) == sorted([(r[0], want[r], str(i)) for i, r in enumerate(rows)], key=str)
 
 
+def test_workers_give_memory_back_at_a_tasks_end(monkeypatch):
+    from sightline.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(len(calls)))
+    texts = pa.RecordBatch.from_pydict({"doc_id": [1], "h": [2], "text": ["a b c d e f"]})
+    assert len(list(substrings._anchor_rows(5, 2)(iter([texts])))) == 1 and calls == [0]
+    assert list(substrings._tree_rows(5, True)(iter([]))) == [] and calls == [0, 1]
+    double = common.per_batch(lambda b: {"x": [2 * x for x in b["x"].to_pylist()]}, pa.schema([("x", pa.int64())]))
+    out = list(double(iter([pa.RecordBatch.from_pydict({"x": [i]}) for i in range(3)])))
+    assert [b["x"][0].as_py() for b in out] == [0, 2, 4] and calls == [0, 1, 2]
+
+
 def test_substrings_edges(empty, spark):
     assert substrings.remove_repeats(empty).count() == 0
     two = spark.createDataFrame([(1, "a b c d"), (1, "e f g h")], "doc_id long, text string")
